@@ -20,7 +20,10 @@ read.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
+from functools import lru_cache
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -33,8 +36,9 @@ from .common import blocks, column, materialise, strings
 
 CAPACITY = 2048
 END_ID = 0
-#: Branch-and-bound nodes after which the best solution so far is taken.
-NODES = 20_000
+#: Branch-and-bound nodes after which the best solution so far is taken, and
+#: after how many of them an incumbent is made of the branch.
+NODES, RENEW = 4000, 20
 #: Fillings tried around one largest piece.
 FILLINGS = 24
 #: Chunks whose ids a worker remembers; beyond it the memory starts afresh.
@@ -45,12 +49,42 @@ REMEMBERED = 400_000
 _ODD = "\x1c\x1d\x1e\x1f\x85\xa0\x00\x0b\x0c"
 
 
+class _Ragged:
+    """Rows of ids of different lengths, found by a key."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.start = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def add(self, keys: list[str], size: np.ndarray, flat: np.ndarray) -> None:
+        first = len(self.number)
+        self.number.update(zip(keys, range(first, first + len(keys)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def codes(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these rows, and the rows' lengths."""
+        size = self.size[codes]
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[codes] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[at], size
+
+
 class ChunkTokenizer:
     """Ids of whole texts, found chunk by chunk.
 
     The vocabulary's normaliser and pattern never join what white space parts,
     so a text's ids are those of its chunks, one after another. Most chunks
-    recur, and each is tokenized once. Where case folding or composition could
+    recur, and each is tokenized once; those not seen yet are tokenized in one
+    call, and told apart by the offsets of their tokens. Of a chunk in a full
+    stop or comma, behind a letter or digit, the mark is a token of its own and
+    the rest is looked up without it. Where case folding or composition could
     depend on neighbours (code points from U+0300) or special strings may
     occur, the tokenizer gets the whole text.
     """
@@ -59,48 +93,46 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.number: dict[str, int] = {}
-        self.size = np.zeros(0, np.int64)
-        self.start = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, np.uint32) for m in ".,"}
+        self.chunks, self.cores = _Ragged(), _Ragged()
 
     def _learn(self, chunks: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
-        size = np.array([len(x) for x in got], np.int64)
-        start = len(self.flat) + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        first = len(self.number)
-        self.number.update((c, first + i) for i, c in enumerate(chunks))
-        self.size = np.concatenate([self.size, size])
-        self.start = np.concatenate([self.start, start])
-        self.flat = np.concatenate([self.flat, np.array([i for x in got for i in x], np.uint32)])
+        marked = [c[-1] in self.marks and len(c) > 1 and c[-2].isalnum() for c in chunks]
+        core = [(c[:-1] if m else c).lower() for c, m in zip(chunks, marked, strict=True)]
+        fresh = sorted(set(core) - self.cores.number.keys())
+        if fresh:
+            got = self.tokenizer.encode(" ".join(fresh), add_special_tokens=False)
+            size = np.array([len(c) for c in fresh], np.int64)
+            start = np.cumsum(size + 1) - size - 1
+            of = np.searchsorted(start, np.array([o for o, _ in got.offsets], np.int64), "right") - 1
+            self.cores.add(fresh, np.bincount(of, minlength=len(fresh)), np.array(got.ids, np.uint32))
+        flat, size = self.cores.gather(self.cores.codes(core))
+        for m, ids in self.marks.items():  # behind the core
+            has = np.array([x and c[-1] == m for c, x in zip(chunks, marked, strict=True)])
+            flat = np.insert(flat, np.repeat(np.cumsum(size)[has], len(ids)), np.tile(ids, has.sum()))
+            size = size + has * len(ids)
+        self.chunks.add(chunks, size, flat)
 
     def ids(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (and the last ends)."""
-        if len(self.number) > REMEMBERED:
-            self._reset()
+        if len(self.chunks.number) > REMEMBERED:
+            self.chunks, self.cores = _Ragged(), _Ragged()
         parts: list[np.ndarray | None] = [None] * len(texts)
-        chunked: list[tuple[int, list[str]]] = []
+        listed: list[list[str]] = []
+        whose: list[int] = []
         for i, t in enumerate(texts):
-            if (t.isascii() or max(t) < "̀") and "<|" not in t and not any(c in t for c in _ODD):
-                chunked.append((i, t.split()))
+            if (t.isascii() or max(t) < "\u0300") and "<|" not in t and not any(c in t for c in _ODD):
+                listed.append(t.split())
+                whose.append(i)
             else:
                 parts[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-        fresh = set().union(*(c for _, c in chunked)) - self.number.keys() if chunked else set()
+        fresh = set().union(*listed) - self.chunks.number.keys()
         if fresh:
             self._learn(sorted(fresh))
-        get = self.number.__getitem__
-        for i, chunks in chunked:
-            k = np.fromiter(map(get, chunks), np.int64, len(chunks))
-            n = self.size[k]
-            if not len(k):
-                parts[i] = np.zeros(0, np.uint32)
-                continue
-            ends = np.cumsum(n)
-            at = np.repeat(self.start[k] - ends + n, n) + np.arange(ends[-1])
-            parts[i] = self.flat[at]
+        flat, size = self.chunks.gather(self.chunks.codes([c for x in listed for c in x]))
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(x) for x in listed])] if listed else []
+        for i, part in zip(whose, np.split(flat, ends[:-1]) if len(ends) else [], strict=True):
+            parts[i] = part
         bounds = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])]).astype(np.int64)
         out = np.full(bounds[-1], end_id, np.uint32)
         for p, at in zip(parts, bounds, strict=False):
@@ -108,13 +140,20 @@ class ChunkTokenizer:
         return out, bounds
 
 
+@lru_cache(2)
+def worker_tokenizer(path: str) -> ChunkTokenizer:
+    """The worker's tokenizer, kept from task to task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return ChunkTokenizer(path)
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and the task
     and number among the task's pieces of that length; ids too if asked for."""
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids array<int>" * with_ids
 
     def run(batches):
-        tokenizer = ChunkTokenizer(tokenizer_path)
+        tokenizer = worker_tokenizer(tokenizer_path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for block in blocks(batches):
@@ -234,40 +273,61 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
 
     A node completes the sequence around the largest piece left, as often as
     the counts allow; a branch ends when its waste exceeds what an improvement
-    on the incumbent may have, or when the incumbent meets the lower bound.
+    on the incumbent may have, and all end when the incumbent meets the lower
+    bound. The branch's own counts are changed and changed back, so memory
+    grows with its depth alone. Every so many nodes, best-fit decreasing of
+    what is left makes a new incumbent.
     """
-    counts = {k: v for k, v in counts.items() if v}
-    total = sum(k * v for k, v in counts.items())
-    best = best_fit(counts, capacity)
+    left = {k: v for k, v in counts.items() if v}
+    total = sum(k * v for k, v in left.items())
+    best = best_fit(left, capacity)
     fewest = sum(n for _, n in best)
-    least = max(-(-total // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
-    stack: list[tuple[dict[int, int], list[Pattern], int, int]] = [(counts, [], 0, 0)]
-    while stack and fewest > least and nodes > 0:
-        left, done, used, waste = stack.pop()
-        nodes -= 1
-        if waste > (fewest - 1) * capacity - total:
-            continue
-        if not left:
-            best, fewest = done, used
-            continue
-        rest = best_fit(left, capacity) if used else None
-        if rest is not None and used + (n := sum(x for _, x in rest)) < fewest:
-            best, fewest = [*done, *rest], used + n
-            if fewest <= least:
-                break
+    least = max(-(-total // capacity), sum(v for k, v in left.items() if 2 * k > capacity))
+
+    def options() -> Iterator[Pattern]:
         largest = max(left)
-        others = dict(left)
-        others[largest] -= 1
-        lengths = sorted((k for k, v in others.items() if v), reverse=True)
-        options = fillings(lengths, others, capacity - largest)
-        for option in reversed(options):
+        left[largest] -= 1
+        found = fillings(sorted((k for k, v in left.items() if v), reverse=True), left, capacity - largest)
+        left[largest] += 1
+        for option in found:
             items = dict(option)
             items[largest] = items.get(largest, 0) + 1
-            times = min(left[k] // n for k, n in items.items())
-            after = {k: v - times * items.get(k, 0) for k, v in left.items()}
-            spare = capacity - sum(k * n for k, n in items.items())
-            pattern = tuple(sorted(items.items(), reverse=True))
-            stack.append(({k: v for k, v in after.items() if v}, [*done, (pattern, times)], used + times, waste + times * spare))
+            yield tuple(sorted(items.items(), reverse=True)), min(left[k] // n for k, n in items.items())
+
+    def change(pattern: Pattern, sign: int) -> None:
+        for k, n in pattern[0]:
+            v = left.get(k, 0) + sign * n * pattern[1]
+            if v:
+                left[k] = v
+            else:
+                del left[k]
+
+    done: list[Pattern] = []
+    used = waste = 0
+    branch = [options()] if left else []
+    while branch and fewest > least and nodes > 0:
+        pattern = next(branch[-1], None)
+        if pattern is None:
+            branch.pop()
+            if done:
+                change(done[-1], 1)
+                items, times = done.pop()
+                used -= times
+                waste -= times * (capacity - sum(k * n for k, n in items))
+            continue
+        nodes -= 1
+        spare = pattern[1] * (capacity - sum(k * n for k, n in pattern[0]))
+        if waste + spare > (fewest - 1) * capacity - total:
+            continue
+        change(pattern, -1)
+        done.append(pattern)
+        used += pattern[1]
+        waste += spare
+        if not left or nodes % RENEW == 0:
+            rest = best_fit(left, capacity)
+            if (n := used + sum(x for _, x in rest)) < fewest:
+                best, fewest = [*done, *rest], n
+        branch.append(options() if left else iter(()))
     return best
 
 
