@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from functools import lru_cache
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,13 @@ NODES, RENEW = 4000, 20
 #: Fillings tried around one largest piece.
 FILLINGS = 24
 #: Chunks whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
-# White space on which both the tokenizer's pattern and str.split() agree.
-# Texts with other code points are given to the tokenizer whole.
-_ODD = "\x1c\x1d\x1e\x1f\x85\xa0\x00\x0b\x0c"
+# Code points whose case or composition isn't their own affair, white space on
+# which str.split() and the tokenizer's pattern may differ, special strings.
+_ODD = re.compile("[\\x00\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u0130\\u0300-\\U0010ffff]|<\\|")
+# A full stop or comma beside another mark: the two may be one token.
+_TOUCHING = re.compile(r"[.,](?:[^\s\w]|_)|(?:[^\s\w]|_)[.,]")
 
 
 class _Ragged:
@@ -82,61 +85,52 @@ class ChunkTokenizer:
     The vocabulary's normaliser and pattern never join what white space parts,
     so a text's ids are those of its chunks, one after another. Most chunks
     recur, and each is tokenized once; those not seen yet are tokenized in one
-    call, and told apart by the offsets of their tokens. Of a chunk in a full
-    stop or comma, behind a letter or digit, the mark is a token of its own and
-    the rest is looked up without it. Where case folding or composition could
-    depend on neighbours (code points from U+0300) or special strings may
-    occur, the tokenizer gets the whole text.
+    call, and told apart by the offsets of their tokens. Full stops and commas
+    that touch no other mark are tokens of their own and chunks of their own
+    here. Where case folding or composition could depend on neighbours (code
+    points from U+0300) or special strings may occur, the tokenizer gets the
+    whole text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, np.uint32) for m in ".,"}
-        self.chunks, self.cores = _Ragged(), _Ragged()
+        self.chunks = _Ragged()
 
     def _learn(self, chunks: list[str]) -> None:
-        marked = [c[-1] in self.marks and len(c) > 1 and c[-2].isalnum() for c in chunks]
-        core = [(c[:-1] if m else c).lower() for c, m in zip(chunks, marked, strict=True)]
-        fresh = sorted(set(core) - self.cores.number.keys())
-        if fresh:
-            got = self.tokenizer.encode(" ".join(fresh), add_special_tokens=False)
-            size = np.array([len(c) for c in fresh], np.int64)
-            start = np.cumsum(size + 1) - size - 1
-            of = np.searchsorted(start, np.array([o for o, _ in got.offsets], np.int64), "right") - 1
-            self.cores.add(fresh, np.bincount(of, minlength=len(fresh)), np.array(got.ids, np.uint32))
-        flat, size = self.cores.gather(self.cores.codes(core))
-        for m, ids in self.marks.items():  # behind the core
-            has = np.array([x and c[-1] == m for c, x in zip(chunks, marked, strict=True)])
-            flat = np.insert(flat, np.repeat(np.cumsum(size)[has], len(ids)), np.tile(ids, has.sum()))
-            size = size + has * len(ids)
-        self.chunks.add(chunks, size, flat)
+        got = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        size = np.array([len(c) for c in chunks], np.int64)
+        start = np.cumsum(size + 1) - size - 1
+        of = np.searchsorted(start, np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
+        self.chunks.add(chunks, np.bincount(of, minlength=len(chunks)), np.array(got.ids, np.uint32))
 
     def ids(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (and the last ends)."""
         if len(self.chunks.number) > REMEMBERED:
-            self.chunks, self.cores = _Ragged(), _Ragged()
-        parts: list[np.ndarray | None] = [None] * len(texts)
+            self.chunks = _Ragged()
+        whole: dict[int, np.ndarray] = {}
         listed: list[list[str]] = []
-        whose: list[int] = []
         for i, t in enumerate(texts):
-            if (t.isascii() or max(t) < "\u0300") and "<|" not in t and not any(c in t for c in _ODD):
-                listed.append(t.split())
-                whose.append(i)
+            if _ODD.search(t):
+                whole[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+                listed.append([])
+            elif _TOUCHING.search(t):
+                listed.append(t.lower().split())
             else:
-                parts[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+                listed.append(t.lower().replace(".", " . ").replace(",", " , ").split())
         fresh = set().union(*listed) - self.chunks.number.keys()
         if fresh:
-            self._learn(sorted(fresh))
-        flat, size = self.chunks.gather(self.chunks.codes([c for x in listed for c in x]))
-        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(x) for x in listed])] if listed else []
-        for i, part in zip(whose, np.split(flat, ends[:-1]) if len(ends) else [], strict=True):
-            parts[i] = part
-        bounds = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])]).astype(np.int64)
+            self._learn(list(fresh))
+        flat, size = self.chunks.gather(self.chunks.codes(list(chain.from_iterable(listed))))
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0] + [len(x) for x in listed])]
+        total = np.diff(ends)
+        for i, x in whole.items():
+            total[i] = len(x)
+        bounds = np.concatenate([[0], np.cumsum(total + 1)]).astype(np.int64)
         out = np.full(bounds[-1], end_id, np.uint32)
-        for p, at in zip(parts, bounds, strict=False):
-            out[at : at + len(p)] = p
+        for i, at in enumerate(bounds[:-1].tolist()):
+            out[at : at + total[i]] = whole[i] if i in whole else flat[ends[i] : ends[i + 1]]
         return out, bounds
 
 
