@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, sharding
+from . import decontaminate, fingerprint, html, langid, line_dedup, packing, sharding
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op2_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shuffle_into_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return sharded.select("record.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -32,9 +36,47 @@ def op5_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("record.doc_id", "n_lines", "n_deleted", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: Runs of two lines; a copy is later if the same run stands at a smaller (doc_id, line).
+OP10_SQL = """
+WITH lines AS (
+  SELECT doc_id, line, l FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
+    FROM documents WHERE text IS NOT NULL)),
+runs AS (
+  SELECT * FROM (
+    SELECT doc_id, line, l, lead(l) OVER (PARTITION BY doc_id ORDER BY line) AS l2 FROM lines)
+  WHERE l2 IS NOT NULL AND regexp_matches(l || l2, '[^ \t\r\f\v]')),
+later AS (
+  SELECT doc_id, line FROM (
+    SELECT doc_id, line, row_number() OVER (PARTITION BY l, l2 ORDER BY doc_id, line) AS k FROM runs)
+  WHERE k > 1),
+gone AS (SELECT doc_id, line FROM later UNION SELECT doc_id, line + 1 FROM later),
+marked AS (
+  SELECT x.doc_id, x.line, x.l, g.line IS NOT NULL AS gone
+  FROM lines x LEFT JOIN gone g ON x.doc_id = g.doc_id AND x.line = g.line),
+found AS (
+  SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY line), false) AS before FROM marked)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_deleted,
+  CAST(count(*) FILTER (gone AND NOT before) AS BIGINT) AS n_runs,
+  sha256(coalesce(string_agg(l, chr(10) ORDER BY line) FILTER (NOT gone), '')) AS kept_sha256
+FROM found GROUP BY doc_id
+UNION ALL
+SELECT doc_id, 0, 0, 0, sha256('') FROM documents WHERE text IS NULL
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": OP10_SQL}
