@@ -21,11 +21,10 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import zlib
 from functools import lru_cache
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +44,26 @@ FILLINGS = 24
 #: Chunks whose ids a worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 700_000
 
-# Code points whose case or composition isn't their own affair, white space on
-# which str.split() and the tokenizer's pattern may differ, special strings.
-_ODD = re.compile("[\\x00\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u0130\\u0300-\\U0010ffff]|<\\|")
-# A full stop or comma beside another mark: the two may be one token.
-_TOUCHING = re.compile(r"[.,](?:[^\s\w]|_)|(?:[^\s\w]|_)[.,]")
+# Bytes of UTF-8 that send a text to the tokenizer whole: control characters on
+# which str.split() and the tokenizer's pattern may differ, and what begins code
+# points from U+0300, whose case or composition may not be their own affair.
+_ODD_BYTES = bytes([0, 11, 12, 28, 29, 30, 31, *range(0xCC, 0x100)])
+_ODD_STRINGS = ("\x85", "\xa0", "\u0130", "<|")
+# Classes of bytes: full stop or comma; another mark; white space; anything else.
+_CLASS = bytes(100 if c in b".," else 32 if c in b" \t\n\r" else 119 if c >= 128 or chr(c).isalnum() else 109 for c in range(256))
+
+
+def _parts(text: str) -> list[str] | None:
+    """Chunks of a text whose tokens are theirs; None if it must stay whole."""
+    raw = text.encode("utf-8", "replace")
+    if len(raw.translate(None, _ODD_BYTES)) != len(raw) or any(x in text for x in _ODD_STRINGS):
+        return None
+    kinds = raw.translate(_CLASS)
+    low = text.lower()
+    # Marks beyond ASCII begin with 0xC2 or 0xCB, or are one of two signs.
+    if b"dd" in kinds or b"dm" in kinds or b"md" in kinds or b"\xc2" in raw or b"\xcb" in raw or "\u00d7" in text or "\u00f7" in text:
+        return low.split()
+    return low.replace(".", " . ").replace(",", " , ").split()
 
 
 class _Ragged:
@@ -69,7 +83,8 @@ class _Ragged:
         self.flat = np.concatenate([self.flat, flat])
 
     def codes(self, keys: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        """Their numbers; -1 if unknown."""
+        return np.fromiter(map(self.number.get, keys, repeat(-1)), np.int64, len(keys))
 
     def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of these rows, and the rows' lengths."""
@@ -93,36 +108,40 @@ class ChunkTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For chunks that are one word of letters, there is nothing to normalise or split.
+        self.lean = Tokenizer(self.tokenizer.model)
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.chunks = _Ragged()
 
     def _learn(self, chunks: list[str]) -> None:
-        got = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        size = np.array([len(c) for c in chunks], np.int64)
-        start = np.cumsum(size + 1) - size - 1
-        of = np.searchsorted(start, np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
-        self.chunks.add(chunks, np.bincount(of, minlength=len(chunks)), np.array(got.ids, np.uint32))
+        for tokenizer, part in ((self.lean, [c for c in chunks if c.isalpha()]), (self.tokenizer, [c for c in chunks if not c.isalpha()])):
+            got = tokenizer.encode(" ".join(part), add_special_tokens=False)
+            size = np.array([len(c) for c in part], np.int64)
+            start = np.cumsum(size + 1) - size - 1
+            of = np.searchsorted(start, np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
+            self.chunks.add(part, np.bincount(of, minlength=len(part)), np.array(got.ids, np.uint32))
 
     def ids(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (and the last ends)."""
         if len(self.chunks.number) > REMEMBERED:
             self.chunks = _Ragged()
         whole: dict[int, np.ndarray] = {}
-        listed: list[list[str]] = []
+        listed = [_parts(t) for t in texts]
         for i, t in enumerate(texts):
-            if _ODD.search(t):
+            if listed[i] is None:
                 whole[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-                listed.append([])
-            elif _TOUCHING.search(t):
-                listed.append(t.lower().split())
-            else:
-                listed.append(t.lower().replace(".", " . ").replace(",", " , ").split())
-        fresh = set().union(*listed) - self.chunks.number.keys()
-        if fresh:
-            self._learn(list(fresh))
-        flat, size = self.chunks.gather(self.chunks.codes(list(chain.from_iterable(listed))))
+                listed[i] = []
+        chunks = list(chain.from_iterable(listed))
+        codes = self.chunks.codes(chunks)
+        unseen = np.flatnonzero(codes < 0)
+        if len(unseen):
+            new = [chunks[i] for i in unseen.tolist()]
+            self._learn(list(set(new)))
+            codes[unseen] = self.chunks.codes(new)
+        flat, size = self.chunks.gather(codes)
         ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0] + [len(x) for x in listed])]
         total = np.diff(ends)
         for i, x in whole.items():
