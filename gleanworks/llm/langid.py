@@ -16,6 +16,7 @@ wins; repeated rows are predicted alike.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,64 +28,95 @@ from .common import blocks, column, map_blocks, strings
 
 DIMENSIONS = 1024
 #: Letters other than by chance have vectors of their own.
-SYMBOLS = 4096
+SYMBOLS, DENSE = 4096, 128
 #: About so many labelled documents are learned from at most (drawn by a hash of doc_id).
 LEARN_FROM = 24_000
-#: Trigram vectors that a worker keeps.
-KEPT = 40_000
+#: Texts whose vectors are made at once.
+BATCH_CHARS, BATCH_TEXTS = 400_000, 96
 UNKNOWN = "und"
 
 
 @lru_cache(1)
 def _symbols() -> np.ndarray:
-    """Symbol of each code point: 0 if it's no letter."""
-    out = np.zeros(0x110000, np.int64)
+    """Symbol of each code point: 0 if it's no letter. Those of Latin letters
+    are 1 to DENSE - 1; all others share the rest."""
+    out = np.zeros(0x110000, np.int16)
+    dense: dict[int, int] = {}
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
             low = ord(c.lower()[0])
-            out[cp] = low if low < 1024 else 1024 + low * 2_654_435_761 % (SYMBOLS - 1024)
+            if low < 0x180 and (low in dense or len(dense) < DENSE - 1):
+                out[cp] = dense.setdefault(low, len(dense) + 1)
+            else:
+                out[cp] = DENSE + low * 2_654_435_761 % (SYMBOLS - DENSE)
     return out
 
 
 class Encoder:
-    """Vectors of texts."""
+    """Vectors of texts, many at once."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = 7):
         self.symbols = _symbols()
         letters = np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dimensions), np.int8) * 2 - 1
         self.letters = [np.roll(letters, k, 1) for k in (2, 1, 0)]
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known = np.zeros(0, np.int64)
-        self.row = np.zeros(0, np.int64)
-        self.vectors = np.zeros((0, self.letters[0].shape[1]), np.float32)
-
-    def vector(self, text: str) -> np.ndarray | None:
-        """The bundle of all trigrams; None if there's no letter."""
-        s = self.symbols[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+        self.row = np.full(DENSE**3, -1, np.int32)  # of a trigram of Latin letters, in `vectors`
+        self.vectors = np.zeros((0, dimensions), np.float32)
+
+    def _bind(self, codes: np.ndarray, base: int) -> np.ndarray:
+        a, b, c = codes // base // base, codes // base % base, codes % base
+        return (self.letters[0][a] * self.letters[1][b] * self.letters[2][c]).astype(np.float32)
+
+    def bundle(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each text has a letter, and the sum of its trigrams' vectors."""
+        cp = np.frombuffer("".join([t + "\n" for t in texts]).encode("utf-32-le", "replace"), np.uint32)
+        doc = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+        s = self.symbols[cp]
         letter = s > 0
-        if not letter.any():
-            return None
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # a letter, or the first of what parts two words
-        s = np.concatenate([[0], s[keep], [0]])
-        codes, n = np.unique((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], return_counts=True)
-        at = np.searchsorted(self.known, codes)
-        fresh = codes[np.append(self.known, -1)[at] != codes]
+        s, doc = np.concatenate([[0], s[keep], [0]]).astype(np.int64), doc[keep]
+        has = np.bincount(doc, minlength=len(texts)) > 0
+        out = np.zeros((len(texts), self.vectors.shape[1]), np.float32)
+        if not len(doc):
+            return has, out
+        a, b, c = s[:-2], s[1:-1], s[2:]
+        own = (b > 0) | (doc == np.append(doc[1:], -1))  # what parts two texts is no middle
+        a, b, c, doc = a[own], b[own], c[own], doc[own]
+        latin = np.maximum(np.maximum(a, b), c) < DENSE
+        codes = ((a * DENSE + b) * DENSE + c)[latin]
+        row = self.row[codes]
+        fresh = np.unique(codes[row < 0])
         if len(fresh):
-            if len(self.known) + len(fresh) > KEPT:
-                self._reset()
-                fresh = codes
-            a, b, c = fresh // SYMBOLS // SYMBOLS, fresh // SYMBOLS % SYMBOLS, fresh % SYMBOLS
-            row = len(self.vectors) + np.arange(len(fresh))
-            self.vectors = np.concatenate([self.vectors, (self.letters[0][a] * self.letters[1][b] * self.letters[2][c]).astype(np.float32)])
-            known, row = np.concatenate([self.known, fresh]), np.concatenate([self.row, row])
-            order = np.argsort(known)
-            self.known, self.row = known[order], row[order]
-            at = np.searchsorted(self.known, codes)
-        return n.astype(np.float32) @ self.vectors[self.row[at]]
+            self.row[fresh] = len(self.vectors) + np.arange(len(fresh))
+            self.vectors = np.concatenate([self.vectors, self._bind(fresh, DENSE)])
+            row = self.row[codes]
+        k = len(self.vectors)
+        if k:
+            counts = np.bincount(doc[latin] * k + row, minlength=len(texts) * k).reshape(-1, k)
+            used = np.flatnonzero(counts.any(0))
+            out += counts[:, used].astype(np.float32) @ self.vectors[used]
+        other = np.flatnonzero(~latin)
+        for at in np.split(other, range(5000, len(other), 5000)) if len(other) else []:
+            np.add.at(out, doc[at], self._bind((a[at] * SYMBOLS + b[at]) * SYMBOLS + c[at], SYMBOLS))
+        return has, out
+
+
+@lru_cache(1)
+def worker_encoder(dimensions: int) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    return Encoder(dimensions)
+
+
+def _batches(texts: list[str]) -> Iterator[slice]:
+    at = held = 0
+    for i, t in enumerate(texts):
+        if i > at and (held + len(t) > BATCH_CHARS or i - at == BATCH_TEXTS):
+            yield slice(at, i)
+            at, held = i, 0
+        held += len(t)
+    if texts:
+        yield slice(at, len(texts))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -99,11 +131,14 @@ def learn(docs: DataFrame, bound: int = LEARN_FROM, dimensions: int = DIMENSIONS
     drawn = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def bundle(batches):
-        encoder, sums = Encoder(dimensions), {}
+        encoder, sums = worker_encoder(dimensions), {}
         for block in blocks(batches):
-            for lang, text in zip(column(block, "lang").to_pylist(), strings(block), strict=True):
-                if (v := encoder.vector(text)) is not None:
-                    sums[lang] = sums.get(lang, 0) + v / max(np.linalg.norm(v), 1e-9)
+            texts, langs = strings(block), np.array(column(block, "lang").to_pylist(), object)
+            for part in _batches(texts):
+                _, v = encoder.bundle(texts[part])
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+                for lang in set(langs[part]):
+                    sums[lang] = sums.get(lang, 0) + v[langs[part] == lang].sum(0, dtype=np.float64)
         for lang, v in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang], "bundle": pa.array([v.tolist()], pa.list_(pa.float64()))})
 
@@ -127,22 +162,18 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
     shared = shared / max(np.linalg.norm(shared), 1e-9)
     own = prototypes - np.outer(prototypes @ shared, shared)
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
-    made: list[Encoder] = []
-
-    def one(encoder: Encoder, text: str) -> tuple[str, float]:
-        v = encoder.vector(text) if langs else None
-        if v is None:
-            return UNKNOWN, 0.0
-        v = v - (v @ shared) * shared
-        cosines = own @ v / max(np.linalg.norm(v), 1e-9)
-        best = int(np.argmax(cosines))
-        return langs[best], float(min(1.0, max(0.0, cosines[best])))
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
-        if not made:
-            made.append(Encoder(dimensions))
-        got = [one(made[0], t) for t in strings(block)]
-        return pa.RecordBatch.from_arrays([*(column(block, c) for c in names), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], [*names, "lang_pred", "score"])
+        texts = strings(block)
+        pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        for part in _batches(texts) if langs else ():
+            has, v = worker_encoder(dimensions).bundle(texts[part])
+            v = v - np.outer(v @ shared, shared)
+            cosines = (v @ own.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            best = cosines.argmax(1)
+            pred[part] = np.where(has, np.array(langs, object)[best], UNKNOWN)
+            score[part] = np.where(has, np.clip(cosines.max(1), 0, 1), 0)
+        return pa.RecordBatch.from_arrays([*(column(block, c) for c in names), pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     return map_blocks(docs.select(*(f"`{c}`" for c in names)), run, schema)
 
