@@ -23,7 +23,7 @@ are, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Lines of the shortest run that counts.
@@ -31,29 +31,30 @@ LEAST = 2
 SALTS = 16
 
 
-def _names(lines: Column, least: int) -> Column:
-    """For each line, the name of the ``least`` lines from there (fewer near the end)."""
-    names = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.trim(F.translate(x, "\t\r\f\v", "    ")) != "").alias("full")))
-
-    def join(names: Column, ahead: int) -> Column:
-        return F.transform(
-            names,
-            lambda x, i: F.struct(F.xxhash64(x["h"], F.get(names, i + ahead)["h"]).alias("h"), (x["full"] | F.coalesce(F.get(names, i + ahead)["full"], F.lit(False))).alias("full")),
-        )
-
+def _doubled(named: DataFrame, least: int) -> DataFrame:
+    """From lines to names: for each line, the hash of the ``least`` lines from
+    there (h), and whether any of them has more than white space (full). Each
+    round is a projection of its own, so that a name is made once."""
+    named = named.withColumns({"h": F.transform("lines", lambda x: F.xxhash64(x)), "full": F.transform("lines", lambda x: x.rlike("\\S"))}).drop("lines")
     k = 1
-    while 2 * k <= least:
-        names = join(names, k)
-        k *= 2
-    return join(names, least - k) if k < least else names
+    while k < least:
+        ahead = min(k, least - k)
+        named = named.withColumns(
+            {
+                "h": F.zip_with("h", F.slice("h", ahead + 1, F.col("n")), lambda a, b: F.xxhash64(a, b)),
+                "full": F.zip_with("full", F.slice("full", ahead + 1, F.col("n")), lambda a, b: a | F.coalesce(b, F.lit(False))),
+            }
+        )
+        k += ahead
+    return named
 
 
 def find_copies(docs: DataFrame, least: int = LEAST, salts: int = SALTS) -> DataFrame:
     """Of each text with lines to delete: doc_id, text_hash, gone (sorted numbers of lines, from 0)."""
     text = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     named = text.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"))
-    named = named.filter(F.size("lines") >= least).select("doc_id", "text_hash", F.size("lines").alias("n"), _names(F.col("lines"), least).alias("names"))
-    places = named.select("doc_id", "text_hash", "n", F.posexplode("names").alias("line", "name"))
+    named = _doubled(named.withColumn("n", F.size("lines")).filter(F.col("n") >= least), least)
+    places = named.select("doc_id", "text_hash", "n", F.posexplode(F.arrays_zip("h", "full")).alias("line", "name"))
     places = places.filter((F.col("line") <= F.col("n") - least) & F.col("name.full")).select("doc_id", "text_hash", "line", F.col("name.h").alias("name"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("line"), F.col("text_hash"))
     intervals = places.groupBy("name").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
@@ -71,14 +72,14 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, salts: int = SALTS) -> Data
     gone = find_copies(docs, least, salts).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record"), F.xxhash64("text").alias("text_hash"))
     met = rows.join(gone, F.col("record.doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")) & F.col("record.text").isNotNull(), "left")
-    lines = F.split("record.text", "\n", -1)
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i)), "\n")
+    met = met.select("record", "gone", F.split("record.text", "\n", -1).alias("lines"))
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i)), "\n")
     runs = F.size(F.array_except(F.col("gone"), F.transform("gone", lambda i: i + 1)))
     some = F.col("gone").isNotNull()
     return met.select(
         "record",
         F.when(some, kept).otherwise(F.col("record.text")).alias("text"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.when(some, F.size("gone")).otherwise(0).cast("long").alias("n_deleted"),
         F.when(some, runs).otherwise(0).cast("long").alias("n_runs"),
     )
