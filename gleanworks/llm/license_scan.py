@@ -67,7 +67,7 @@ def template_grams(spark: SparkSession) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Words. lower() does more than A-Z, but it moves no word's edge and makes no phrase."""
-    return F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
 
 
 def _places(phrase: str, words: Column) -> Column:
@@ -82,7 +82,8 @@ def spans(docs: DataFrame) -> DataFrame:
     (the share of the template's grams that the span holds)."""
     words = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
     hashes = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
-    rolled = words.filter(F.size("words") >= GRAM).select("doc_id", "text_hash", F.posexplode(F.slice(hashes, F.lit(1), F.size("words") - (GRAM - 1))).alias("i", "gram_hash"))
+    full = F.greatest(F.size("words") - (GRAM - 1), F.lit(0))  # the last grams are cut off
+    rolled = words.select("doc_id", "text_hash", F.posexplode(F.slice(hashes, F.lit(1), full)).alias("i", "gram_hash"))
     votes = rolled.join(F.broadcast(template_grams(docs.sparkSession)), "gram_hash")
     votes = votes.groupBy("doc_id", "text_hash", "template", "label", "grams", (F.col("i") - F.col("j")).alias("diagonal"), "i", "j").agg(F.lit(1).alias("one"))  # equal rows vote once
     diagonals = votes.groupBy("doc_id", "text_hash", "template", "label", "grams", "diagonal").agg(F.collect_set("j").alias("js"), F.min("i").alias("lo"), F.max("i").alias("hi"))
