@@ -1,10 +1,71 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, packing."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept. All but the last return the columns of ``documents``; the last returns
+the packed pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanworks.llm import decontaminate, langid, line_dedup, near_dedup, packing
+from gleanworks.llm.common import materialise, table
+
+#: SQL can't express sketches, language prototypes or packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: those with no letter."""
+    found = langid.predict(docs, *langid.learn(docs))
+    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later copies of line runs; documents that had nothing else go."""
+    found = line_dedup.dedup_lines(docs)
+    left = found.filter((F.col("n_deleted") == 0) | F.col("text").rlike(r"\S"))
+    fresh = {"text": F.col("text"), "n_chars": F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("record.n_chars"))}
+    return left.select(*(fresh.get(c, F.col(f"record.`{c}`")).alias(c) for c in docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each group of near-duplicates (and one of repeated rows)."""
+    found = materialise(near_dedup.near_duplicates(docs))
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    twice = found.filter("kept").groupBy(F.col("doc_id").alias("twice_id")).count().filter("count > 1").select("twice_id")
+    if twice.isEmpty():
+        return left
+    same = F.col("doc_id").eqNullSafe(F.col("twice_id"))
+    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark passage."""
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("spans") == 0).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences."""
+    return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
