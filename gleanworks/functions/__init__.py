@@ -1 +1 @@
-
+"""Column functions and the pure functions behind UDFs."""
