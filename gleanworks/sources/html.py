@@ -178,8 +178,10 @@ def plain_blocks(text: str) -> list[tuple[str, list[str]]]:
     return [(p, []) for p in map(collapse_text, re.split(r"\n\s*\n", text or "")) if p]
 
 
-@F.pandas_udf("struct<title:string,warnings:array<string>,blocks:array<struct<text:string,heading_path:array<string>>>>")
-def page_udf(html: pd.Series, content_type: pd.Series) -> pd.DataFrame:
+_PAGE = "struct<title:string,warnings:array<string>,blocks:array<struct<text:string,heading_path:array<string>>>>"
+
+
+def _pages(html: pd.Series, content_type: pd.Series) -> pd.DataFrame:
     rows = []
     for h, kind in zip(html, content_type, strict=True):
         if kind == "text/plain":
@@ -192,11 +194,18 @@ def page_udf(html: pd.Series, content_type: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "warnings", "blocks"])
 
 
-@F.pandas_udf("array<string>")
-def links_udf(html: pd.Series, base: pd.Series) -> pd.Series:
+def page_udf(html: Column, content_type: Column) -> Column:
+    return F.pandas_udf(_pages, _PAGE)(html, content_type)
+
+
+def _links(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([extract_links(h or "", b or "") for h, b in zip(html, base, strict=True)], index=html.index)
 
 
+def links_udf(html: Column, base: Column) -> Column:
+    return F.pandas_udf(_links, "array<string>")(html, base)
+
+
 def page_documents(pages: DataFrame) -> DataFrame:
     """Pages (url, html, optional content_type) with title, warnings and blocks."""
     kind = F.col("content_type") if "content_type" in pages.columns else F.lit("text/html")
