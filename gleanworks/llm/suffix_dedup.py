@@ -38,12 +38,13 @@ from .common import blocks, column, discard, map_blocks, materialise, strings
 WINDOW = 200
 GRAM = 64
 SPAN = WINDOW - GRAM + 1  # grams in a window
-#: Windows whose anchors are found at once; 23 bits number them.
-CHUNK = (1 << 23) - 2 * WINDOW
+#: Windows whose anchors are found at once, so that a worker's arrays stay in
+#: its cache; at most 23 bits may number them.
+CHUNK = 1 << 16
 #: Bits of the filter of recurring anchors.
 FILTER_BITS = 1 << 26
 #: Bytes of one index.
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 256 << 10
 #: An anchor with more different contexts is counted by windows.
 INDEXED_CONTEXTS = 6000
 SALTS = 32
@@ -143,23 +144,30 @@ def candidates(docs: DataFrame, words: np.ndarray) -> DataFrame:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Of bytes, by prefix doubling from 7 bytes on."""
+    """Of bytes, by prefix doubling from 7 bytes on. A suffix's rank is where its
+    group begins; a round sorts only the suffixes whose group isn't settled."""
     n = len(text)
     padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(8, np.int64)])
     key = np.zeros(n, np.int64)
     for k in range(7):
         key = key * 257 + padded[k : k + n]
+    order = np.argsort(key)
+    rank = np.zeros(n + 1, np.int64)  # that of the end is 0, and of suffixes from 1 on
+    at = np.arange(n)  # places in `order` that aren't settled
+    key = key[order]
     k = 7
     while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        if fresh[-1] == n - 1:
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.flatnonzero(fresh)
+        rank[order[at]] = np.repeat(at[first], np.diff(np.append(first, len(at)))) + 1
+        alone = fresh & np.append(fresh[1:], True)
+        at = at[~alone]
+        if not len(at):
             return order
-        rank = np.empty(n + 1, np.int64)
-        rank[order] = fresh + 1
-        rank[n] = 0
-        key = rank[:n] * (n + 2) + rank[np.minimum(np.arange(n) + k, n)]
+        some = order[at]
+        key = rank[some] * (n + 2) + rank[np.minimum(some + k, n)]
+        again = np.argsort(key)
+        order[at], key = some[again], key[again]
         k *= 2
 
 
