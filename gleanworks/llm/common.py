@@ -18,7 +18,14 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLOCK_BYTES = 8 << 20
 
 
+#: Rows of an Arrow batch; each may hold a whole text.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder. Arrow batches get few rows from here on,
+    since a row's size has no bound."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +47,7 @@ def materialise(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     can ``discard`` them sooner.
     """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     path = f"{shared_dir(spark)}/gleanworks-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(discard, spark, path)
@@ -83,11 +91,11 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
         yield batch.slice(at)
 
 
-def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
+def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
     """``mapInArrow`` of a function from one block to one batch."""
 
     def run(batches):
-        for block in blocks(batches, text):
+        for block in blocks(batches, text, most):
             yield fn(block)
 
     return df.mapInArrow(run, schema)

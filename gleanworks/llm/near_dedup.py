@@ -11,16 +11,18 @@ similarity; what is clearly below the threshold goes, and the rest is verified
 on the full sets.
 
 Groups are never paired with themselves. Equal sets are one node. In each
-bucket, a round compares a few pivots with the nodes of other components, links
-what is verified, and takes the pivots out; rounds double the pivots and prefer
-those of large components, and end when no bucket holds two components. So all
-pairs of a bucket are compared or connected otherwise, and no link is lost,
-while a group of n copies costs about n comparisons.
+bucket, a first round compares one pivot with all other nodes and links what is
+verified; that connects most groups at about one comparison a node. Buckets
+that still hold two components are finished in memory, each pair of nodes of
+different components being compared there without being listed. A bucket whose
+sets are too large for that goes on in rounds: pivots are taken out of it, and
+each round doubles them and prefers those of large components. So all pairs of
+a bucket are compared or connected otherwise, and no link is lost.
 
 Defined cases: null or empty text, or text without words, has an empty set and
 is linked with nothing; a text of fewer than five words is one shingle; rows
 with equal sets are linked; rows with null doc_id take part but give no id (a
-component of such rows alone has a null id, and ``kept`` is true); rows that
+component of such rows alone has a null id, and all of them are kept); rows that
 share a doc_id with different texts are linked only if their sets are.
 """
 
@@ -50,7 +52,11 @@ LEAST_ESTIMATE = 0.55
 #: Bits of the filter that says which documents' sets to make again.
 FILTER_BITS = 1 << 25
 #: Distinct words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Bytes of sets of a bucket that one task finishes in memory.
+BUCKET_BYTES = 48 << 20
+#: Bytes of text hashed at once.
+BLOCK = 2 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.random.default_rng(20).integers(0, 1 << 63, REGISTERS + SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,7 +131,7 @@ def _node(s: np.ndarray) -> bytes | None:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set, null if empty), bands."""
+    """doc_id, text_hash, n_shingles, node (digest of the set, null if empty), bands."""
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
         sets, hashes, many = _sets(strings(block))
@@ -134,9 +140,9 @@ def signatures(docs: DataFrame) -> DataFrame:
             regs[many > 0] = sketch(hashes, many)
         keys = regs.astype("<u2").view("<i8").reshape(-1)
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys))
-        return pa.RecordBatch.from_arrays([column(block, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.binary()), bands], ["doc_id", "n_shingles", "node", "bands"])
+        return pa.RecordBatch.from_arrays([column(block, "doc_id"), column(block, "text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.binary()), bands], ["doc_id", "text_hash", "n_shingles", "node", "bands"])
 
-    return map_blocks(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, bands array<long>")
+    return map_blocks(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, node binary, bands array<long>", most=BLOCK)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -153,7 +159,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(words.view(np.uint64))
 
     def run(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, most=BLOCK):
             b = column(block, "bit").to_numpy(zero_copy_only=False)
             hit = sent.value[b // 64] >> (b % 64).astype(np.uint64) & np.uint64(1) == 1
             if hit.any():
@@ -199,9 +205,74 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", "s_u", "s_v").mapInArrow(run, "u binary, v binary")
 
 
+def _finished(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between the components of each bucket, every pair of nodes
+    of different components compared, bucket by bucket in memory.
+
+    In a bucket, a node that isn't of the largest component is compared with all
+    nodes that aren't of its own, at once: counts of shingles under a mask.
+    """
+
+    def solve(nodes: list[bytes], comps: list[bytes], raw: list[bytes], out: list) -> None:
+        held = [np.frombuffer(x, np.uint64) for x in raw]
+        size = np.array([len(x) for x in held], np.int64)
+        _, ids = np.unique(np.concatenate(held), return_inverse=True)
+        start = np.cumsum(size) - size
+        names, comp = np.unique(np.array([c.hex() for c in comps]), return_inverse=True)
+        largest = np.bincount(comp).argmax()
+        mask = np.zeros(ids.max() + 1, bool)
+        for i in np.flatnonzero(comp != largest):
+            if (comp == comp[i]).all():
+                break
+            own = ids[start[i] : start[i] + size[i]]
+            mask[own] = True
+            common = np.add.reduceat(mask[ids], start, dtype=np.int64)
+            mask[own] = False
+            for j in np.flatnonzero((100 * common >= PERCENT * (size[i] + size - common)) & (comp != comp[i])):
+                if comp[j] != comp[i]:
+                    out.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+                    comp[comp == comp[j]] = comp[i]
+
+    def run(batches):
+        at, held, out = None, ([], [], []), []
+        for b in batches:
+            for band, key, *row in zip(*(column(b, c).to_pylist() for c in ("band", "key", "node", "comp", "shingles")), strict=True):
+                if at != (band, key):
+                    if len(held[0]) > 1:
+                        solve(*held, out)
+                    at, held = (band, key), ([], [], [])
+                for x, y in zip(held, row, strict=True):
+                    x.append(y)
+            if len(out) > 5000:
+                yield _pairs(out)
+                out = []
+        if len(held[0]) > 1:
+            solve(*held, out)
+        if out:
+            yield _pairs(out)
+
+    full = members.join(sets, "node").select("band", "key", "node", "comp", "shingles")
+    return full.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(run, "u binary, v binary").distinct()
+
+
+def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["u", "v"])
+
+
+def _renamed(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, comp, size) after more links."""
+    fresh = components(links if labels is None else _relabelled(links, labels)).withColumnRenamed("comp", "new")
+    if labels is None:
+        named = fresh.withColumnRenamed("new", "comp")
+    else:  # old components that were joined get their new name
+        moved = labels.select("node", "comp").join(fresh.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
+        named = moved.union(fresh.join(labels, "node", "left_anti").select("node", F.col("new").alias("comp")))
+    return named.join(named.groupBy("comp").agg(F.count("*").alias("size")), "comp").select("node", "comp", "size")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document (doc_id, text): doc_id, n_shingles, component_id
-    (smallest doc_id that links lead to), kept."""
+    """One row per document (doc_id, text): doc_id, text_hash, n_shingles,
+    component_id (smallest doc_id that links lead to), kept."""
     spark = docs.sparkSession
     kept: list[str] = []
     signed = materialise(signatures(docs), kept)
@@ -212,32 +283,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = labels = None
     rounds = 0
     while True:
-        # Buckets with more than one component.
-        ends = members.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band", "key")
-        members = materialise(members.join(ends, ["band", "key"], "left_semi"), kept)
+        # Buckets with more than one component, and their bytes of sets.
+        sized = members.join(nodes.select("node", "n_shingles"), "node")
+        ends = sized.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.col("n_shingles") * 8).alias("bytes")).filter("lo != hi").select("band", "key", "bytes")
+        members = materialise(members.join(ends, ["band", "key"]), kept)
         if members.isEmpty():
             break
         if sets is None:
             wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
             sets = materialise(full_sets(docs, materialise(wanted, kept)), kept)
+        found = None
+        if rounds:  # what fits into memory is finished there, the rest goes on in rounds
+            found = materialise(_finished(members.filter(F.col("bytes") <= BUCKET_BYTES), sets), kept)
+            members = members.filter(F.col("bytes") > BUCKET_BYTES)
+        members = members.drop("bytes")
         slot = F.pmod(F.xxhash64("node", F.lit(rounds)), F.lit(1 << min(rounds, 30)))
         first = F.max(F.struct(F.col("size"), F.xxhash64("node").alias("draw"), F.col("node"), F.col("comp")))
-        pivots = materialise(members.groupBy("band", "key", slot.alias("slot")).agg(first.alias("p")).select("band", "key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp")), kept)
-        pairs = members.join(pivots, ["band", "key"]).filter("comp != pivot_comp").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
-        links = materialise(_verified(materialise(_estimated(pairs, nodes), kept), sets), kept)
-        rest = members.join(pivots.withColumnRenamed("pivot", "node"), ["band", "key", "node"], "left_anti").select("band", "key", "node", "comp")
-        if not links.isEmpty():
-            fresh = components(links if labels is None else _relabelled(links, labels)).withColumnRenamed("comp", "new")
-            if labels is None:
-                named = fresh.withColumnRenamed("new", "comp")
-            else:  # old components that were joined get their new name
-                moved = labels.select("node", "comp").join(fresh.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
-                named = moved.union(fresh.join(labels, "node", "left_anti").select("node", F.col("new").alias("comp")))
-            labels = materialise(named.join(named.groupBy("comp").agg(F.count("*").alias("size")), "comp").select("node", "comp", "size"), kept)
+        if not rounds or not members.isEmpty():
+            pivots = materialise(members.groupBy("band", "key", slot.alias("slot")).agg(first.alias("p")).select("band", "key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp")), kept)
+            pairs = members.join(pivots, ["band", "key"]).filter("comp != pivot_comp").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
+            links = materialise(_verified(materialise(_estimated(pairs, nodes), kept), sets), kept)
+            members = members.join(pivots.withColumnRenamed("pivot", "node"), ["band", "key", "node"], "left_anti")
+            found = links if found is None else found.union(links)
+        if not found.isEmpty():
+            labels = materialise(_renamed(labels, found), kept)
+        members = members.select("band", "key", "node")
         if labels is None:
-            members = rest.withColumn("size", F.lit(1).cast("long"))
+            members = members.withColumns({"comp": F.col("node"), "size": F.lit(1).cast("long")})
         else:
-            members = rest.drop("comp").join(labels, "node", "left").select("band", "key", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
+            members = members.join(labels, "node", "left").select("band", "key", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
         rounds += 1
     if labels is None:
         ids = nodes.select("node", F.col("rep").alias("component_id"))
@@ -245,11 +319,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named = nodes.select("node", "rep").join(labels.select("node", "comp"), "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
         ids = named.join(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("node", "component_id")
     ids = materialise(ids)
-    out = signed.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "node").join(ids, "node", "left")
     alone = F.col("node").isNull()
-    out = out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.select("doc_id", "text_hash", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     discard(spark, *(p for p in kept[1:]))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _relabelled(links: DataFrame, labels: DataFrame) -> DataFrame:

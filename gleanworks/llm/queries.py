@@ -37,7 +37,7 @@ def op5_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
