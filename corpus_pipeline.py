@@ -35,12 +35,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near-duplicates (and one of repeated rows)."""
     found = materialise(near_dedup.near_duplicates(docs))
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    twice = found.filter("kept").groupBy(F.col("doc_id").alias("twice_id")).count().filter("count > 1").select("twice_id")
+    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & F.xxhash64("text").eqNullSafe(F.col("other_hash"))
+    keys = [F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash")]
+    left = docs.join(found.filter(~F.col("kept")).select(keys).distinct(), same, "left_anti")
+    twice = found.filter("kept").groupBy(keys).count().filter("count > 1").select("other_id", "other_hash")
     if twice.isEmpty():
         return left
-    same = F.col("doc_id").eqNullSafe(F.col("twice_id"))
     return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
