@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,36 +99,42 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(weight > 0, np.clip(2 * (a * b).sum(1) / np.maximum(weight, 1), 0, 1), 1.0)
 
 
-def with_next(docs: DataFrame, bytes_per_part: int = 16 << 20) -> DataFrame:
+def with_next(docs: DataFrame, bytes_per_part: int = 16 << 20, most_parts: int = 10_000) -> DataFrame:
     """Partitions in which each row (doc_id, text, last = false) is followed by
     the next one in descending order of doc_id. The first row of a partition is
     also the last of the one before it (last = true), and the very first that of
-    the last one. doc_ids alone decide the cuts; texts are shuffled once.
+    the last one. doc_ids alone decide the cuts; texts are shuffled once, and
+    partitions are streamed, so their number may stay below ``most_parts``.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     held = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    parts = int(max(24, -(-(held.bytes or 0) // bytes_per_part)))
+    parts = int(min(most_parts, max(24, -(-(held.bytes or 0) // bytes_per_part))))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("c")).first().c
-    cuts = sorted(set(cuts or []), reverse=True)
+    cuts = np.array(sorted(set(cuts or [])), np.int64)
     n = len(cuts) + 2  # the last part is that of null doc_ids
-    edges = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<long>")
-    part = F.when(F.col("doc_id").isNull(), n - 1).otherwise(_below(edges, len(cuts)))
-    placed = rows.withColumn("part", part.cast("int"))
-    heads = {r.part: r.head for r in placed.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
+
+    def part_of(ids: pa.Array) -> np.ndarray:
+        at = len(cuts) - np.searchsorted(cuts, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), "left")
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), n - 1, at)
+
+    @F.arrow_udf("int")
+    def part(ids: pa.Array) -> pa.Array:
+        return pa.array(part_of(ids), pa.int32())
+
+    # One row per partition: its first doc_id.
+    heads = {r.part: r.head for r in rows.select("doc_id", part("doc_id").alias("part")).groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
     order = sorted(heads)
     before = {p: order[i - 1] for i, p in enumerate(order)}  # of the first: the last
-    twice = F.lit(None).cast("int")
-    for p in order:
-        head = F.col("doc_id").isNull() if heads[p] is None else F.col("doc_id") == heads[p]
-        twice = F.when((F.col("part") == p) & head, F.lit(before[p])).otherwise(twice)
-    copies = F.filter(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("last")), F.struct(twice.alias("part"), F.lit(True).alias("last"))), lambda x: x["part"].isNotNull())
-    sent = placed.select("doc_id", "text", F.explode(copies).alias("to")).select("doc_id", "text", "to.part", "to.last")
-    return sent.repartitionById(n, F.col("part")).sortWithinPartitions("part", "last", F.col("doc_id").desc_nulls_last(), "text")
 
+    @F.arrow_udf("array<struct<part:int,last:boolean>>")
+    def places(ids: pa.Array) -> pa.Array:
+        out = []
+        for p, i in zip(part_of(ids).tolist(), ids.to_pylist(), strict=True):
+            out.append([{"part": p, "last": False}, {"part": before[p], "last": True}] if heads[p] == i else [{"part": p, "last": False}])
+        return pa.array(out, pa.list_(pa.struct([("part", pa.int32()), ("last", pa.bool_())])))
 
-def _below(edges, n: int):
-    """How many of the descending edges are greater than or equal to doc_id."""
-    return F.size(F.filter(edges, lambda e: e >= F.col("doc_id"))) if n else F.lit(0)
+    sent = rows.select("doc_id", "text", F.explode(places("doc_id")).alias("to")).select("doc_id", "text", "to.part", "to.last")
+    return sent.repartitionById(n, F.col("part")).sortWithinPartitions("part", "last", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

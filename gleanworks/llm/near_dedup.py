@@ -154,8 +154,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     bits = wanted.select(bit(F.col("rep")).alias("b")).groupBy(F.expr("cast(b div 64 AS INT)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(b, 64) AS INT))")).alias("x"))
     words = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in bits.toLocalIterator():  # at most FILTER_BITS / 64 rows, of any corpus
-        words[r.w] = r.x
+    got = bits.toArrow()  # at most FILTER_BITS / 64 rows, of any corpus
+    words[got["w"].to_numpy()] = got["x"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(words.view(np.uint64))
 
     def run(batches):

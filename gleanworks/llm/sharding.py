@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 20_011
-#: Bytes of text that one bucket holds on average; a task holds one bucket.
-BUCKET_BYTES = 16 << 20
-LEAST_BUCKETS = 48
+#: Bytes of text that one bucket holds on average; a task holds one bucket. So
+#: that very large corpora don't get too many buckets, they may be larger there,
+#: up to the second bound.
+BUCKET_BYTES, LARGEST_BUCKET = 16 << 20, 512 << 20
+LEAST_BUCKETS, MANY_BUCKETS = 48, 20_000
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = 24, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -38,7 +40,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, seed: int = SEED, buc
     )
     whole = records.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
     total = whole.rows
-    n = max(LEAST_BUCKETS, -(-(whole.bytes or 0) // bucket_bytes))
+    held_bytes = whole.bytes or 0
+    n = max(LEAST_BUCKETS, min(-(-held_bytes // bucket_bytes), max(MANY_BUCKETS, -(-held_bytes // LARGEST_BUCKET))))
     records = records.withColumn("bucket", F.pmod("draw", F.lit(n)).cast("int"))
     # One row of two numbers per bucket.
     held = np.zeros(n, np.int64)
