@@ -9,10 +9,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Bytes of text that a Python worker handles at once (a longer single text is one block).
 BLOCK_BYTES = 8 << 20
@@ -67,9 +66,19 @@ def discard(spark: SparkSession, *paths: str) -> None:
         pass
 
 
-def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(c, _UPPER, _UPPER.lower())
+#: A key is hot if it holds more than one in so many rows; so many keys are at most.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, info: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of ``rows`` with one row of ``info`` per key. ``weight``: rows of
+    a key. The hot keys, at most HOT_SHARE of them, are broadcast, so that no
+    task gets a key's rows; all others are joined by a shuffle. Both sides should
+    be written tables, since they are read twice."""
+    total = info.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT_SHARE > total
+    near = F.broadcast(info.filter(hot))
+    return rows.join(near, key).union(rows.join(near.select(key), key, "left_anti").join(info.filter(~hot), key))
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

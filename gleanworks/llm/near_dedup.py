@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column, discard, map_blocks, materialise, strings
+from .common import blocks, column, discard, join_hot, map_blocks, materialise, strings
 from .components import components
 
 SHINGLE = 5
@@ -259,7 +259,7 @@ def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["u", "v"])
 
 
-def _renamed(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _renamed(labels: DataFrame | None, links: DataFrame, made: list[str]) -> DataFrame:
     """Labels (node, comp, size) after more links."""
     fresh = components(links if labels is None else _relabelled(links, labels)).withColumnRenamed("comp", "new")
     if labels is None:
@@ -267,7 +267,8 @@ def _renamed(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     else:  # old components that were joined get their new name
         moved = labels.select("node", "comp").join(fresh.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
         named = moved.union(fresh.join(labels, "node", "left_anti").select("node", F.col("new").alias("comp")))
-    return named.join(named.groupBy("comp").agg(F.count("*").alias("size")), "comp").select("node", "comp", "size")
+    named = materialise(named, made)
+    return join_hot(named, named.groupBy("comp").agg(F.count("*").alias("size")), "comp", "size").select("node", "comp", "size")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -306,7 +307,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             members = members.join(pivots.withColumnRenamed("pivot", "node"), ["band", "key", "node"], "left_anti")
             found = links if found is None else found.union(links)
         if not found.isEmpty():
-            labels = materialise(_renamed(labels, found), kept)
+            labels = materialise(_renamed(labels, found, kept), kept)
         members = members.select("band", "key", "node")
         if labels is None:
             members = members.withColumns({"comp": F.col("node"), "size": F.lit(1).cast("long")})
@@ -316,8 +317,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if labels is None:
         ids = nodes.select("node", F.col("rep").alias("component_id"))
     else:
-        named = nodes.select("node", "rep").join(labels.select("node", "comp"), "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-        ids = named.join(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("node", "component_id")
+        named = materialise(nodes.select("node", "rep").join(labels.select("node", "comp"), "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp")), kept)
+        first = named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("held"))
+        ids = join_hot(named, first, "comp", "held").select("node", "component_id")
     ids = materialise(ids)
     out = signed.select("doc_id", "text_hash", "n_shingles", "node").join(ids, "node", "left")
     alone = F.col("node").isNull()
