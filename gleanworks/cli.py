@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schemas
+from .functions import identity
 from .functions.embedders import create_embedder
 from .operators import agent, answering, chunking, evaluation, harness, index, web
 from .sources import files, html, remote
@@ -79,8 +81,6 @@ def ingest_url(args, spark: SparkSession) -> int:
     ws = Workspace(args.workspace)
     pages = web.offline_pages(spark, lambda u: remote.fetch_url(u).text, args.urls)
     rows = pages.filter("html IS NOT NULL").select(web.normalize_url(F.col("url")).alias("source_path"), "html")
-    from .functions import identity
-
     rows = rows.withColumns({"source_id": identity.source_id(F.col("source_path")), "content_hash": F.sha2("html", 256)})
     docs = html.page_documents(rows.withColumn("doc_id", identity.document_id(F.col("source_id"), F.col("content_hash"))))
     blocks = docs.select("doc_id", "source_id", "source_path", "content_hash", F.posexplode("blocks").alias("block_pos", "b")).select("*", "b.text", "b.heading_path").drop("b")
@@ -118,9 +118,9 @@ def ask(args, spark: SparkSession) -> int:
 
 
 def evaluate(args, spark: SparkSession) -> int:
-    rows = files.read_jsonl(spark, args.samples, "name string, query string, relevant_chunk_ids array<string>, relevant_source_paths array<string>, min_score double")
+    rows = files.read_jsonl(spark, args.samples, schemas.SAMPLE)
     listed = [dict(ordinal=i, **r.asDict()) for i, r in enumerate(rows.collect(), 1)]  # a labelled file, read by a person
-    samples = evaluation.samples(spark.createDataFrame(listed, "ordinal long, name string, query string, relevant_chunk_ids array<string>, relevant_source_paths array<string>, min_score double"))
+    samples = evaluation.samples(spark.createDataFrame(listed, f"ordinal long, {schemas.SAMPLE}"))
     if bad := samples.filter("problem IS NOT NULL").first():
         raise ValueError(f"sample {bad.ordinal}: {bad.problem}")
     found = _search(Workspace(args.workspace), spark, [r["query"] for r in listed], args.top_k, args.min_score).withColumn("query_id", F.col("query_id") + 1)
@@ -130,7 +130,7 @@ def evaluate(args, spark: SparkSession) -> int:
 
 def run_harness(args, spark: SparkSession) -> int:
     """The mechanical answerer over a task file, scored."""
-    rows = files.read_jsonl(spark, args.tasks, "id string, query string, task_type string, relevant_chunk_ids array<string>, relevant_source_paths array<string>, expected_points array<string>, category string, auto boolean")
+    rows = files.read_jsonl(spark, args.tasks, schemas.TASK)
     if bad := harness.check_tasks(rows).filter("problem IS NOT NULL").first():
         raise ValueError(f"task {bad.id}: {bad.problem}")
     listed = rows.collect()
@@ -144,8 +144,13 @@ def run_harness(args, spark: SparkSession) -> int:
     call = F.array(F.struct(F.lit(agent.SEARCH).alias("name"), F.coalesce("results", F.array().cast(hits.schema["results"].dataType)).alias("results")))
     audits = answers.join(hits, "task_id", "left").select("task_id", F.lit(0).alias("run_id"), "answer", F.coalesce("results", F.array().cast(hits.schema["results"].dataType)).alias("evidence"), call.alias("tool_calls"))
     metrics = harness.task_metrics(tasks, audits).join(tasks.select("task_id", "auto", "category"), "task_id")
-    for r in harness.aggregate_sets(metrics).orderBy("section", "label").toJSON().collect():
-        print(r)
+    done = harness.report(metrics, "fake", "ideal-script", identity.sha256_text(Path(args.tasks).read_text(encoding="utf-8")))
+    for r in sorted(done["aggregate"], key=lambda r: (r["section"], r["label"])):
+        print(json.dumps(r, ensure_ascii=False))
+    if args.compare:
+        print(json.dumps(harness.compare_reports(json.loads(Path(args.compare).read_text()), done), ensure_ascii=False))
+    if args.report:
+        Path(args.report).write_text(json.dumps(done, ensure_ascii=False, sort_keys=True))
     return 0
 
 
@@ -224,7 +229,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--min-score", type=float, default=0.0 if least is None else least)
         for flag in ("--max-chars", "--overlap", "--dimension"):
             c.add_argument(flag, type=int, default={"--max-chars": 1200, "--overlap": 120}.get(flag))
-        c.add_argument("--embedding", default=None)
+        for flag in ("--embedding", "--report", "--compare"):
+            c.add_argument(flag, default=None)
         for flag in ("--incremental", "--dry-run", "--web"):
             c.add_argument(flag, action="store_true")
 

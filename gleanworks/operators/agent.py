@@ -6,12 +6,14 @@ import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.files import write_jsonl_atomic
 from ..sources.html import extract_blocks, extract_links, is_blocked_host, normalize_url
 
 SEARCH, FETCH = "search_knowledge_base", "fetch_web_page"
@@ -51,6 +53,19 @@ class History:
     def to_dict(self) -> dict:
         return {"schema_version": 1, "max_turns": self.max_turns, "turns": [{"user": u, "assistant": a} for u, a in self.turns]}
 
+    def save(self, path: str | Path) -> None:
+        write_jsonl_atomic([self.to_dict()], path)
+
+    @classmethod
+    def load(cls, path: str | Path, max_turns: int = 20) -> History:
+        """The one snapshot in a file; a missing file is an empty history."""
+        if not Path(path).exists():
+            return cls(max_turns=max_turns)
+        lines = [x for x in Path(path).read_text(encoding="utf-8").splitlines() if x.strip()]
+        if len(lines) != 1:
+            raise ValueError(f"{path}: {len(lines)} snapshots instead of one")
+        return cls.from_dict(json.loads(lines[0]), max_turns)
+
     @classmethod
     def from_dict(cls, value: dict, default: int = 20) -> History:
         if value.get("schema_version") != 1 or not isinstance(value.get("turns", []), list):
@@ -190,27 +205,56 @@ class Agent:
         except Exception as e:  # noqa: BLE001  errors are kept for audit
             return {"error": str(e)}
 
-    def run(self, question: str, history: History = History()) -> Run:
-        """A state machine of three nodes: ask the model, run its tools, finish."""
+    # A state machine of three nodes. ``run`` walks it; a graph runtime may call
+    # the nodes and routes itself, with the same result.
+
+    def start(self, question: str, history: History = History()) -> dict:
         question = question.strip()
         if not question:
             raise ValueError("no question")
-        limit = self.max_steps or (8 if self.web else 5)
         prompt = self.prompt or (WEB_PROMPT if self.web else LOCAL_PROMPT)
         messages = [{"role": "system", "content": prompt}, *history.messages(), {"role": "user", "content": question}]
-        calls, evidence = [], []
-        for step in range(1, limit + 1):
-            turn = self.chat(messages, self.tools())
-            messages.append({"role": "assistant", "content": turn.content, "tool_calls": [list(c) for c in turn.calls]})
-            if not turn.calls:
-                answer = (turn.content or "").strip() or EMPTY
-                return Run(question, answer, "completed", step, history.append(question, answer), messages, calls, evidence)
-            for call_id, name, arguments in turn.calls:
-                out = self.dispatch(name, arguments)
-                calls.append({"step": step, "call_id": call_id, "name": name, "arguments": arguments, "result": out})
-                evidence += [{"source_type": "local"} | r for r in out.get("results") or [] if isinstance(r, dict)]
-                messages.append({"role": "tool", "tool_call_id": call_id, "content": json.dumps(out, ensure_ascii=False)})
-        return Run(question, STOPPED, "max_steps", limit, history, messages, calls, evidence)
+        return {"question": question, "history": history, "messages": messages, "tool_calls": [], "evidence": [], "step": 0, "pending": (), "answer": None, "stopped_reason": None}
+
+    def ask(self, state: dict) -> dict:
+        """Asks the model: an answer, or calls that are pending then."""
+        turn = self.chat(state["messages"], self.tools())
+        said = {"role": "assistant", "content": turn.content, "tool_calls": [list(c) for c in turn.calls]}
+        state = state | {"step": state["step"] + 1, "messages": [*state["messages"], said], "pending": turn.calls}
+        if not turn.calls:
+            state |= {"answer": (turn.content or "").strip() or EMPTY, "stopped_reason": "completed"}
+        return state
+
+    def act(self, state: dict) -> dict:
+        """Runs the pending calls."""
+        calls, evidence, messages = list(state["tool_calls"]), list(state["evidence"]), list(state["messages"])
+        for call_id, name, arguments in state["pending"]:
+            out = self.dispatch(name, arguments)
+            calls.append({"step": state["step"], "call_id": call_id, "name": name, "arguments": arguments, "result": out})
+            evidence += [{"source_type": "local"} | r for r in out.get("results") or [] if isinstance(r, dict)]
+            messages.append({"role": "tool", "tool_call_id": call_id, "content": json.dumps(out, ensure_ascii=False)})
+        state = state | {"tool_calls": calls, "evidence": evidence, "messages": messages, "pending": ()}
+        if state["step"] >= (self.max_steps or (8 if self.web else 5)):
+            state |= {"answer": STOPPED, "stopped_reason": "max_steps"}
+        return state
+
+    @staticmethod
+    def route(state: dict) -> str:
+        return "finish" if state["stopped_reason"] else "act" if state["pending"] else "ask"
+
+    @staticmethod
+    def finish(state: dict) -> Run:
+        """Only completed runs become part of the history."""
+        past = state["history"]
+        if state["stopped_reason"] == "completed":
+            past = past.append(state["question"], state["answer"])
+        return Run(state["question"], state["answer"], state["stopped_reason"], state["step"], past, state["messages"], state["tool_calls"], state["evidence"])
+
+    def run(self, question: str, history: History = History()) -> Run:
+        state = self.start(question, history)
+        while (node := self.route(state)) != "finish":
+            state = getattr(self, node)(state)
+        return self.finish(state)
 
 
 def turns(messages: DataFrame) -> DataFrame:
@@ -261,3 +305,9 @@ def collect_evidence(calls: DataFrame) -> DataFrame:
     each = calls.select("task_id", "call_pos", F.posexplode("results").alias("pos", "r"))
     along = Window.partitionBy("task_id").orderBy("call_pos", "pos")
     return each.select("task_id", F.row_number().over(along).alias("number"), F.coalesce("r.source_type", F.lit("local")).alias("source_type"), "r.chunk_id", "r.source_path")
+
+
+def last_messages(messages: DataFrame) -> DataFrame:
+    """The last user and tool message of each conversation (conv_id, turn, role, text)."""
+    last = lambda role: F.max_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn"))).alias(f"last_{role}")
+    return messages.groupBy("conv_id").agg(last("user"), last("tool"))

@@ -48,6 +48,13 @@ def evidence_context(results: DataFrame, max_chars: int = MAX_CHARS) -> DataFram
     return items.select("query_id", F.aggregate("items", start, step)["text"].alias("context"))
 
 
+def location(path: Column, page: Column, headings: Column) -> Column:
+    """Where a citation points to: path, page, headings."""
+    at = F.when(page.isNotNull(), F.concat(F.lit("p. "), page.cast("string")))
+    under = F.when(F.size(F.coalesce(headings, F.array().cast("array<string>"))) > 0, F.array_join(headings, " / "))
+    return F.concat_ws(", ", path, at, under)
+
+
 def citation_numbers(answer: Column, n: Column) -> Column:
     """Distinct cited numbers from 1 to n, ascending."""
     cited = F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.try_cast("bigint"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -234,3 +235,31 @@ def calibration_samples(spark: SparkSession) -> DataFrame:
         ("off-topic", "What is transparent transfer?", ["byte stuffing"], "Transparent transfer stuffs bytes.", "Please sort your notes first.", 1, "跑题"),
     ]
     return spark.createDataFrame(rows, "task_id string, query string, expected_points array<string>, evidence string, answer string, overall int, failure_type string")
+
+
+def report(metrics: DataFrame, mode: str, model: str, tasks_fingerprint: str, verdicts: DataFrame | None = None) -> dict:
+    """A report of the last run (``metrics`` with auto and category): summaries,
+    jitter if there is more than one run, judges' summary if there are any. All
+    that is collected is one row per group, type or bucket."""
+    last = metrics.agg(F.max("run_id")).first()[0]
+    final = metrics.filter(F.col("run_id") == last)
+    sets = [r.asDict() for r in aggregate_sets(final).collect()]
+    out = {
+        "schema_version": 1, "mode": mode, "model": model, "created_at": datetime.now(timezone.utc).isoformat(), "tasks_fingerprint": tasks_fingerprint,
+        "task_count": final.count(), "repeat": (last or 0) + 1, "aggregate": sets, "jitter": None, "judge_summary": None, "cross_attribution": None,
+    }
+    if last:
+        out["jitter"] = jitter(metrics).first().asDict()
+    if verdicts is not None:
+        out["judge_summary"] = judge_summary(verdicts).first().asDict() | {"failure_type_counts": {r.failure_type: r.n for r in failure_type_counts(verdicts).collect()}}
+        out["cross_attribution"] = {r.bucket: r.n for r in cross_attribution(final, verdicts).collect()}
+    return out
+
+
+def compare_reports(old: dict, new: dict) -> dict:
+    """Old and new values of the overall rates, and of the judges' mean."""
+    side = lambda r: next((x for x in r.get("aggregate") or [] if x.get("section") == "overall"), {})
+    a, b = side(old), side(new)
+    deltas = {k: {"old": a.get(k), "new": b.get(k)} for k in RATES if a.get(k) is not None or b.get(k) is not None}
+    j, k = old.get("judge_summary") or {}, new.get("judge_summary") or {}
+    return {"metric_deltas": deltas, "judge_delta": {"old_overall": j.get("overall_mean"), "new_overall": k.get("overall_mean")} if j or k else None}

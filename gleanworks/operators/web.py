@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import urllib.robotparser
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +106,36 @@ def offline_pages(spark: SparkSession, fetcher: Callable[[str], str], urls: list
         except Exception as e:  # noqa: BLE001  an injected fetcher may raise anything
             rows.append((u, None, f"{type(e).__name__}: {e}"))
     return spark.createDataFrame(rows, "url string, html string, error string")
+
+
+def crawl_counts(visited: DataFrame, queued: int) -> DataFrame:
+    """pages, failures, links_found of a crawl; ``queued``: links put on the queue."""
+    fetched = F.col("status") == "fetched"
+    seen = visited.agg(F.count_if(fetched).alias("pages"), F.count_if(~fetched).alias("failures"))
+    return seen.withColumn("links_found", F.greatest(F.lit(queued) - F.col("pages") - F.col("failures"), F.lit(0)))
+
+
+def with_robots(pages: DataFrame, rules: DataFrame, user_agent: str) -> DataFrame:
+    """Pages (url) with allowed and crawl_delay by the rules (host, robots) of their
+    host; a host without rules allows all."""
+    met = pages.withColumn("host", host(F.col("url"))).join(rules, "host", "left")
+    got = robots_rule(F.col("url"), F.col("robots"), user_agent)
+    return met.withColumn("rule", got).select("*", "rule.allowed", "rule.crawl_delay").drop("rule", "robots", "host")
+
+
+def robots_rule(url: Column, robots: Column, user_agent: str) -> Column:
+    def judge(urls: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        rows, parsed = [], {}
+        for u, t in zip(urls, texts, strict=True):
+            if t is None:
+                rows.append((True, 0.0))
+                continue
+            if t not in parsed:
+                parsed[t] = urllib.robotparser.RobotFileParser()
+                parsed[t].parse(t.splitlines())
+            p = parsed[t]
+            rows.append((p.can_fetch(user_agent, u), float(p.crawl_delay(user_agent) or p.crawl_delay("*") or 0)))
+        return pd.DataFrame(rows, columns=["allowed", "crawl_delay"])
+
+    judge.__annotations__ = {"urls": pd.Series, "texts": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(judge, "struct<allowed:boolean,crawl_delay:double>")(url, robots)

@@ -261,3 +261,51 @@ def test_turns(spark):
     assert [tuple(r) for r in got.collect()] == [(1, 2, "b", "c")]
     calls = spark.createDataFrame([("t", 0, [("c1", "p", None), ("c2", "p", "web")])], "task_id string, call_pos int, results array<struct<chunk_id:string,source_path:string,source_type:string>>")
     assert [(r.number, r.source_type) for r in agent.collect_evidence(calls).collect()] == [(1, "local"), (2, "web")]
+
+
+def test_graph_is_the_loop(tmp_path):
+    search, _ = tools()
+    script = [agent.Turn(None, (("1", agent.SEARCH, '{"query": "q"}'),)), agent.Turn("done")]
+    turns = iter(script)
+    a = agent.Agent(search, lambda m, t: next(turns))
+    state, walked = a.start("q"), []
+    while (node := a.route(state)) != "finish":
+        walked.append(node)
+        state = getattr(a, node)(state)
+    turns = iter(script)
+    assert walked == ["ask", "act", "ask"] and a.finish(state) == a.run("q")
+    past = a.finish(state).history
+    past.save(tmp_path / "h.jsonl")
+    assert agent.History.load(tmp_path / "h.jsonl") == past and agent.History.load(tmp_path / "no").turns == ()
+
+
+def test_robots_join_and_counts(spark):
+    pages = spark.createDataFrame([("http://a/x",), ("http://a/no",), ("http://b/no",)], "url string")
+    rules = spark.createDataFrame([("a", "User-agent: *\nDisallow: /no\nCrawl-delay: 3")], "host string, robots string")
+    got = {r.url: (r.allowed, r.crawl_delay) for r in web.with_robots(pages, rules, "u").collect()}
+    assert got == {"http://a/x": (True, 3.0), "http://a/no": (False, 3.0), "http://b/no": (True, 0.0)}
+    visited = spark.createDataFrame([("fetched",), ("missing",)], "status string")
+    assert tuple(web.crawl_counts(visited, 5).first()) == (1, 1, 3)
+
+
+def test_small_columns(spark):
+    assert spark.range(1).select(answering.location(F.lit("p"), F.lit(3), F.array(F.lit("a"), F.lit("b"))).alias("x")).first().x == "p, p. 3, a / b"
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "tool", "t"), (1, 2, "user", "b")], "conv_id long, turn long, role string, text string")
+    assert tuple(agent.last_messages(rows).first()) == (1, "b", "t")
+
+
+def test_reports(spark):
+    rows = [("a", r, "answerable", True, "ok", False, r == 0, 1, False, True, "") for r in (0, 1)]
+    m = spark.createDataFrame(rows, "task_id string, run_id int, task_type string, retrieval_hit boolean, citation_status string, refused boolean, refusal_correct boolean, tool_calls int, web_used boolean, auto boolean, category string")
+    v = spark.createDataFrame([("a", 5, 5, 4, "正常", "", None)], "task_id string, faithfulness int, coverage int, overall int, failure_type string, reason string, error string")
+    r = harness.report(m, "fake", "x", "f", v)
+    assert r["jitter"]["refusal_correct_rate_std"] == 0.5 and r["judge_summary"]["overall_mean"] == 4.0 and r["cross_attribution"] == {"hit_and_high": 1}
+    assert harness.compare_reports(r, r)["metric_deltas"]["refusal_correct_rate"] == {"old": 0.0, "new": 0.0}
+
+
+def test_sql_functions(spark):
+    from gleanworks.functions.registry import register
+
+    register(spark)
+    r = spark.sql("SELECT size(chunk_text('a b')) AS n, cosine(hash_embed('abc'), hash_embed('abc')) AS c, html_text('<p>x') AS t, blocked_host('localhost') AS b").first()
+    assert (r.n, round(r.c, 9), r.t, r.b) == (1, 1.0, "x", True)
