@@ -33,6 +33,7 @@ def test_markdown():
 
 
 def test_pdf():
+    assert files.pdf_fingerprint() == "8ac12aaace15a927a04393310f0e7879643dcb348edc8bf5d9e4a83b74fcb6de"
     long = "A page with enough text to be taken as it is, without recognition."
     got = files.pdf_blocks([long, "short"], ocr=lambda i: "read " + long)
     assert [b["extraction_method"] for b in got] == ["pdf_text", "pdf_ocr"]
