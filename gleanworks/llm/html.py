@@ -30,6 +30,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea iframe noembed noframes xmp svg math canvas object audio video select button".split())
 BOILERPLATE = frozenset("nav footer aside form head title menu dialog fieldset search".split())
 MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|side-?bar|comments?|comment-?list|disqus|replies|respond|nav|navbar|navigation|menu|breadcrumbs?|footer|page-?header|site-?header|masthead|topbar|toolbar|share|sharing|social|related|recommended|widget|pagination|pager|skip-?link)(?:$|[\s_-])", re.I)
+#: Words of a page's layout, which say nothing about the element's own content.
+LAYOUT = re.compile(r"\b(?:has|with|without|no|left|right|two|col(?:umn)?s?)-side-?bars?\b|\bside-?bar-(?:left|right|none|layout)\b|\bsocial-(?:science|work|history|media-policy)\w*", re.I)
+#: Names that mark an element only if they stand alone.
+ALONE = frozenset("header head top bottom foot".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 CONTAINERS = frozenset(("article", "main"))
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -48,7 +52,7 @@ def _noise(tag: str, raw: str, in_content: bool) -> bool:
         return False
     for name, value in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), unescape(value.strip("\"'"))
-        if name in ("class", "id") and MARKED.search(value):
+        if name in ("class", "id") and (MARKED.search(LAYOUT.sub(" ", value)) or not in_content and ALONE & set(value.lower().split())):
             return True
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True

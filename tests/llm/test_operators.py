@@ -329,6 +329,8 @@ PAGES = [
     ("<article><p>x < y</p><script>var a='</p>';</script><p>end</article>", "x < y\n\nend"),
     ("<body><div class='cookie-notice'>We use cookies.</div><div><p>A long paragraph, with sentences. It goes on.</p><p>Another one, which is as long.</p></div><div class='ad'>Buy</div></body>", "A long paragraph, with sentences. It goes on.\n\nAnother one, which is as long."),
     ("<article><table><tr><td>a<td>b<tr><td>c</table><!-- no --><p>t<textarea>no</textarea></p></article>", "a\n\nb\n\nc\n\nt"),
+    ("<body class='no-sidebar'><div id='header'>Site</div><div class='has-sidebar'><article><p>Kept.</p><section id='reader-comments'><article><p>Nice!</p></article></section></article></div></body>", "Kept."),
+    ("<main><div class='notice'>Note!</div><p>Body <a href='x'>link</a> text.</p><div class='share-buttons'>Share</div><div class=advert>Ad</div></main>", "Body link text."),
     ("", ""),
     (None, ""),
     ("no markup at all", "no markup at all"),
