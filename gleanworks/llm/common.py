@@ -6,17 +6,16 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 #: Bytes of text that a Python worker handles at once (a longer single text is one block).
 BLOCK_BYTES = 8 << 20
 
-
 #: Rows of an Arrow batch; each may hold a whole text.
 BATCH_ROWS = 2000
 
@@ -55,6 +54,18 @@ def materialise(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, bytes_per_row: int, most_bytes: int = 32 << 20):
+    """While it lasts, Arrow batches hold at most so many bytes (what runs must be eager)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, max(1, min(BATCH_ROWS, most_bytes // max(1, bytes_per_row))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables that ``materialise`` wrote, by Spark's own file system."""
     try:

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column, discard, join_hot, map_blocks, materialise, strings
+from .common import batch_rows, blocks, column, discard, join_hot, map_blocks, materialise, strings
 from .components import components
 
 SHINGLE = 5
@@ -281,6 +281,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     places = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = places.groupBy("band", "key").count().filter("count > 1").select("band", "key")
     members = materialise(places.join(shared, ["band", "key"], "left_semi").withColumns({"comp": F.col("node"), "size": F.lit(1).cast("long")}), kept)
+    widest = nodes.agg(F.max("n_shingles")).first()[0] or 1
     sets = labels = None
     rounds = 0
     while True:
@@ -295,7 +296,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             sets = materialise(full_sets(docs, materialise(wanted, kept)), kept)
         found = None
         if rounds:  # what fits into memory is finished there, the rest goes on in rounds
-            found = materialise(_finished(members.filter(F.col("bytes") <= BUCKET_BYTES), sets), kept)
+            with batch_rows(spark, 8 * widest):
+                found = materialise(_finished(members.filter(F.col("bytes") <= BUCKET_BYTES), sets), kept)
             members = members.filter(F.col("bytes") > BUCKET_BYTES)
         members = members.drop("bytes")
         slot = F.pmod(F.xxhash64("node", F.lit(rounds)), F.lit(1 << min(rounds, 30)))
@@ -303,7 +305,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not rounds or not members.isEmpty():
             pivots = materialise(members.groupBy("band", "key", slot.alias("slot")).agg(first.alias("p")).select("band", "key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp")), kept)
             pairs = members.join(pivots, ["band", "key"]).filter("comp != pivot_comp").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
-            links = materialise(_verified(materialise(_estimated(pairs, nodes), kept), sets), kept)
+            likely = materialise(_estimated(pairs, nodes), kept)
+            with batch_rows(spark, 16 * widest):
+                links = materialise(_verified(likely, sets), kept)
             members = members.join(pivots.withColumnRenamed("pivot", "node"), ["band", "key", "node"], "left_anti")
             found = links if found is None else found.union(links)
         if not found.isEmpty():
