@@ -195,13 +195,24 @@ def text_search_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "rank", "chunk_id", "source_path", F.round("score", 6).alias("score"))
 
 
+def holders(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id with the source_path of each document that holds the item's text: an
+    equi-join on the item's first four words, then the exact test."""
+    gram = lambda w, i: F.array_join(F.slice(w, i + 1, 4), " ")
+    first = items.select("item_id", F.col("text").alias("item"), gram(F.split(text.strip(F.col("text")), "\\s+"), F.lit(0)).alias("gram"))
+    worded = docs.select("source_path", F.split(text.strip(F.col("text")), "\\s+").alias("words"))
+    grams = worded.select("source_path", F.explode(F.array_distinct(F.transform("words", lambda _, i: gram(F.col("words"), i)))).alias("gram"))
+    likely = first.join(grams, "gram").select("item_id", "item", "source_path")
+    return likely.join(docs.select("source_path", "text"), "source_path").filter(F.contains("text", F.col("item"))).select("item_id", "source_path")
+
+
 @query()
 def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark passages as queries; relevant are the documents that hold them."""
     found, _ = _text_search(spark, d)
     items = read(spark, d, "benchmark")
     docs = text_documents(spark, d)
-    held = items.join(docs.select(F.col("text").alias("body"), "source_path"), F.contains("body", F.col("text"))).groupBy("item_id").agg(F.collect_set("source_path").alias("relevant_source_paths"))
+    held = holders(items, docs).groupBy("item_id").agg(F.collect_set("source_path").alias("relevant_source_paths"))
     rows = items.join(held, "item_id").select(F.col("item_id").alias("ordinal"), F.lit(None).cast("string").alias("name"), F.col("text").alias("query"), F.array().cast("array<string>").alias("relevant_chunk_ids"), "relevant_source_paths", F.lit(None).cast("double").alias("min_score"))
     return evaluation.report(evaluation.sample_results(evaluation.samples(rows).filter("problem IS NULL"), found))
 

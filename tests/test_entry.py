@@ -38,6 +38,14 @@ def test_others_run(spark):
     assert entry.oracle_sql().keys() <= entry.queries().keys()
 
 
+@needs_data
+def test_holders(spark):
+    items, docs = catalog.read(spark, D, "benchmark"), catalog.text_documents(spark, D)
+    texts = {r.source_path: r.text for r in docs.collect()}
+    want = {(i.item_id, p) for i in items.collect() for p, t in texts.items() if i.text in t}
+    assert {tuple(r) for r in catalog.holders(items, docs).collect()} == want
+
+
 @needs_data
 def test_search_is_linear_in_queries(spark):
     """A batch of queries finds what each finds alone."""
