@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on odd rows too."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gleanworks.llm import decontaminate, fingerprint, html, langid, license_scan, line_dedup, near_dedup, packing, sharding, suffix_dedup
+from gleanworks.llm import decontaminate, fingerprint, html, langid, license_scan, line_dedup, near_dedup, packing, queries, sharding, suffix_dedup
 from gleanworks.llm.components import components
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -345,7 +346,22 @@ def test_main_text(spark):
     assert html.extract(pages.limit(0)).collect() == []
 
 
-# ---- op9 and op10 against their SQL
+# ---- what has SQL
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    path = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet'")
+    df = queries.queries()[name](spark, path)
+    names = sorted(df.columns)
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert Counter(map(tuple, df.select(names).collect())) == Counter(want)
+
+
 
 
 def in_duckdb(docs, sql):
