@@ -38,3 +38,24 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM reach r
 least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN n USING (doc_id)
 """
+
+#: Every window of 200 bytes by its hash; a byte goes if a repeated one covers it.
+OP7 = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS MATERIALIZED (
+  SELECT doc_id, p, CASE WHEN 2 * p + 400 <= length(h) THEN hash(substr(h, 2 * p + 1, 400)) END AS g
+  FROM (SELECT doc_id, h, unnest(range(length(h) // 2)) AS p FROM d)),
+again AS (SELECT g FROM g WHERE g IS NOT NULL GROUP BY g HAVING count(*) > 1),
+r AS (SELECT doc_id, p, CASE WHEN again.g IS NULL THEN 0 ELSE 1 END AS rep FROM g LEFT JOIN again ON g.g = again.g),
+c AS MATERIALIZED (SELECT doc_id, p, max(rep) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM r),
+runs AS (
+  SELECT doc_id, gone, min(p) AS lo, count(*) AS n
+  FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, gone ORDER BY p) AS run FROM c) GROUP BY doc_id, gone, run),
+a AS (
+  SELECT doc_id, sum(n) FILTER (gone = 1) AS n_removed, count(*) FILTER (gone = 1) AS n_spans,
+    string_agg(substr(h, 2 * lo + 1, 2 * n), '' ORDER BY lo) FILTER (gone = 0) AS kept
+  FROM runs JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""

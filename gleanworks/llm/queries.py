@@ -41,7 +41,7 @@ def op6_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op8_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_fm_index_decontamination": oracles.OP5, "op6_setsketch_near_dedup": oracles.OP6, "op9_diagonal_voting": license_scan.oracle(), "op10_line_dedup": OP10_SQL}
+    return {"op5_fm_index_decontamination": oracles.OP5, "op6_setsketch_near_dedup": oracles.OP6, "op7_run_length_dedup": oracles.OP7, "op9_diagonal_voting": license_scan.oracle(), "op10_line_dedup": OP10_SQL}
