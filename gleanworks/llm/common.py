@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -111,12 +112,23 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
         yield batch.slice(at)
 
 
+def tidy() -> None:
+    """Gives memory that a task no longer needs back to the system; the worker
+    lives on, beside an executor that may need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
     """``mapInArrow`` of a function from one block to one batch."""
 
     def run(batches):
         for block in blocks(batches, text, most):
             yield fn(block)
+        tidy()
 
     return df.mapInArrow(run, schema)
 

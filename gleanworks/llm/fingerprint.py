@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column, strings
+from .common import blocks, column, strings, tidy
 
 RUN = 10
 WORDS, LANES = 8, 128
@@ -167,5 +167,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if len(texts) > 1:
                 yield batch(ids, texts, len(texts) - 1)
             ids, texts = ids.slice(len(ids) - 1), texts[-1:]
+        tidy()
 
     return with_next(docs).select("doc_id", "text", "last").mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column, map_blocks, strings
+from .common import blocks, column, map_blocks, strings, tidy
 
 DIMENSIONS = 1024
 #: Letters other than by chance have vectors of their own.
@@ -141,6 +141,7 @@ def learn(docs: DataFrame, bound: int = LEARN_FROM, dimensions: int = DIMENSIONS
                     sums[lang] = sums.get(lang, 0) + v[langs[part] == lang].sum(0, dtype=np.float64)
         for lang, v in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang], "bundle": pa.array([v.tolist()], pa.list_(pa.float64()))})
+        tidy()
 
     parts = drawn.select("lang", "text").mapInArrow(bundle, "lang string, bundle array<double>")
     # A language and dimension is one sum; rows: languages times dimensions.

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, blocks, column, discard, join_hot, map_blocks, materialise, strings
+from .common import batch_rows, blocks, column, discard, join_hot, map_blocks, materialise, strings, tidy
 from .components import components
 
 SHINGLE = 5
@@ -166,6 +166,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets, _, _ = _sets(strings(block.filter(pa.array(hit))))
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_pydict({"node": pa.array([_node(s) for s in sets], pa.binary()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+        tidy()
 
     made = docs.select("text", bit(F.col("doc_id")).alias("bit")).mapInArrow(run, "node binary, shingles binary")
     return made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
@@ -200,6 +201,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                 ok.append(100 * common >= PERCENT * ((len(x) + len(y)) // 8 - common))
             yield b.filter(pa.array(ok)).select(["u", "v"])
+        tidy()
 
     both = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("s_v")), "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("s_u")), "u")
     return both.select("u", "v", "s_u", "s_v").mapInArrow(run, "u binary, v binary")
@@ -250,6 +252,7 @@ def _finished(members: DataFrame, sets: DataFrame) -> DataFrame:
             solve(*held, out)
         if out:
             yield _pairs(out)
+        tidy()
 
     full = members.join(sets, "node").select("band", "key", "node", "comp", "shingles")
     return full.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(run, "u binary, v binary").distinct()

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, column, materialise, strings
+from .common import blocks, column, materialise, strings, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -199,6 +199,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
             if with_ids:
                 out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([at, [bounds[-1]]]), pa.int32()), pa.array(flat.view(np.int32)))
             yield pa.RecordBatch.from_pydict(out)
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

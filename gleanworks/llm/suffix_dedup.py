@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column, discard, map_blocks, materialise, strings
+from .common import blocks, column, discard, map_blocks, materialise, strings, tidy
 
 WINDOW = 200
 GRAM = 64
@@ -106,6 +106,7 @@ def recurring(docs: DataFrame) -> np.ndarray:
         for block in blocks(batches):
             for _, _, _, anchor in contexts(_raws(block)):
                 yield pa.RecordBatch.from_arrays([pa.array(anchor)], ["anchor"])
+        tidy()
 
     again = docs.select("text").mapInArrow(run, "anchor long").groupBy("anchor").count().filter("count > 1")
     bits = again.select(F.expr(f"pmod(anchor, {FILTER_BITS}L)").alias("b")).groupBy(F.expr("cast(b div 64 AS INT)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(b, 64) AS INT))")).alias("x"))
@@ -138,6 +139,7 @@ def candidates(docs: DataFrame, words: np.ndarray) -> DataFrame:
                         [*(column(block, c).take(pa.array(d[some])) for c in names), pa.array(start[some]), pa.array(many[some].astype(np.int32)), pa.array(anchor[some]), pa.array(own), pa.array(body, pa.binary())],
                         [*names, "start", "windows", "anchor", "context", "body"],
                     )
+        tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, start long, windows int, anchor long, context long, body binary")
@@ -265,6 +267,7 @@ def _indexed(groups: DataFrame) -> DataFrame:
             yield solve(rows)
         if single:
             yield _found(single)
+        tidy()
 
     return groups.select("anchor", "context", "n", "windows", "body").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _FOUND)
 
