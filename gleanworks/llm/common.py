@@ -112,6 +112,17 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
         yield batch.slice(at)
 
 
+_claimed: list = ["", lambda: None]
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """A worker remembers things for one operator at a time: when another begins,
+    what the one before remembered is cleared."""
+    if _claimed[0] != owner:
+        _claimed[1]()
+        _claimed[:] = [owner, clear]
+
+
 def tidy() -> None:
     """Gives memory that a task no longer needs back to the system; the worker
     lives on, beside an executor that may need it."""

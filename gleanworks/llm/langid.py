@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column, map_blocks, strings, tidy
+from .common import blocks, claim, column, map_blocks, strings, tidy
 
 DIMENSIONS = 1024
 #: Letters other than by chance have vectors of their own.
@@ -104,10 +104,15 @@ class Encoder:
 
 @lru_cache(1)
 def worker_encoder(dimensions: int) -> Encoder:
-    """The worker's encoder, kept from task to task."""
     return Encoder(dimensions)
 
 
+def encoder(dimensions: int) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    claim("langid", worker_encoder.cache_clear)
+    return worker_encoder(dimensions)
+
+
 def _batches(texts: list[str]) -> Iterator[slice]:
     at = held = 0
     for i, t in enumerate(texts):
@@ -131,11 +136,11 @@ def learn(docs: DataFrame, bound: int = LEARN_FROM, dimensions: int = DIMENSIONS
     drawn = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def bundle(batches):
-        encoder, sums = worker_encoder(dimensions), {}
+        own, sums = encoder(dimensions), {}
         for block in blocks(batches):
             texts, langs = strings(block), np.array(column(block, "lang").to_pylist(), object)
             for part in _batches(texts):
-                _, v = encoder.bundle(texts[part])
+                _, v = own.bundle(texts[part])
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
                 for lang in set(langs[part]):
                     sums[lang] = sums.get(lang, 0) + v[langs[part] == lang].sum(0, dtype=np.float64)
@@ -168,7 +173,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
         texts = strings(block)
         pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
         for part in _batches(texts) if langs else ():
-            has, v = worker_encoder(dimensions).bundle(texts[part])
+            has, v = encoder(dimensions).bundle(texts[part])
             v = v - np.outer(v @ shared, shared)
             cosines = (v @ own.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
             best = cosines.argmax(1)

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, blocks, column, discard, join_hot, map_blocks, materialise, strings, tidy
+from .common import batch_rows, blocks, claim, column, discard, join_hot, map_blocks, materialise, strings, tidy
 from .components import components
 
 SHINGLE = 5
@@ -71,6 +71,7 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All documents' shingle hashes in a row (with repeats), and how many each has."""
     import xxhash
 
+    claim("near_dedup", _word_hashes.cache_clear)
     known = _word_hashes()
     if len(known) > REMEMBERED:
         known.clear()

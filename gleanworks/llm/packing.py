@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, column, materialise, strings, tidy
+from .common import blocks, claim, column, materialise, strings, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -42,7 +42,7 @@ NODES, RENEW = 4000, 20
 #: Fillings tried around one largest piece.
 FILLINGS = 24
 #: Chunks whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 # Bytes of UTF-8 that send a text to the tokenizer whole: control characters on
 # which str.split() and the tokenizer's pattern may differ, and what begins code
@@ -166,6 +166,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids array<int>" * with_ids
 
     def run(batches):
+        claim("packing", worker_tokenizer.cache_clear)
         tokenizer = worker_tokenizer(tokenizer_path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
