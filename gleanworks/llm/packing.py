@@ -42,7 +42,7 @@ NODES, RENEW = 4000, 20
 #: Fillings tried around one largest piece.
 FILLINGS = 24
 #: Chunks whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
 
 # Bytes of UTF-8 that send a text to the tokenizer whole: control characters on
 # which str.split() and the tokenizer's pattern may differ, and what begins code
