@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once (a longer single text is one block).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 #: Rows of an Arrow batch; each may hold a whole text.
 BATCH_ROWS = 2000

@@ -42,7 +42,7 @@ NODES, RENEW = 4000, 20
 #: Fillings tried around one largest piece.
 FILLINGS = 24
 #: Chunks whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 
 # Bytes of UTF-8 that send a text to the tokenizer whole: control characters on
 # which str.split() and the tokenizer's pattern may differ, and what begins code
@@ -157,7 +157,17 @@ class ChunkTokenizer:
 def worker_tokenizer(path: str) -> ChunkTokenizer:
     """The worker's tokenizer, kept from task to task."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return ChunkTokenizer(path)
+    _made.append(ChunkTokenizer(path))
+    return _made[-1]
+
+
+_made: list[ChunkTokenizer] = []
+
+
+def _forget() -> None:
+    """Chunks go; the tokenizers stay, since loading them takes much memory for a moment."""
+    for t in _made:
+        t.chunks = _Ragged()
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -166,7 +176,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids array<int>" * with_ids
 
     def run(batches):
-        claim("packing", worker_tokenizer.cache_clear)
+        claim("packing", _forget)
         tokenizer = worker_tokenizer(tokenizer_path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
