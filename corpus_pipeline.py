@@ -25,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of line runs; documents that had nothing else go."""
-    found = line_dedup.dedup_lines(docs)
+    """Deletes later copies of line runs and of passages in one line; documents that had nothing else go."""
+    found = line_dedup.dedup_lines(docs, passage=line_dedup.PASSAGE)
     left = found.filter((F.col("n_deleted") == 0) | F.col("text").rlike(r"\S"))
     fresh = {"text": F.col("text"), "n_chars": F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("record.n_chars"))}
     return left.select(*(fresh.get(c, F.col(f"record.`{c}`")).alias(c) for c in docs.columns))

@@ -10,6 +10,10 @@ than one suffix is a repeated run: the first by (doc_id, line) stays, and the
 lines of all later copies are deleted; maximal runs arise as neighbouring
 copies merge.
 
+With ``passage`` a single line is a run too if it is as long as a passage: a
+paragraph in one line that stands between other neighbours each time, or is a
+whole document. Shorter lines count in runs of ``least`` only.
+
 Only DataFrame functions are used. Counting is pre-aggregated by Spark, and the
 join back to the copies is salted, so a line that stands in a third of all
 documents doesn't meet in one task.
@@ -23,11 +27,15 @@ are, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Lines of the shortest run that counts.
 LEAST = 2
+#: Words of a line that is a passage by itself, where single lines count (``passage``);
+#: or, as not all scripts part words, LETTERS times as many characters.
+PASSAGE = 50
+LETTERS = 6
 SALTS = 16
 
 
@@ -49,27 +57,47 @@ def _doubled(named: DataFrame, least: int) -> DataFrame:
     return named
 
 
-def find_copies(docs: DataFrame, least: int = LEAST, salts: int = SALTS) -> DataFrame:
+def _alone(line: Column, passage: int) -> Column:
+    """The name of a line that is a passage by itself, or null. Few lines are split."""
+    size = F.length(F.trim(line))
+    many = (size >= 2 * passage - 1) & (F.size(F.array_remove(F.split(line, r"\s+"), "")) >= passage)
+    return F.when((size >= LETTERS * passage) & line.rlike(r"\S") | many, F.xxhash64(line, F.lit("alone")))
+
+
+def find_copies(docs: DataFrame, least: int = LEAST, salts: int = SALTS, passage: int | None = None) -> DataFrame:
     """Of each text with lines to delete: doc_id, text_hash, gone (sorted numbers of lines, from 0)."""
     text = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     named = text.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"))
-    named = _doubled(named.withColumn("n", F.size("lines")).filter(F.col("n") >= least), least)
-    places = named.select("doc_id", "text_hash", "n", F.posexplode(F.arrays_zip("h", "full")).alias("line", "name"))
-    places = places.filter((F.col("line") <= F.col("n") - least) & F.col("name.full")).select("doc_id", "text_hash", "line", F.col("name.h").alias("name"))
+    named = named.withColumn("n", F.size("lines"))
+    if passage is None:
+        named = _doubled(named.filter(F.col("n") >= least), least)
+        places = named.select("doc_id", "text_hash", "n", F.posexplode(F.arrays_zip("h", "full")).alias("line", "name"))
+        places = places.filter((F.col("line") <= F.col("n") - least) & F.col("name.full")).select("doc_id", "text_hash", "line", F.col("name.h").alias("name"))
+        stops = lambda s: F.sequence(s, s + (least - 1))
+        start = F.col("line")
+    else:
+        named = _doubled(named.withColumn("alone", F.transform("lines", lambda x: _alone(x, passage))), least)
+        places = named.select("doc_id", "text_hash", "n", F.posexplode(F.arrays_zip("h", "full", "alone")).alias("line", "name"))
+        run = F.when((F.col("line") <= F.col("n") - least) & F.col("name.full"), F.struct(F.col("name.h").alias("h"), F.lit(least).alias("length")))
+        single = F.when(F.col("name.alone").isNotNull(), F.struct(F.col("name.alone").alias("h"), F.lit(1).alias("length")))
+        places = places.select("doc_id", "text_hash", "line", F.explode(F.array_compact(F.array(run, single))).alias("run"))
+        places = places.select("doc_id", "text_hash", "line", F.col("run.h").alias("name"), F.col("run.length").alias("length"))
+        stops = lambda s: F.sequence(s["line"], s["line"] + s["length"] - 1)
+        start = F.struct("line", "length")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("line"), F.col("text_hash"))
     intervals = places.groupBy("name").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
     intervals = intervals.select("name", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salted = places.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line"), F.lit(salts)).cast("int"))
     later = salted.join(intervals, ["name", "salt"]).filter(place > F.col("first"))
-    gone = later.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("starts"))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (least - 1))))))
+    gone = later.groupBy("doc_id", "text_hash").agg(F.collect_set(start).alias("starts"))
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", stops))))
     return gone.select("doc_id", "text_hash", covered.alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST, salts: int = SALTS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST, salts: int = SALTS, passage: int | None = None) -> DataFrame:
     """``record`` (a struct of all columns of ``docs``), text (without the later
     copies), n_lines, n_deleted, n_runs (maximal runs deleted)."""
-    gone = find_copies(docs, least, salts).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
+    gone = find_copies(docs, least, salts, passage).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record"), F.xxhash64("text").alias("text_hash"))
     met = rows.join(gone, F.col("record.doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")) & F.col("record.text").isNotNull(), "left")
     met = met.select("record", "gone", F.split("record.text", "\n", -1).alias("lines"))
