@@ -19,9 +19,10 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: those with no letter."""
+    """Drops documents that can have no language: those with no letter. Without labelled
+    documents to learn from, all others stay too."""
     found = langid.predict(docs, *langid.learn(docs))
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+    return found.filter("has_letter").select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,10 @@ class Encoder:
         a, b, c = codes // base // base, codes // base % base, codes % base
         return (self.letters[0][a] * self.letters[1][b] * self.letters[2][c]).astype(np.float32)
 
+    def lettered(self, texts: list[str]) -> list[bool]:
+        """Whether each text has a letter, where its vector isn't needed."""
+        return [bool(self.symbols[np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)].any()) for t in texts]
+
     def bundle(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Whether each text has a letter, and the sum of its trigrams' vectors."""
         cp = np.frombuffer("".join([t + "\n" for t in texts]).encode("utf-32-le", "replace"), np.uint32)
@@ -160,9 +164,10 @@ def learn(docs: DataFrame, bound: int = LEARN_FROM, dimensions: int = DIMENSIONS
 
 
 def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
-    """Adds lang_pred and score (0 to 1) to ``docs`` (its columns of those names are replaced)."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", lang_pred string, score double"
+    """Adds lang_pred, score (0 to 1) and has_letter, which doesn't depend on what was
+    learned, to ``docs`` (its columns of those names are replaced)."""
+    names = [c for c in docs.columns if c not in ("lang_pred", "score", "has_letter")]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", lang_pred string, score double, has_letter boolean"
     dimensions = prototypes.shape[1]
     shared = prototypes.mean(0) if len(langs) > 1 else np.zeros(dimensions)
     shared = shared / max(np.linalg.norm(shared), 1e-9)
@@ -171,15 +176,19 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
         texts = strings(block)
-        pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        for part in _batches(texts) if langs else ():
+        pred, score, letters = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        for part in _batches(texts):
+            if not langs:
+                letters[part] = encoder(dimensions).lettered(texts[part])
+                continue
             has, v = encoder(dimensions).bundle(texts[part])
+            letters[part] = has
             v = v - np.outer(v @ shared, shared)
             cosines = (v @ own.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
             best = cosines.argmax(1)
             pred[part] = np.where(has, np.array(langs, object)[best], UNKNOWN)
             score[part] = np.where(has, np.clip(cosines.max(1), 0, 1), 0)
-        return pa.RecordBatch.from_arrays([*(column(block, c) for c in names), pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*(column(block, c) for c in names), pa.array(pred, pa.string()), pa.array(score), pa.array(letters)], [*names, "lang_pred", "score", "has_letter"])
 
     return map_blocks(docs.select(*(f"`{c}`" for c in names)), run, schema)
 

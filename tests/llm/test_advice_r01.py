@@ -1,7 +1,9 @@
 """Cases of the review of round 1."""
 
 import corpus_pipeline
-from gleanworks.llm import line_dedup
+from pyspark.sql import functions as F
+
+from gleanworks.llm import langid, line_dedup
 
 from .conftest import sentence
 
@@ -25,3 +27,17 @@ def test_passage_in_one_line(spark):
     got = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
     assert got == {0: texts[0], 1: [own[3], short, own[4], own[5], cjk], 3: [own[6], own[7], blank, own[8]], 4: texts[4], 5: [short, own[11]]}
     assert line_dedup.dedup_lines(docs).filter("n_deleted > 0").count() == 1  # the rule of OP10_SQL
+
+
+def test_language_stage_without_labels(spark, docs):
+    """Nothing can be learned: every text with a letter stays."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    some = docs.select(columns)
+    key = lambda rows: sorted(map(str, rows))
+    want = key(r for r in some.select("doc_id", "text").collect() if any(c.isalpha() for c in r.text or ""))
+    none = some.withColumn("lang", F.lit(None).cast("string"))
+    all_held_out = some.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), F.lit("en")))
+    named_so = some.withColumn("lang", F.lit(langid.UNKNOWN))
+    for df in (none, all_held_out, named_so):
+        got = corpus_pipeline.identify_language(spark, df, "")
+        assert got.columns == columns and key(got.select("doc_id", "text").collect()) == want
