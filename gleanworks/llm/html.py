@@ -10,8 +10,11 @@ is marked as something else: menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts and styles.
 
 Defined cases: null or empty html gives an empty text; so does a page without
-content. Unclosed tags end where a block-level tag or the parent ends; unknown
-tags are inline. Repeated rows give repeated rows.
+content. Unclosed tags end where a block-level tag or the parent ends, and those
+of buttons, drawings, players and the like also where a block-level tag begins;
+only raw text (scripts, styles, text areas, frames) goes on to the end of the
+page if its end is missing. Unknown tags are inline; so are formulas and
+objects, whose text counts. Repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,10 @@ from .common import column, map_blocks, strings
 # Tags of HTML, and words by which pages mark what isn't content.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe noembed noframes xmp svg math canvas object audio video select button".split())
+RAW = frozenset("script style textarea iframe noembed noframes xmp".split())
+#: Elements without content of the page, which don't part the text around them.
+SKIPPED = frozenset("noscript template svg canvas audio video select button".split())
+NESTED = frozenset("svg template".split())
 BOILERPLATE = frozenset("nav footer aside form head title menu dialog fieldset search".split())
 MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|side-?bar|comments?|comment-?list|disqus|replies|respond|nav|navbar|navigation|menu|breadcrumbs?|footer|page-?header|site-?header|masthead|topbar|toolbar|share|sharing|social|related|recommended|widget|pagination|pager|skip-?link)(?:$|[\s_-])", re.I)
 #: Words of a page's layout, which say nothing about the element's own content.
@@ -41,6 +47,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|$)[^>]*(?:>|$)", re.I) for t in RAW}
+_PAIRS = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|<(/?)({'|'.join(sorted(SKIPPED))})(?=[\s/>])", re.I | re.S)
 _CLOSES_P = BLOCK - {"option", "optgroup", "caption", "tbody", "tr", "td", "th", "thead", "tfoot", "body", "html", "head", "title"}
 _SIBLINGS = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table", "tbody", "thead", "tfoot"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 
@@ -59,6 +66,23 @@ def _noise(tag: str, raw: str, in_content: bool) -> bool:
     return False
 
 
+def _closed(html: str) -> set[int]:
+    """Where those tags of SKIPPED elements start that have an end tag."""
+    waiting: dict[str, list[int]] = {t: [] for t in SKIPPED}
+    found = set()
+    for m in _PAIRS.finditer(html):
+        if not m[3]:
+            continue
+        tag = m[3].lower()
+        if not m[2]:
+            if tag not in NESTED:
+                waiting[tag].clear()
+            waiting[tag].append(m.start())
+        elif waiting[tag]:
+            found.add(waiting[tag].pop())
+    return found
+
+
 class Block:
     __slots__ = ("container", "linked", "noise", "path", "text")
 
@@ -72,6 +96,9 @@ def page_blocks(html: str) -> list[Block]:
     stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # tag, noise, container, block level
     parts: list[str] = []
     linked = containers = links = 0
+    closed: set[int] | None = None
+    skipped: list[str] = []  # the SKIPPED element that the place is in, and what is open within it
+    ends_soon = False  # it has no end tag
 
     def flush() -> None:
         nonlocal linked
@@ -102,7 +129,7 @@ def page_blocks(html: str) -> list[Block]:
         lt = html.find("<", at)
         if lt < 0:
             lt = end
-        if lt > at:
+        if lt > at and not skipped:
             parts.append(html[at:lt])
             if links:
                 linked += lt - at
@@ -110,7 +137,8 @@ def page_blocks(html: str) -> list[Block]:
             break
         m = _TOKEN.match(html, lt)
         if not m:  # a stray "<" is text
-            parts.append("<")
+            if not skipped:
+                parts.append("<")
             at = lt + 1
             continue
         at = m.end()
@@ -118,6 +146,21 @@ def page_blocks(html: str) -> list[Block]:
         if not tag:
             continue
         raw = m[3] or m[6] or ""
+        if skipped and tag not in RAW:
+            if m[1] or m[4]:
+                if tag in skipped:
+                    while skipped.pop() != tag:
+                        pass
+                    continue
+                if all(s[0] != tag for s in stack):
+                    continue
+                skipped.clear()  # its parent ends
+            elif ends_soon and tag in BLOCK and not (skipped[0] == "select" and tag in ("option", "optgroup")):
+                skipped.clear()
+            else:
+                if tag not in VOID and not raw.rstrip().endswith("/"):
+                    skipped.append(tag)
+                continue
         if m[1] or m[4]:  # an end tag
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
@@ -135,6 +178,12 @@ def page_blocks(html: str) -> list[Block]:
                 stop = _RAW_END[tag].search(html, at)
                 at = stop.end() if stop else end
             continue
+        if tag in SKIPPED:
+            if not raw.rstrip().endswith("/"):
+                closed = _closed(html) if closed is None else closed
+                ends_soon = lt not in closed
+                skipped.append(tag)
+            continue
         if tag in VOID:
             if tag == "hr":
                 flush()

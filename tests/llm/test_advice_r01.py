@@ -1,9 +1,10 @@
 """Cases of the review of round 1."""
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
-from gleanworks.llm import langid, line_dedup
+from gleanworks.llm import html, langid, line_dedup
 
 from .conftest import sentence
 
@@ -41,3 +42,19 @@ def test_language_stage_without_labels(spark, docs):
     for df in (none, all_held_out, named_so):
         got = corpus_pipeline.identify_language(spark, df, "")
         assert got.columns == columns and key(got.select("doc_id", "text").collect()) == want
+
+
+@pytest.mark.parametrize("tag", sorted(html.SKIPPED | {"object", "math"}))
+def test_missing_end_tags_cut_nothing(tag):
+    """What is no content ends with its parent, or where the next block begins."""
+    before = f"<body><{tag} class=x><article><h1>Head</h1><p>One.</p><p>Two.</p></article></body>"
+    within = f"<article><p>One <{tag}></p><p>Two.</p><div>Three <{tag}></div><p>Four <{tag}><p>Five.</article>"
+    assert html.main_text(before) == "Head\n\nOne.\n\nTwo."
+    assert html.main_text(within) == "One\n\nTwo.\n\nThree\n\nFour\n\nFive."
+
+
+def test_skipped_elements():
+    page = "<article><p>A <button><div>Share</div></button>b <svg><title>I</title><path d='x'><g><svg></svg></g></svg>c.</p><select><option>x<option>y</select><p>D <math><mi>x</mi>=<mn>1</mn></math>, <object data=x>a fallback</object>.<template><p>no</p></template><noscript>no</noscript><script>'<button>'</script></article>"
+    assert html.main_text(page) == "A b c.\n\nD x=1, a fallback."
+    assert html.main_text("<article><select><option>x<option>y<p>Text.</article>") == "Text."
+    assert html.main_text("<article><p>Text.</p><script>var a;</article>") == "Text."
