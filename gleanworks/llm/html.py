@@ -4,9 +4,10 @@ A page is cut into blocks (text between block-level tags), each with its path
 from the root. For every path, the length and the punctuation of its blocks'
 text are added up and divided by the number of its blocks; both are smoothed
 over the paths that come before and after, multiplied, and compared with a
-threshold. The container of the paths that pass (``article`` or ``main`` where
-there is one) is the content; of it, all blocks count that lie in no part that
-is marked as something else: menus, headers, footers, sidebars, notices,
+threshold. Where there are containers (``article`` or ``main``), each competes as
+a whole with the paths outside of them, by the sum of its blocks' scores, and
+has a bonus. What passes is the content; of it, all blocks count that lie in no
+part that is marked as something else: menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts and styles.
 
 Defined cases: null or empty html gives an empty text; so does a page without
@@ -42,6 +43,8 @@ LAYOUT = re.compile(r"\b(?:has|with|without|no|left|right|two|col(?:umn)?s?)-sid
 ALONE = frozenset("header head top bottom foot".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 CONTAINERS = frozenset(("article", "main"))
+#: A path outside of the containers must have so many times the share of the best of them that a container must have.
+BONUS = 3
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
@@ -237,19 +240,37 @@ def path_scores(found: list[Block]) -> dict[str, float]:
     return {p: smooth(0, i) * (1 + smooth(1, i)) for i, p in enumerate(sums)}
 
 
+def _competing(found: list[Block], scores: dict[str, float], threshold: float) -> list[Block]:
+    """The blocks of the containers and of the paths outside them that pass: each
+    has the sum of its blocks' scores, and all are measured by the largest."""
+    sums: dict[int | str, float] = {}
+    keys = [b.container or b.path for b in found]
+    for b, k in zip(found, keys, strict=True):
+        sums[k] = sums.get(k, 0) + scores[b.path]
+    inside = max(v for k, v in sums.items() if isinstance(k, int))
+    least = threshold * max(sums.values())
+    outside = max(least, threshold * BONUS * inside)
+    passes = {k: v >= least if isinstance(k, int) else v >= outside and v > 0 for k, v in sums.items()}
+    kept: list[Block] = []
+    between: list[Block] | None = None  # since a path outside that passed
+    for b, k in zip(found, keys, strict=True):
+        if passes[k]:
+            if isinstance(k, str):
+                kept += between or ()
+            kept.append(b)
+            between = [] if isinstance(k, str) else None
+        elif isinstance(k, str) and between is not None and 2 * b.linked < len(b.text):
+            between.append(b)
+    return kept
+
+
 def main_text(html: str, threshold: float = 0.1) -> str:
     found = [b for b in page_blocks(html) if not b.noise]
     if not found:
         return ""
     scores = path_scores(found)
     if any(b.container for b in found):
-        # Containers compete by the scores of their paths; content is what passes.
-        best: dict[int, float] = {}
-        for b in found:
-            if b.container:
-                best[b.container] = best.get(b.container, 0) + scores[b.path]
-        least = threshold * max(best.values())
-        kept = [b for b in found if b.container and best[b.container] >= least]
+        kept = _competing(found, scores, threshold)
     else:
         least = threshold * max(scores.values())
         passed = [i for i, b in enumerate(found) if scores[b.path] >= least]

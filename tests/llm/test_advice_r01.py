@@ -58,3 +58,15 @@ def test_skipped_elements():
     assert html.main_text(page) == "A b c.\n\nD x=1, a fallback."
     assert html.main_text("<article><select><option>x<option>y<p>Text.</article>") == "Text."
     assert html.main_text("<article><p>Text.</p><script>var a;</article>") == "Text."
+
+
+def test_containers_compete_with_paths_outside():
+    long = [f"Paragraph {i} tells a story, which goes on for a while, and has an end. So it is." for i in range(5)]
+    text = "<h2>Part</h2>".join(f"<p>{x}</p>" for x in long)
+    whole = "\n\nPart\n\n".join(long)
+    card = "<article class=card><a href=x>Read this too</a></article>"
+    assert html.main_text(f"<body><div id=content>{text}</div>{card}</body>") == whole
+    assert html.main_text(f"<body>{card}<div id=content>{text}</div></body>") == whole
+    assert html.main_text(f"<body><div>A word of the day.</div><article>{text}</article><div>All rights reserved, 2024.</div></body>") == whole
+    got = html.main_text(f"<body><article>{text}</article><section>{text}</section></body>")
+    assert got == whole + "\n\n" + whole
