@@ -5,6 +5,8 @@ license templates. A match at word i of the text and word j of a template votes
 for the diagonal i - j. Votes are added up by text, template and diagonal;
 neighbouring diagonals (words inserted or left out) are merged; a merged span
 is verified if it holds enough of the template's grams, close enough together.
+Copies back to back merge to a span that is too long; of such a span, each
+stretch that isn't, from any of its matches on, is verified by itself.
 
 Plain phrases ("mit license" and so on) are found beside it, at any place.
 
@@ -54,6 +56,10 @@ TEMPLATES = [
     ("all-rights-reserved", "all rights reserved"),
 ]
 
+_GRAMS = [[tuple(text.split()[j : j + GRAM]) for j in range(len(text.split()) - GRAM + 1)] for _, text in TEMPLATES]
+#: So many places of a template have the same gram at most.
+_PLACES = max(grams.count(g) for grams in _GRAMS for g in grams)
+
 
 def template_grams(spark: SparkSession) -> DataFrame:
     """template, label, j, grams (of the template), gram_hash."""
@@ -79,22 +85,28 @@ def _places(phrase: str, words: Column) -> Column:
 
 def spans(docs: DataFrame) -> DataFrame:
     """Verified spans: doc_id, text_hash, label, first_word, last_word, score
-    (the share of the template's grams that the span holds)."""
+    (the share of the template's grams that the span holds). Those of copies
+    back to back may overlap."""
     words = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
     hashes = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
     full = F.greatest(F.size("words") - (GRAM - 1), F.lit(0))  # the last grams are cut off
     rolled = words.select("doc_id", "text_hash", F.posexplode(F.slice(hashes, F.lit(1), full)).alias("i", "gram_hash"))
     votes = rolled.join(F.broadcast(template_grams(docs.sparkSession)), "gram_hash")
     votes = votes.groupBy("doc_id", "text_hash", "template", "label", "grams", (F.col("i") - F.col("j")).alias("diagonal"), "i", "j").agg(F.lit(1).alias("one"))  # equal rows vote once
-    diagonals = votes.groupBy("doc_id", "text_hash", "template", "label", "grams", "diagonal").agg(F.collect_set("j").alias("js"), F.min("i").alias("lo"), F.max("i").alias("hi"))
+    diagonals = votes.groupBy("doc_id", "text_hash", "template", "label", "grams", "diagonal").agg(F.collect_set("j").alias("js"))
     by = ["doc_id", "text_hash", "template", "label", "grams"]
     along = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > NEAR, F.lit(True))
     merged = diagonals.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(along))
-    found = merged.groupBy(*by, "span").agg(F.array_distinct(F.flatten(F.collect_list("js"))).alias("js"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    share = F.size("js") / F.col("grams")
-    length = F.col("hi") - F.col("lo") + GRAM
-    return found.filter((share >= SHARE) & (length <= STRETCH * (F.col("grams") + GRAM - 1))).select("doc_id", "text_hash", "label", F.col("lo").alias("first_word"), (F.col("hi") + GRAM - 1).alias("last_word"), share.alias("score"))
+    found = merged.withColumn("at", F.transform("js", lambda j: F.struct((j + F.col("diagonal")).alias("i"), j.alias("j"))))
+    found = found.groupBy(*by, "span").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+    most = F.floor(STRETCH * (F.col("grams") + GRAM - 1)).cast("int") - GRAM  # from the first to the last match
+    held = lambda x: F.struct(x[0]["i"].alias("lo"), F.element_at(x, -1)["i"].alias("hi"), F.size(F.array_distinct(x["j"])).alias("held"))
+    stretches = F.transform("at", lambda x, k: held(F.filter(F.slice("at", k + 1, (most + 1) * _PLACES), lambda y: y["i"] - x["i"] <= most)))
+    whole = F.element_at("at", -1)["i"] - F.col("at")[0]["i"] <= most
+    found = found.select(*by, F.explode(F.when(whole, F.array(held(F.col("at")))).otherwise(stretches)).alias("x")).select(*by, "x.*")
+    share = F.col("held") / F.col("grams")
+    return found.filter(share >= SHARE).select("doc_id", "text_hash", "label", F.col("lo").alias("first_word"), (F.col("hi") + GRAM - 1).alias("last_word"), share.alias("score"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -124,7 +136,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL, with word strings in place of hashes."""
+    """The same in DuckDB's SQL, with word strings in place of hashes; but merged
+    spans that are too long, as of copies back to back, are left out whole."""
     grams = ", ".join(f"({i}, '{label}', {j}, {len(w) - GRAM + 1}, '{' '.join(w[j : j + GRAM])}')" for i, (label, text) in enumerate(TEMPLATES) for w in [text.split()] for j in range(len(w) - GRAM + 1))
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
     return f"""
