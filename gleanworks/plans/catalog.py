@@ -345,6 +345,15 @@ def markdown_headings(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.col("line").cast("long").alias("line"), F.col("h.level").cast("long").alias("level"), text.collapse(F.col("h.title")).alias("title"))
 
 
+@query()
+def markdown_headings_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every line that isn't blank, written as a heading and read back."""
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "l")).filter("l RLIKE '\\\\S'")
+    marks = F.repeat(F.lit("#"), (F.col("doc_id") % 3 + 1).cast("int"))
+    found = lines.withColumn("h", text.heading(F.concat(marks, F.lit(" "), F.col("l"), F.lit(" ##"))))
+    return found.select("doc_id", F.col("line").cast("long").alias("line"), F.col("h.level").cast("long").alias("level"), text.collapse(F.col("h.title")).alias("title"))
+
+
 @query(r"SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(substr(text, 1, 79), '\s+$', '') || '…' END AS cut FROM documents")
 def safe_truncate(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", text.safe_truncate(F.col("text"), F.lit(80)).alias("cut"))
