@@ -307,6 +307,12 @@ def html_title(spark: SparkSession, d: str) -> DataFrame:
     return html.page_documents(rows.select("page_id", "html")).select("page_id", "title")
 
 
+@query()
+def html_title_all(spark: SparkSession, d: str) -> DataFrame:
+    """The titles of all pages, references decoded."""
+    return html.page_documents(read(spark, d, "pages").select("page_id", "html")).select("page_id", "title")
+
+
 @query("""SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(coalesce(sum(length(l) + 2) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)""")
 def block_offsets(spark: SparkSession, d: str) -> DataFrame:

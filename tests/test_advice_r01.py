@@ -2,6 +2,7 @@
 
 import os
 import re
+from html import unescape
 
 import pytest
 
@@ -11,6 +12,15 @@ D = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 
 
+@needs_data
+def test_titles_of_all_pages(spark):
+    pages = {r.page_id: r.html for r in catalog.read(spark, D, "pages").collect()}
+    raw = {i: re.search("<title>(.*?)</title>", h, re.S)[1] for i, h in pages.items()}
+    assert any("&" in t for t in raw.values())
+    got = {r.page_id: r.title for r in catalog.QUERIES["html_title_all"](spark, D).collect()}
+    assert got == {i: " ".join(unescape(t).split()) for i, t in raw.items()}
+
+
 @pytest.mark.parametrize("path", [pytest.param(D, marks=needs_data), None])
 def test_headings_of_all_lines(spark, tmp_path, path):
     if path is None:
