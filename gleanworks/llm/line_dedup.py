@@ -1,14 +1,14 @@
-"""Line dedup: repeated runs of lines, by prefix doubling over line numbers.
+"""Line dedup: repeated runs of lines, by hashes of runs of a fixed depth.
 
 Documents are sequences of line ids (hashes of lines). The name of a suffix's
 first 2k lines is the hash of its first k lines' name and of the name k lines
-on: prefix doubling, with names in place of ranks, so a round needs no global
-sort. Two names are equal if and only if the suffixes agree for that long;
-the suffixes with one name are an interval of the suffix array whose longest
-common prefix is at least as long. Every interval at depth ``least`` with more
-than one suffix is a repeated run: the first by (doc_id, line) stays, and the
-lines of all later copies are deleted; maximal runs arise as neighbouring
-copies merge.
+on, up to ``least`` lines (for two lines that is one round). This replaces suffix
+ranks, suffix array and LCP intervals: every longer run is made of runs of
+``least`` lines, so the lines of later copies are the same, and no global sort is
+needed. Two names are equal if and only if the runs are, up to collisions of 64
+bits. The first run of a name by (doc_id, line) stays, and the lines of all later
+copies are deleted. Maximal runs aren't told apart: n_runs counts stretches of
+deleted lines, so copies of different runs that touch count as one.
 
 With ``passage`` a single line is a run too if it is as long as a passage: a
 paragraph in one line that stands between other neighbours each time, or is a
@@ -96,7 +96,7 @@ def find_copies(docs: DataFrame, least: int = LEAST, salts: int = SALTS, passage
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, salts: int = SALTS, passage: int | None = None) -> DataFrame:
     """``record`` (a struct of all columns of ``docs``), text (without the later
-    copies), n_lines, n_deleted, n_runs (maximal runs deleted)."""
+    copies), n_lines, n_deleted, n_runs (stretches of deleted lines)."""
     gone = find_copies(docs, least, salts, passage).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record"), F.xxhash64("text").alias("text_hash"))
     met = rows.join(gone, F.col("record.doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")) & F.col("record.text").isNotNull(), "left")
