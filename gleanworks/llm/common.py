@@ -30,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``,
-    or one of our own where it is unset, as in local tests."""
+    or one of our own where it is unset and all runs in one process, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):  # a folder of one machine would lose rows
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="gleanworks-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -89,8 +91,27 @@ def join_hot(rows: DataFrame, info: DataFrame, key: str, weight: str) -> DataFra
     be written tables, since they are read twice."""
     total = info.agg(F.sum(weight)).first()[0] or 0
     hot = F.col(weight) * HOT_SHARE > total
-    near = F.broadcast(info.filter(hot))
-    return rows.join(near, key).union(rows.join(near.select(key), key, "left_anti").join(info.filter(~hot), key))
+    near = info.filter(hot)
+    return rows.join(F.broadcast(near), key).union(rows.join(F.broadcast(near.select(key)), key, "left_anti").join(info.filter(~hot), key))
+
+
+def join_spread(rows: DataFrame, info: DataFrame, key: str, *by: str, weight: str | None = None) -> DataFrame:
+    """Inner join of ``rows`` with one row of ``info`` per key, where that row may be
+    wide, so that not even hot ones should be broadcast. The rows of a hot key are
+    dealt by ``by`` over so many salts that none has more than one in HOT_SHARE of
+    all rows, and its row of ``info`` is copied as often: HOT_SHARE copies more at most.
+    ``weight``: a column of ``info`` that says how many rows a key has; else they are
+    counted. What isn't counted here should be a written table."""
+    many = info.select(key, F.col(weight).alias("many")) if weight else rows.groupBy(key).agg(F.count("*").alias("many"))
+    total = many.agg(F.sum("many"), F.max("many")).first()
+    if not total[0] or total[0] < HOT_SHARE or total[1] * HOT_SHARE <= total[0]:
+        return rows.join(info, key)
+    # Rows: at most HOT_SHARE keys.
+    hot = F.broadcast(materialise(many.filter(F.col("many") * HOT_SHARE > F.lit(total[0])).select(key, F.ceil(F.col("many") * HOT_SHARE / F.lit(total[0])).cast("int").alias("salts"))))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("salts")
+    copied = info.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(copied, [key, "salt"]).drop("salt")
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -133,12 +154,14 @@ def tidy() -> None:
         pass
 
 
-def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
-    """``mapInArrow`` of a function from one block to one batch."""
+def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", most: int = BLOCK_BYTES, after: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` of a function from one block to one batch; ``after`` runs when a task ends."""
 
     def run(batches):
         for block in blocks(batches, text, most):
             yield fn(block)
+        if after:
+            after()
         tidy()
 
     return df.mapInArrow(run, schema)
