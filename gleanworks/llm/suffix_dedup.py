@@ -7,21 +7,28 @@ anchor are a context: its bytes from the first window's start to the last
 one's end.
 
 1. Anchors are counted; a filter of fixed size remembers those that recur.
-2. The contexts of such anchors are cut out and equal ones are counted: all
-   windows of a context that stands twice are repeated.
-3. Different contexts of one anchor are indexed, block by block: from their
-   suffix array comes the Burrows-Wheeler transform, of which only runs matter.
+2. The contexts of such anchors are cut out. Equal ones are one entry of the index
+   with a count; all windows of an entry that counts twice match whole.
+3. Different contexts of one anchor are indexed together, block by block: from
+   their suffix array comes the Burrows-Wheeler transform, of which only runs matter.
    At a run's first and last row, the match with the row before or behind is
    measured; streamed on through the text, a match loses one byte a step until
    the next run end sampled. Windows whose match has 200 bytes are repeated.
-4. An anchor with very many different contexts is not indexed in one task:
-   the hashes of its windows are counted instead, over all tasks.
+4. An anchor whose contexts don't fit into one block is split over tasks first.
+   All its windows hold the anchor (the core); of what else a window holds, at least
+   half lies behind the core or more than half before it. Windows of the first kind
+   can only be equal if the core and that half behind it are, the others if the core
+   and the half before it are: that is a context's new core, and its hash the new
+   anchor. So each context is cut in two, no pair of equal windows is parted, and
+   after eight cuts at most, the core is the window.
 
 Repeated windows are then merged into spans for each document.
 
 Defined cases: null text is empty; texts under 200 bytes lose nothing; rows
 with equal text are each other's repeats, and get equal results; null doc_ids
-are kept; an empty table gives no rows.
+are kept; an empty table gives no rows; columns but doc_id and text aren't looked
+at, whatever their names. A text is read whole by one task, so it may have 2 GB at
+most, as any value of Spark's.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, column, discard, map_blocks, materialise, strings, tidy
+from .common import blocks, column, discard, join_spread, map_blocks, materialise, strings, tidy
 
 WINDOW = 200
 GRAM = 64
@@ -45,17 +52,16 @@ CHUNK = 1 << 16
 FILTER_BITS = 1 << 26
 #: Bytes of one index.
 INDEX_BYTES = 256 << 10
-#: An anchor with more different contexts is counted by windows.
-INDEXED_CONTEXTS = 6000
-SALTS = 32
+#: An anchor with more bytes of different contexts is split over tasks.
+ANCHOR_BYTES = 1 << 20
 
 _rng = np.random.default_rng(64)
 _BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = _rng.integers(0, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts of one chunk: first window, how many windows, anchor hash.
+def anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of one chunk: first window, how many windows, anchor hash and place.
     valid: of each window (start), whether it lies in one document."""
     n = len(valid)
     h = _BYTE[data]
@@ -73,14 +79,15 @@ def anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = (low & np.uint64((1 << 23) - 1)).astype(np.int64)
     start = np.flatnonzero(valid)
     if not len(start):
-        return start, start, np.zeros(0, np.int64)
+        return start, start, np.zeros(0, np.int64), start
     owner = at[start]
     fresh = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)]))
-    return start[fresh], np.diff(np.append(fresh, len(start))), h[owner[fresh]].view(np.int64)
+    return start[fresh], np.diff(np.append(fresh, len(start))), h[owner[fresh]].view(np.int64), owner[fresh] - start[fresh]
 
 
 def contexts(raws: list[bytes]):
-    """(document, start, windows, anchor) of all contexts, chunk by chunk."""
+    """(document, start, windows, anchor, place of the anchor from start on) of all
+    contexts, chunk by chunk."""
     data = np.frombuffer(b"".join(raws), np.uint8)
     size = np.array([len(r) for r in raws], np.int64)
     ends = np.cumsum(size)
@@ -90,9 +97,13 @@ def contexts(raws: list[bytes]):
     for lo in range(0, len(data) - WINDOW + 1, CHUNK):
         n = min(CHUNK, len(data) - WINDOW + 1 - lo)
         at = np.arange(lo, lo + n)
-        start, many, anchor = anchors(data[lo : lo + n + WINDOW - 1], at + WINDOW <= ends[doc[lo : lo + n]])
+        start, many, anchor, core = anchors(data[lo : lo + n + WINDOW - 1], at + WINDOW <= ends[doc[lo : lo + n]])
         d = doc[start + lo]
-        yield d, start + lo - (ends - size)[d], many, anchor
+        yield d, start + lo - (ends - size)[d], many, anchor, core
+
+
+def _signed(x: int) -> int:
+    return x if x < 1 << 63 else x - (1 << 64)
 
 
 def _raws(block: pa.RecordBatch) -> list[bytes]:
@@ -104,7 +115,7 @@ def recurring(docs: DataFrame) -> np.ndarray:
 
     def run(batches):
         for block in blocks(batches):
-            for _, _, _, anchor in contexts(_raws(block)):
+            for _, _, _, anchor, _ in contexts(_raws(block)):
                 yield pa.RecordBatch.from_arrays([pa.array(anchor)], ["anchor"])
         tidy()
 
@@ -117,8 +128,8 @@ def recurring(docs: DataFrame) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, start, windows, anchor, context (hash), body of the
-    contexts whose anchors may recur."""
+    """doc_id, text_hash, start, windows, anchor, core (its place), context (hash), body
+    of the contexts whose anchors may recur."""
     sent = docs.sparkSession.sparkContext.broadcast(words)
     names = ["doc_id", "text_hash"]
 
@@ -127,22 +138,22 @@ def candidates(docs: DataFrame, words: np.ndarray) -> DataFrame:
 
         for block in blocks(batches):
             raws = _raws(block)
-            for d, start, many, anchor in contexts(raws):
+            for d, start, many, anchor, core in contexts(raws):
                 b = np.mod(anchor, FILTER_BITS)
                 hit = np.flatnonzero(sent.value[b // 64] >> (b % 64).astype(np.uint64) & np.uint64(1))
                 for some in np.array_split(hit, -(-len(hit) // 10_000) or 1):
                     if not len(some):
                         continue
                     body = [raws[i][s : s + m + WINDOW - 1] for i, s, m in zip(d[some].tolist(), start[some].tolist(), many[some].tolist(), strict=True)]
-                    own = [x if x < 1 << 63 else x - (1 << 64) for x in map(xxhash.xxh3_64_intdigest, body)]
+                    own = [_signed(xxhash.xxh3_64_intdigest(x)) for x in body]
                     yield pa.RecordBatch.from_arrays(
-                        [*(column(block, c).take(pa.array(d[some])) for c in names), pa.array(start[some]), pa.array(many[some].astype(np.int32)), pa.array(anchor[some]), pa.array(own), pa.array(body, pa.binary())],
-                        [*names, "start", "windows", "anchor", "context", "body"],
+                        [*(column(block, c).take(pa.array(d[some])) for c in names), pa.array(start[some]), pa.array(many[some].astype(np.int32)), pa.array(anchor[some]), pa.array(core[some].astype(np.int32)), pa.array(own), pa.array(body, pa.binary())],
+                        [*names, "start", "windows", "anchor", "core", "context", "body"],
                     )
         tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, start long, windows int, anchor long, context long, body binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, start long, windows int, anchor long, core int, context long, body binary")
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -215,6 +226,7 @@ def _ranges(flags: np.ndarray) -> list[dict]:
     return [{"lo": int(a), "hi": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
+_KEY = pa.struct([("anchor", pa.int64()), ("context", pa.int64())])
 _FOUND = "anchor long, context long, ranges array<struct<lo:int,hi:int>>"
 _RANGES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
@@ -276,39 +288,88 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], _RANGES)], ["anchor", "context", "ranges"])
 
 
-def _counted(groups: DataFrame) -> DataFrame:
-    """The same for anchors with very many contexts, by counting window hashes."""
+def halves(body: bytes, windows: int, lo: int, hi: int) -> list[tuple[int, int, int, int, bytes, bytes]]:
+    """A context whose windows all hold the core body[lo:hi], cut in two: first window,
+    windows, the new core's lo and hi from there on, its bytes (with a mark of the
+    side), and the body."""
+    free = WINDOW - (hi - lo)
+    behind = -(-free // 2)
+    cut = min(max(hi + behind - WINDOW, 0), windows)  # from this window on, half lies behind the core
+    out = []
+    for first, last, a, b, side in ((0, cut, lo - (free - behind + 1), hi, b"<"), (cut, windows, lo, hi + behind, b">")):
+        if last > first:
+            out.append((first, last - first, a - first, b - first, side + body[a:b], body[first : last + WINDOW - 1]))
+    return out
+
+
+def split(parts: DataFrame) -> DataFrame:
+    """``parts`` (key, shift, anchor, n, windows, lo, hi, body) of anchors with too many
+    contexts, cut in two: the same columns, and context."""
 
     def run(batches):
         import xxhash
 
+        names = ["key", "shift", "anchor", "context", "n", "windows", "lo", "hi", "body"]
+        kinds = [_KEY, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for b in batches:
-            for anchor, context, n, windows, body in zip(*(column(b, c).to_pylist() for c in ("anchor", "context", "n", "windows", "body")), strict=True):
-                hashes = [xxhash.xxh3_64_intdigest(body[o : o + WINDOW]) for o in range(windows)]
-                yield pa.RecordBatch.from_pydict({"anchor": [anchor] * windows, "context": [context] * windows, "n": pa.array([n] * windows, pa.int64()), "o": pa.array(range(windows), pa.int32()), "h": pa.array(np.array(hashes, np.uint64).view(np.int64))})
+            rows: list[list] = [[] for _ in names]
+            for key, shift, anchor, n, windows, lo, hi, body in zip(*(column(b, c).to_pylist() for c in ("key", "shift", "anchor", "n", "windows", "lo", "hi", "body")), strict=True):
+                for first, many, x, y, core, own in halves(body, windows, lo, hi):
+                    fresh = _signed(xxhash.xxh3_64_intdigest(core, anchor & (1 << 64) - 1))
+                    for at, v in zip(rows, (key, shift + first, fresh, _signed(xxhash.xxh3_64_intdigest(own)), n, many, x, y, own), strict=True):
+                        at.append(v)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], names)
+        tidy()
 
-    each = groups.select("anchor", "context", "n", "windows", "body").mapInArrow(run, "anchor long, context long, n long, o int, h long")
-    again = each.groupBy("anchor", "h").agg(F.sum("n").alias("all")).filter("all > 1").select("anchor", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hit = each.withColumn("salt", F.pmod("context", F.lit(SALTS)).cast("int")).join(again, ["anchor", "h", "salt"])
-    one = F.transform(F.array_sort(F.collect_set("o")), lambda o: F.struct(o.alias("lo"), (o + 1).alias("hi")))
-    return hit.groupBy("anchor", "context").agg(one.alias("ranges"))
+    schema = "key struct<anchor:long,context:long>, shift int, anchor long, context long, n long, windows int, lo int, hi int, body binary"
+    return parts.select("key", "shift", "anchor", "n", "windows", "lo", "hi", "body").mapInArrow(run, schema)
+
+
+def _with_size(parts: DataFrame, made: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Those of ``parts`` whose anchors fit into one block, and the others, or None."""
+    each = parts.select("anchor", "context", F.octet_length("body").cast("long").alias("bytes")).distinct()
+    wide = materialise(each.groupBy("anchor").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") > ANCHOR_BYTES).select("anchor"), made)
+    if wide.isEmpty():
+        return parts, None
+    return parts.join(wide, "anchor", "left_anti"), parts.join(wide, "anchor", "left_semi")
+
+
+def _matched(groups: DataFrame, made: list[str]) -> DataFrame:
+    """key (anchor, context) and ranges of repeated windows of all ``groups``."""
+    near, wide = _with_size(groups, made)
+    done = [_indexed(near).select(F.struct("anchor", "context").alias("key"), "ranges")]
+    if wide is not None:
+        start = F.col("core")
+        wide = wide.select(F.struct("anchor", "context").alias("key"), F.lit(0).alias("shift"), "anchor", "n", "windows", start.alias("lo"), (start + GRAM).alias("hi"), "body")
+    while wide is not None:
+        parts = materialise(split(wide), made)
+        near, wide = _with_size(parts, made)
+        near = near.withColumn("part", F.struct("anchor", "context"))
+        entries = near.groupBy("part").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.first("windows").alias("windows"), F.first("body").alias("body"))
+        entries = materialise(entries.select("part", "part.*", "n", "parts", "windows", "body"), made)
+        found = materialise(_indexed(entries).select(F.struct("anchor", "context").alias("part"), "ranges").join(entries.select("part", "parts"), "part"), made)
+        met = join_spread(near.select("key", "shift", "part"), found, "part", "key", weight="parts")
+        done.append(met.select("key", F.transform("ranges", lambda r: F.struct((r["lo"] + F.col("shift")).alias("lo"), (r["hi"] + F.col("shift")).alias("hi"))).alias("ranges")))
+    every = done[0]
+    for more in done[1:]:
+        every = every.union(more)
+    return every
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, spans (lo, hi of bytes; they may touch) of documents with repeats."""
-    kept: list[str] = []
-    found = materialise(candidates(docs, recurring(docs)), kept)
-    groups = materialise(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.first("windows").alias("windows"), F.first("body").alias("body")), kept)
-    wide = groups.groupBy("anchor").count().filter(F.col("count") > INDEXED_CONTEXTS).select("anchor")
-    hits = _indexed(groups.join(wide, "anchor", "left_anti"))
-    hot = groups.join(wide, "anchor", "left_semi")
-    if not hot.isEmpty():
-        hits = hits.union(_counted(hot))
-    hits = materialise(hits, kept)
-    places = found.select("doc_id", "text_hash", "start", "anchor", "context").join(hits, ["anchor", "context"])
+    made: list[str] = []
+    found = materialise(candidates(docs, recurring(docs)), made)
+    groups = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.first("windows").alias("windows"), F.first("core").alias("core"), F.first("body").alias("body"))
+    groups = materialise(groups, made)
+    counts = groups.select(F.struct("anchor", "context").alias("key"), "n")
+    hits = materialise(_matched(groups, made), made)
+    hits = materialise(hits.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges")).join(counts, "key"), made)
+    places = join_spread(found.select("doc_id", "text_hash", "start", F.struct("anchor", "context").alias("key")), hits, "key", "text_hash", "start", weight="n")
     spans = F.transform("ranges", lambda r: F.struct((F.col("start") + r["lo"]).alias("lo"), (F.col("start") + r["hi"] - 1 + WINDOW).alias("hi")))
     out = materialise(places.select("doc_id", "text_hash", spans.alias("spans")).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    discard(docs.sparkSession, *kept)
+    discard(docs.sparkSession, *made)
     return out
 
 
