@@ -11,7 +11,10 @@ Letters are lower-cased; everything else counts as one space between words.
 Defined cases: null text, or text without a letter, is ``und`` with score 0,
 and so is everything if nothing could be learned; rows with null lang or null
 doc_id aren't learned from; among equal cosines the first language by name
-wins; repeated rows are predicted alike.
+wins; repeated rows are learned from each, and predicted alike; an empty table gives
+no rows; columns named as those that are added are replaced, all others are kept.
+Texts are encoded whole, BATCH_CHARS or one text at a time, and a worker remembers
+at most KNOWN vectors, so memory depends on the longest text alone (up to 2 GB).
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ DIMENSIONS = 1024
 SYMBOLS, DENSE = 4096, 128
 #: About so many labelled documents are learned from at most (drawn by a hash of doc_id).
 LEARN_FROM = 24_000
+#: Trigrams whose vectors a worker remembers, 4 KB each; others are bound anew, SLICE at a time.
+KNOWN, SLICE = 20_000, 4000
 #: Texts whose vectors are made at once.
 BATCH_CHARS, BATCH_TEXTS = 400_000, 96
 UNKNOWN = "und"
@@ -61,12 +66,22 @@ class Encoder:
         letters = np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dimensions), np.int8) * 2 - 1
         self.letters = [np.roll(letters, k, 1) for k in (2, 1, 0)]
         self.row = np.full(DENSE**3, -1, np.int32)  # of a trigram of Latin letters, in `vectors`
-        self.vectors = np.zeros((0, dimensions), np.float32)
+        self.vectors = np.zeros((KNOWN, dimensions), np.float32)  # memory is taken as rows are filled
+        self.known = 0
 
     def _bind(self, codes: np.ndarray, base: int) -> np.ndarray:
         a, b, c = codes // base // base, codes // base % base, codes % base
         return (self.letters[0][a] * self.letters[1][b] * self.letters[2][c]).astype(np.float32)
 
+    def _add(self, out: np.ndarray, doc: np.ndarray, codes: np.ndarray, base: int) -> None:
+        """Adds the vectors of trigrams that aren't remembered, each bound once."""
+        each, place = np.unique(codes, return_inverse=True)
+        for lo in range(0, len(each), SLICE):
+            some = (place >= lo) & (place < lo + SLICE)
+            n = min(SLICE, len(each) - lo)
+            counts = np.bincount(doc[some] * n + place[some] - lo, minlength=len(out) * n).reshape(-1, n)
+            out += counts.astype(np.float32) @ self._bind(each[lo : lo + n], base)
+
     def lettered(self, texts: list[str]) -> list[bool]:
         """Whether each text has a letter, where its vector isn't needed."""
         return [bool(self.symbols[np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)].any()) for t in texts]
@@ -90,19 +105,21 @@ class Encoder:
         latin = np.maximum(np.maximum(a, b), c) < DENSE
         codes = ((a * DENSE + b) * DENSE + c)[latin]
         row = self.row[codes]
-        fresh = np.unique(codes[row < 0])
+        fresh = np.unique(codes[row < 0])[: KNOWN - self.known]
         if len(fresh):
-            self.row[fresh] = len(self.vectors) + np.arange(len(fresh))
-            self.vectors = np.concatenate([self.vectors, self._bind(fresh, DENSE)])
+            rows = self.known + np.arange(len(fresh))
+            self.row[fresh] = rows
+            self.vectors[rows] = self._bind(fresh, DENSE)
+            self.known += len(fresh)
             row = self.row[codes]
-        k = len(self.vectors)
-        if k:
-            counts = np.bincount(doc[latin] * k + row, minlength=len(texts) * k).reshape(-1, k)
+        old = row >= 0
+        if old.any():
+            counts = np.bincount(doc[latin][old] * self.known + row[old], minlength=len(texts) * self.known).reshape(-1, self.known)
             used = np.flatnonzero(counts.any(0))
             out += counts[:, used].astype(np.float32) @ self.vectors[used]
-        other = np.flatnonzero(~latin)
-        for at in np.split(other, range(5000, len(other), 5000)) if len(other) else []:
-            np.add.at(out, doc[at], self._bind((a[at] * SYMBOLS + b[at]) * SYMBOLS + c[at], SYMBOLS))
+        self._add(out, doc[latin][~old], codes[~old], DENSE)
+        other = ~latin
+        self._add(out, doc[other], (a[other] * SYMBOLS + b[other]) * SYMBOLS + c[other], SYMBOLS)
         return has, out
 
 
