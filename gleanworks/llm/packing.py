@@ -39,8 +39,9 @@ END_ID = 0
 #: Branch-and-bound nodes after which the best solution so far is taken, and
 #: after how many of them an incumbent is made of the branch.
 NODES, RENEW = 4000, 20
-#: Fillings tried around one largest piece.
-FILLINGS = 24
+#: Fillings tried around one largest piece, and steps of the search for them. With NODES
+#: they bound the time of a search whose tree has no bound; best-fit decreasing stands by.
+FILLINGS, STEPS = 24, 4000
 #: Chunks whose ids a worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 1_000_000
 
@@ -264,12 +265,29 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(items, n) for group in classes.values() for items, n in group]
 
 
+def dominates(a: tuple[tuple[int, int], ...], b: tuple[tuple[int, int], ...]) -> bool:
+    """Whether filling ``a`` is at least as good as ``b``, whatever else is to be packed:
+    b's pieces go into places of the size of a's, so they could change places with them.
+    First-fit decreasing decides, so what is said to be dominated is."""
+    rooms = [k for k, n in a for _ in range(n)]
+    if sum(k * n for k, n in b) > sum(rooms):
+        return False
+    for k, n in b:
+        for _ in range(n):
+            i = next((i for i, r in enumerate(rooms) if r >= k), None)
+            if i is None:
+                return False
+            rooms[i] -= k
+    return True
+
+
 def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated ways to fill ``room``: least waste first, and none that
-    leaves room for a piece that is still there. Of two fillings with equal
-    waste, that with fewer (larger) pieces dominates and comes first."""
+    """Undominated ways to fill ``room``: least waste first, and of those the one with
+    fewer (larger) pieces. None leaves room for a piece that is still there, and none
+    is dominated by one before it. At most ``most`` are returned, of at most four times
+    as many found in at most STEPS steps of the search."""
     found: list[tuple[int, int, tuple[tuple[int, int], ...]]] = []
-    budget = [4000]
+    budget = [STEPS]
 
     def go(i: int, room: int, chosen: tuple) -> None:
         if len(found) >= most * 4 or budget[0] < 0:
@@ -290,7 +308,11 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int =
 
     go(0, room, ())
     found.sort(key=lambda x: x[:2])
-    return [x[2] for x in found[:most]]
+    kept: list[tuple[tuple[int, int], ...]] = []
+    for _, _, items in found:
+        if len(kept) < most and not any(dominates(x, items) for x in kept):
+            kept.append(items)
+    return kept
 
 
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
