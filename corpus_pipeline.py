@@ -3,12 +3,20 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept. All but the last return the columns of ``documents``; the last returns
 the packed pieces.
+
+Defined cases, for every stage: columns besides doc_id, text, lang and n_chars are
+carried through as they are, whatever their names (also those that an operator
+adds); null doc_ids are kept, and rows that share one are told apart by their text;
+documents with null or empty text have no letter, so the first stage drops them; of
+rows that are repeated, line dedup takes each for the same copy and the third stage
+keeps one; among near copies the smallest doc_id stays; empty tables give empty
+results; texts are worked on whole, of any length that Spark holds (2 GB).
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanworks.llm import decontaminate, langid, line_dedup, near_dedup, packing
@@ -18,11 +26,19 @@ from gleanworks.llm.common import materialise, table
 ORACLE_SQL = None
 
 
+def _hidden(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but doc_id and text under names of our own, so that none
+    meets an operator's, and the expressions that give the columns back."""
+    names = [c if c in ("doc_id", "text") else f"own_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that can have no language: those with no letter. Without labelled
     documents to learn from, all others stay too."""
-    found = langid.predict(docs, *langid.learn(docs))
-    return found.filter("has_letter").select(docs.columns)
+    own, columns = _hidden(docs)
+    found = langid.predict(own, *langid.learn(docs.select("doc_id", "text", "lang")))
+    return found.filter("has_letter").select(columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,20 +51,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near-duplicates (and one of repeated rows)."""
-    found = materialise(near_dedup.near_duplicates(docs))
+    own, columns = _hidden(docs)
+    found = materialise(near_dedup.near_duplicates(docs.select("doc_id", "text")))
     same = F.col("doc_id").eqNullSafe(F.col("other_id")) & F.xxhash64("text").eqNullSafe(F.col("other_hash"))
     keys = [F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash")]
-    left = docs.join(found.filter(~F.col("kept")).select(keys).distinct(), same, "left_anti")
+    left = own.join(found.filter(~F.col("kept")).select(keys).distinct(), same, "left_anti")
     twice = found.filter("kept").groupBy(keys).count().filter("count > 1").select("other_id", "other_hash")
-    if twice.isEmpty():
-        return left
-    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    if not twice.isEmpty():
+        left = left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left.select(columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("spans") == 0).select(docs.columns)
+    own, columns = _hidden(docs)
+    found = decontaminate.find_contamination(own, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("spans") == 0).select(columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
