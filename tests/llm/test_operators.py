@@ -73,6 +73,20 @@ def test_bin_completion_beats_best_fit():
     assert sum(t for _, t in packing.bin_completion(counts, 10)) == 3
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=12), st.integers(5, 25))
+def test_fillings(sizes, room):
+    """They fit, leave no room for what is still there, and none dominates a later one."""
+    counts = Counter(sizes)
+    found = packing.fillings(sorted(counts, reverse=True), counts, room)
+    for i, items in enumerate(found):
+        waste = room - sum(k * n for k, n in items)
+        assert waste >= 0 and all(n <= counts[k] for k, n in items)
+        assert not any(k <= waste and counts[k] > dict(items).get(k, 0) for k in counts)
+        assert not any(packing.dominates(found[j], items) for j in range(i))
+    assert packing.dominates(((5, 1), (3, 1)), ((5, 1), (2, 1), (1, 1))) and not packing.dominates(((4, 2),), ((5, 1), (3, 1)))
+
+
 def test_tokenizer_is_exact(texts):
     t, own = Tokenizer.from_file(PATH), packing.ChunkTokenizer(PATH)
     some = [x or "" for x in texts] + ["it's we'll a.. b,, c.,d e-f. (g). x_y. $5.00, 3,000.5 ÀÉÎ. «quoté», a·b. 3²."]
@@ -238,7 +252,7 @@ def test_near_duplicates(docs):
     assert Counter(map(tuple, got)) == Counter(brute_components(rows_of(docs)))
 
 
-@pytest.mark.parametrize("bucket_bytes", [1 << 20, 0])
+@pytest.mark.parametrize("bucket_bytes", [1 << 20, 4000])
 def test_near_duplicates_of_chains_and_stars(spark, monkeypatch, bucket_bytes):
     monkeypatch.setattr(near_dedup, "BUCKET_BYTES", bucket_bytes)
     rows = list(enumerate(chained(24)))
@@ -287,9 +301,9 @@ def brute_repeats(docs, window=200):
         yield i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()
 
 
-@pytest.mark.parametrize("indexed", [6000, 1])
-def test_repeats(docs, monkeypatch, indexed):
-    monkeypatch.setattr(suffix_dedup, "INDEXED_CONTEXTS", indexed)
+@pytest.mark.parametrize("anchor_bytes", [1 << 20, 300])
+def test_repeats(docs, monkeypatch, anchor_bytes):
+    monkeypatch.setattr(suffix_dedup, "ANCHOR_BYTES", anchor_bytes)
     got = suffix_dedup.remove_repeats(docs).drop("spans").collect()
     assert Counter(map(tuple, got)) == Counter(brute_repeats(rows_of(docs)))
 
@@ -299,7 +313,7 @@ def test_repeats_chunked(docs, monkeypatch, texts):
     whole = list(suffix_dedup.contexts(raws))
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
     parts = list(suffix_dedup.contexts(raws))
-    windows = lambda found: {(d, s + k, a) for x in found for d, s, m, a in zip(*map(list, x), strict=True) for k in range(m)}
+    windows = lambda found: {(d, s + k, a, s + c) for x in found for d, s, m, a, c in zip(*map(list, x), strict=True) for k in range(m)}
     assert windows(whole) == windows(parts)
 
 
@@ -380,15 +394,25 @@ def test_licenses(docs, empty):
 
 
 def test_license_spans(spark):
+    """Edited texts of licenses are found by their words; what a license shares with prose isn't."""
+    edit = lambda t, k: " ".join(w for i, w in enumerate(t.split()) if i % k)  # noqa: E731  every k-th word is lost
     rows = [
-        (1, "x Permission is hereby granted, free of charge, to any good person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction."),
+        (1, "x " + edit(license_scan._MIT, 12) + " y"),
         (2, "mit license mit license; the apache license. GENERAL Public   license"),
         (3, "licensed under nothing at all"),
+        (4, license_scan._BSD.replace("1. ", "* ").replace("2. ", "* ") + "\n" + license_scan._AS_IS_BSD),
+        (5, "/*\n * " + license_scan._APACHE.replace(". ", ".\n * ") + " */"),
+        (6, license_scan._GPL.replace("version 3", "version 2")),
+        (7, "Licensed under CC BY-NC 4.0. Some prose."),
+        (8, license_scan._CC.format("Attribution-ShareAlike")),
+        (9, edit(license_scan._MIT, 3)),
+        (10, "to any person who is subject to the following conditions, the above copyright notice is provided as is, without warranty of any kind"),
     ]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].labels == "mit" and got[1].base_labels == "" and 0.6 <= got[1].score < 1
+    assert got[1].labels == "mit" and got[1].base_labels == "" and 0.75 <= got[1].score < 1
     assert (got[2].n_base, got[2].first_word, got[2].last_word, got[2].base_labels) == (4, 0, 7, "apache,gpl,mit")
     assert (got[3].labels, got[3].score, got[3].first_word) == ("", 0.0, None)
+    assert [got[i].labels for i in range(4, 11)] == ["bsd", "apache", "gpl", "cc-by-nc", "cc-by-sa", "", ""]
 
 
 def test_line_dedup(docs, empty, texts):
@@ -401,16 +425,48 @@ def test_line_dedup(docs, empty, texts):
     r = found[39]
     assert r.text == "own line" and r.n_deleted == 5 and r.n_runs == 2 and len(shared.split("\n")) == 6
     unique = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    mine = Counter((r.record.doc_id, r.n_lines, r.n_deleted, r.n_runs, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in line_dedup.dedup_lines(unique).collect())
+    mine = Counter((r.record.doc_id, r.n_lines, r.n_deleted, r.n_runs, r.n_maximal, r.longest, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in line_dedup.dedup_lines(unique).collect())
     assert mine == in_duckdb(docs, OP10_SQL)
     assert line_dedup.dedup_lines(empty).collect() == []
 
 
+def brute_runs(texts, least):
+    """Maximal repeated runs of each text, and the longest, every pair of places compared."""
+
+    def match(t, p, u, q):
+        k = 0
+        while p + k < len(t) and q + k < len(u) and t[p + k] == u[q + k]:
+            k += 1
+        return k
+
+    out = {}
+    for i, t in enumerate(texts):
+        best = {p: max((match(t, p, u, q) for j, u in enumerate(texts) for q in range(len(u)) if (i, p) != (j, q)), default=0) for p in range(len(t))}
+        runs = {p: n for p, n in best.items() if n >= least and any(x.strip() for x in t[p : p + least])}
+        out[i] = (sum(runs.get(p - 1) != n + 1 for p, n in runs.items()), max(runs.values(), default=0))
+    return out
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_maximal_runs(spark, least):
+    """Long copies, runs that nest and overlap, ends of documents, blank lines, one line again and again."""
+    import random
+
+    rng = random.Random(least)
+    base = [f"line {k}" for k in range(40)]
+    texts = [base, base[3:30], base[10:], ["x", *base[5:9], "", "", "", *base[9:20], "y"], ["z", *base[5:9], "", "", "", *base[9:18]], ["same"] * 9, ["same"] * 5 + base[:3], [" "] * 6, [""], ["only here", "and here"], base]
+    texts += [[rng.choice("ab") for _ in range(15)] for _ in range(6)]
+    found = line_dedup.dedup_lines(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), least).collect()
+    assert {r.record.doc_id: (r.n_maximal, r.longest) for r in found} == brute_runs(texts, least)
+
+
 @pytest.mark.parametrize("least", [1, 3, 4])
 def test_line_runs_of_other_lengths(spark, least):
     rng = np.random.default_rng(least)
     texts = [list(rng.choice(list("abc "), 12)) for _ in range(12)]
-    got = {r.record.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), least).collect()}
+    found = line_dedup.dedup_lines(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), least).collect()
+    got = {r.record.doc_id: r.text for r in found}
+    assert {r.record.doc_id: (r.n_maximal, r.longest) for r in found} == brute_runs(texts, least)
     seen = set()
     for i, t in enumerate(texts):
         gone = set()
