@@ -5,15 +5,17 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from datetime import datetime, timezone
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
 from .functions import identity
 from .functions.embedders import create_embedder
-from .operators import agent, answering, chunking, evaluation, harness, index, web
+from .operators import agent, answering, chunking, evaluation, harness, incremental, index, web
 from .sources import files, html, remote
 
 __version__ = "0.1.0"
@@ -43,36 +45,43 @@ def _documents(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "source_id", "source_path", "file_type", "content_hash", "ingestion_fingerprint").distinct().withColumn("warnings", F.array().cast("array<string>"))
 
 
-def _store(ws: Workspace, spark: SparkSession, blocks: DataFrame, failures: DataFrame, args, replace: DataFrame | None) -> dict:
-    """Chunk, embed and write. ``replace``: sources whose old rows go; None starts afresh."""
+def _store(ws: Workspace, spark: SparkSession, blocks: DataFrame, failures: DataFrame, args, classes: DataFrame | None) -> dict:
+    """Chunk, embed and write. ``classes`` (source_path, status): which sources' rows are
+    replaced, deleted or kept; None starts afresh."""
     config = chunking.ChunkConfig(args.max_chars, args.overlap)
     embedder = create_embedder(args.embedding, args.dimension)
-    chunks = chunking.chunk_blocks(blocks, config)
-    documents = chunking.manifest(_documents(blocks), blocks, chunks)
-    if replace is not None and ws.exists():
-        chunks = ws.read(spark, "chunks").join(replace, "source_path", "left_anti").unionByName(chunks)
-        documents = ws.read(spark, "documents").join(replace, "source_path", "left_anti").unionByName(documents, allowMissingColumns=True)
+    fresh = chunking.chunk_blocks(blocks, config)
+    chunks, documents = fresh, chunking.manifest(_documents(blocks), blocks, fresh)
+    if classes is not None and ws.exists():
+        chunks = incremental.merge(ws.read(spark, "chunks"), chunks, classes)
+        documents = incremental.merge(ws.read(spark, "documents"), documents, classes)
         made = index.update(chunks, ws.read(spark, "index"), embedder)
     else:
         made = index.build(chunks, embedder).withColumn("reused", F.lit(False))
+    counted = incremental.counters(classes, fresh).first().asDict() if classes is not None else {}
     version = ws.write({"chunks": chunks, "documents": documents, "failures": failures, "index": made, "meta": index.meta(made, embedder)})
     s = index.update_stats(ws.read(spark, "index")).first()
-    return {"version": version, "documents": documents.count(), "failed": failures.count(), "embedded": s.embedded, "reused": s.reused}
+    return {"version": version, "documents": documents.count(), "failed": failures.count(), "embedded": s.embedded, "reused": s.reused, **counted}
 
 
 def ingest(args, spark: SparkSession) -> int:
+    """Files below a path. With --incremental, files are hashed first; only those that are
+    new or have changed are decoded, chunked and embedded."""
     files.discover(args.path)
-    found = files.read_files(spark, args.path).cache()
-    blocks, failed = files.file_blocks(found), files.failures(found)
-    good = found.filter("loaded.error_type IS NULL").select("source_path")
-    gone = None
     ws = Workspace(args.workspace)
-    if args.incremental and ws.exists():
-        root = str(Path(args.path).resolve())
-        old = ws.read(spark, "documents").select("source_path").filter(F.col("source_path").startswith(root + "/")).join(found.select("source_path"), "source_path", "left_anti")
-        gone = good.union(old)
-    out = _store(ws, spark, blocks, failed, args, gone)
-    found.unpersist()  # the same path may hold other bytes next time
+    again = args.incremental and ws.exists()
+    root = Path(args.path).expanduser().resolve()
+    fingerprint = chunking.ChunkConfig(args.max_chars, args.overlap).fingerprint
+    none = "source_path string, content_hash string, ingestion_fingerprint string, chunking_fingerprint string, chunk_count long"
+    past = ws.read(spark, "documents").select("source_path", "content_hash", "ingestion_fingerprint", "chunking_fingerprint", "chunk_count") if again else spark.createDataFrame([], none)
+    stored = ws.read(spark, "chunks").groupBy("source_path").agg(F.count("*").alias("chunks")) if again else spark.createDataFrame([], "source_path string, chunks long")
+    whole = past.filter(F.col("chunking_fingerprint") == fingerprint).join(stored, "source_path", "left").filter(F.coalesce("chunks", F.lit(0)) == F.col("chunk_count"))
+    found = files.read_files(spark, args.path, known=whole if again else None, max_bytes=int(args.max_file_mb * (1 << 20))).cache()
+    classes = incremental.classify(found.select("source_path", "content_hash", "ingestion_fingerprint", F.col("loaded.error_type").alias("error")), past, stored, str(root), fingerprint, root.is_dir()).cache()
+    fresh = found.filter("loaded IS NOT NULL").join(classes.filter(F.col("status").isin("added", "updated")), "source_path", "left_semi")
+    out = _store(ws, spark, files.file_blocks(fresh), files.failures(found), args, classes)
+    for df in (found, classes):
+        df.unpersist()  # the same path may hold other bytes next time
     print(json.dumps(out, ensure_ascii=False))
     return 2 if out["failed"] else 0
 
@@ -86,28 +95,35 @@ def ingest_url(args, spark: SparkSession) -> int:
     blocks = docs.select("doc_id", "source_id", "source_path", "content_hash", F.posexplode("blocks").alias("block_pos", "b")).select("*", "b.text", "b.heading_path").drop("b")
     blocks = web.block_offsets(blocks).withColumns({"file_type": F.lit("html"), "ingestion_fingerprint": F.lit(identity.ingestion_fingerprint("html")), "extraction_method": F.lit("html"), "page_number": F.lit(None).cast("int"), "encoding": F.lit("utf-8"), "warnings": F.array().cast("array<string>")})
     failed = pages.filter("html IS NULL").select(F.col("url").alias("source_path"), F.lit("FetchError").alias("error_type"), F.col("error").alias("message"))
-    out = _store(ws, spark, blocks, failed, args, rows.select("source_path"))
+    classes = rows.select("source_path", F.lit("updated").alias("status"), F.lit(0).alias("old_chunks"))
+    out = _store(ws, spark, blocks, failed, args, classes)
     print(json.dumps(out, ensure_ascii=False))
     return 2 if out["failed"] else 0
 
 
-def _search(ws: Workspace, spark: SparkSession, questions: list[str], k: int, least: float) -> DataFrame:
+def _search(ws: Workspace, spark: SparkSession, questions: list[str], k: int, least: float, where: Column | None = None) -> DataFrame:
     meta = ws.read(spark, "meta").first()
     embedder = create_embedder(meta.provider_name, meta.dimension or None)
     index.check_provider(meta.provider_fingerprint, meta.dimension, embedder)
     asked = spark.createDataFrame(list(enumerate(questions)), "query_id long, question string").withColumn("query_vector", embedder.column(F.col("question")))
-    found = index.search(ws.read(spark, "index"), asked.filter(F.trim("question") != ""), k, least)
+    found = index.search(ws.read(spark, "index"), asked.filter(F.trim("question") != ""), k, least, where)
     return index.search_results(found, ws.read(spark, "chunks"))
 
 
+def _where(args) -> Column | None:
+    """The filter of --source and --file-type, or None."""
+    wanted = [F.col(c) == v for c, v in (("source_path", args.source), ("file_type", args.file_type)) if v]
+    return reduce(lambda a, b: a & b, wanted) if wanted else None
+
+
 def search(args, spark: SparkSession) -> int:
-    for r in _search(Workspace(args.workspace), spark, [args.query], args.top_k, args.min_score).orderBy("rank").toJSON().collect():
+    for r in _search(Workspace(args.workspace), spark, [args.query], args.top_k, args.min_score, _where(args)).orderBy("rank").toJSON().collect():
         print(r)
     return 0
 
 
 def ask(args, spark: SparkSession) -> int:
-    results = _search(Workspace(args.workspace), spark, [args.query], args.top_k, args.min_score)
+    results = _search(Workspace(args.workspace), spark, [args.query], args.top_k, args.min_score, _where(args))
     chat = None
     if not args.dry_run:
         client = remote.ChatClient.from_environment()
@@ -129,31 +145,62 @@ def evaluate(args, spark: SparkSession) -> int:
 
 
 def run_harness(args, spark: SparkSession) -> int:
-    """The mechanical answerer over a task file, scored."""
+    """A task file, answered and scored, --repeat times: by the mechanical answerer, or by
+    the agent with --real; judged by a model with --judge. --limit takes the first tasks."""
     rows = files.read_jsonl(spark, args.tasks, schemas.TASK)
     if bad := harness.check_tasks(rows).filter("problem IS NOT NULL").first():
         raise ValueError(f"task {bad.id}: {bad.problem}")
-    listed = rows.collect()
-    results = _search(Workspace(args.workspace), spark, [r.query for r in listed], 5, 0.08).cache()
-    ids = spark.createDataFrame([(i, r.id) for i, r in enumerate(listed)], "query_id long, task_id string")
+    listed = rows.take(args.limit) if args.limit else rows.collect()
+    rows = spark.createDataFrame(listed, rows.schema)
+    ws = Workspace(args.workspace)
     none = F.array().cast("array<string>")
-    tasks = rows.select(F.col("id").alias("task_id"), F.coalesce("task_type", F.lit("answerable")).alias("task_type"), F.coalesce("auto", F.lit(False)).alias("auto"), F.coalesce("category", F.lit("")).alias("category"), F.coalesce("relevant_chunk_ids", none).alias("relevant_chunk_ids"), F.coalesce("relevant_source_paths", none).alias("relevant_source_paths"))
-    found = results.join(ids, "query_id").withColumn("query_id", F.col("task_id"))
-    answers = harness.ideal_answers(tasks.select("task_id"), found)
-    hits = found.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "source_path"))).alias("results"))
-    call = F.array(F.struct(F.lit(agent.SEARCH).alias("name"), F.coalesce("results", F.array().cast(hits.schema["results"].dataType)).alias("results")))
-    audits = answers.join(hits, "task_id", "left").select("task_id", F.lit(0).alias("run_id"), "answer", F.coalesce("results", F.array().cast(hits.schema["results"].dataType)).alias("evidence"), call.alias("tool_calls"))
-    metrics = harness.task_metrics(tasks, audits).join(tasks.select("task_id", "auto", "category"), "task_id")
-    done = harness.report(metrics, "fake", "ideal-script", identity.sha256_text(Path(args.tasks).read_text(encoding="utf-8")))
+    tasks = rows.select(F.col("id").alias("task_id"), "query", F.coalesce("expected_points", none).alias("expected_points"), F.coalesce("task_type", F.lit("answerable")).alias("task_type"), F.coalesce("auto", F.lit(False)).alias("auto"), F.coalesce("category", F.lit("")).alias("category"), F.coalesce("relevant_chunk_ids", none).alias("relevant_chunk_ids"), F.coalesce("relevant_source_paths", none).alias("relevant_source_paths"))
+    if args.real:
+        audits = _agent_audits(ws, spark, listed, args.repeat)
+    else:
+        results = _search(ws, spark, [r.query for r in listed], 5, 0.08).cache()
+        ids = spark.createDataFrame([(i, r.id) for i, r in enumerate(listed)], "query_id long, task_id string")
+        found = results.join(ids, "query_id").withColumn("query_id", F.col("task_id"))
+        answers = harness.ideal_answers(tasks.select("task_id"), found)
+        hits = found.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "source_path", "text"))).alias("results"))
+        call = F.array(F.struct(F.lit(agent.SEARCH).alias("name"), F.coalesce("results", F.array().cast(hits.schema["results"].dataType)).alias("results")))
+        runs = F.explode(F.sequence(F.lit(0), F.lit(args.repeat - 1))).alias("run_id")
+        evidence = F.transform(F.coalesce("results", F.array().cast(hits.schema["results"].dataType)), lambda r: F.struct(F.lit("local").alias("source_type"), r["source_path"].alias("source_path"), r["text"].alias("text")))
+        audits = answers.join(hits, "task_id", "left").select("task_id", runs, "answer", evidence.alias("evidence"), call.alias("tool_calls"))
+    metrics = harness.task_metrics(tasks.drop("query", "expected_points"), audits).join(tasks.select("task_id", "auto", "category"), "task_id")
+    verdicts = None
+    if args.judge:
+        client = remote.ChatClient.from_environment()
+        last = audits.filter(F.col("run_id") == args.repeat - 1)
+        verdicts = harness.judge(harness.judge_prompts(tasks, last), client.complete).cache()  # each answer is judged once
+    done = harness.report(metrics, "real" if args.real else "fake", "agent" if args.real else "ideal-script", identity.sha256_text(Path(args.tasks).read_text(encoding="utf-8")), verdicts)
+    if args.calibrate:
+        done["calibration"] = harness.calibrate(harness.calibration_samples(spark), remote.ChatClient.from_environment().complete).first().asDict()
     for r in sorted(done["aggregate"], key=lambda r: (r["section"], r["label"])):
         print(json.dumps(r, ensure_ascii=False))
     if args.compare:
         print(json.dumps(harness.compare_reports(json.loads(Path(args.compare).read_text()), done), ensure_ascii=False))
-    if args.report:
-        Path(args.report).write_text(json.dumps(done, ensure_ascii=False, sort_keys=True))
+    if args.report:  # a folder gets a new file by the second
+        target = Path(args.report)
+        if target.is_dir():
+            target /= harness.report_name(datetime.now(timezone.utc), {p.name for p in target.iterdir()})
+        target.write_text(json.dumps(done, ensure_ascii=False, sort_keys=True))
     return 0
 
 
+def _agent_audits(ws: Workspace, spark: SparkSession, listed: list, repeat: int) -> DataFrame:
+    """What the agent says and does, task by task: a person reads these few."""
+    tool = agent.SearchTool(lambda q, k, least: [r.asDict(True) for r in _search(ws, spark, [q], k, least).orderBy("rank").collect()])
+    out = []
+    for run in range(repeat):
+        for r in listed:
+            got = agent.Agent(tool, remote.ChatClient.from_environment()).run(r.query)
+            seen = [{"source_type": e.get("source_type") or "local", "source_path": e.get("source_path"), "chunk_id": e.get("chunk_id"), "text": e.get("text")} for e in got.evidence]
+            out.append((r.id, run, got.answer, seen, [{"name": c["name"], "results": seen if c["name"] == agent.SEARCH else []} for c in got.tool_calls]))
+    each = "struct<source_type:string,source_path:string,chunk_id:string,text:string>"
+    return spark.createDataFrame(out, f"task_id string, run_id int, answer string, evidence array<{each}>, tool_calls array<struct<name:string,results:array<{each}>>>")
+
+
 def run_agent(args, spark: SparkSession) -> int:
     ws = Workspace(args.workspace)
     tool = agent.SearchTool(lambda q, k, least: [r.asDict(True) for r in _search(ws, spark, [q], k, least).orderBy("rank").collect()])
@@ -165,7 +212,8 @@ def run_agent(args, spark: SparkSession) -> int:
 
 def chat(args, spark: SparkSession) -> int:
     """Reads questions from standard input until it ends."""
-    past = agent.History()
+    kept = Path(args.history) if args.history else None
+    past = agent.History.load(kept) if kept and kept.exists() else agent.History()
     ws = Workspace(args.workspace)
     tool = agent.SearchTool(lambda q, k, least: [r.asDict(True) for r in _search(ws, spark, [q], k, least).orderBy("rank").collect()])
     speaker = agent.Agent(tool, remote.ChatClient.from_environment())
@@ -174,6 +222,8 @@ def chat(args, spark: SparkSession) -> int:
             got = speaker.run(line, past)
             past = got.history
             print(got.answer, flush=True)
+            if kept:
+                past.save(kept)
     return 0
 
 
@@ -231,6 +281,13 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(flag, type=int, default={"--max-chars": 1200, "--overlap": 120}.get(flag))
         for flag in ("--embedding", "--report", "--compare"):
             c.add_argument(flag, default=None)
+        for flag in ("--source", "--file-type", "--history"):
+            c.add_argument(flag, default=None)
+        c.add_argument("--limit", type=int, default=0)
+        c.add_argument("--repeat", type=int, default=1)
+        for flag in ("--real", "--judge", "--calibrate"):
+            c.add_argument(flag, action="store_true")
+        c.add_argument("--max-file-mb", type=float, default=files.MAX_BYTES / (1 << 20))
         for flag in ("--incremental", "--dry-run", "--web"):
             c.add_argument(flag, action="store_true")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -12,6 +15,7 @@ from ..functions import identity
 
 #: Characters behind which a piece may end.
 BOUNDARIES = "\n。！？；.!?; "
+_BOUNDARY = re.compile(f"[{re.escape(BOUNDARIES)}]")
 
 
 @dataclass(frozen=True)
@@ -28,28 +32,28 @@ class ChunkConfig:
         return identity.chunking_fingerprint(self.max_chars, self.overlap_chars)
 
 
+def _cuts(body: str, config: ChunkConfig) -> Iterator[tuple[int, int]]:
+    """Where pieces start and end, from the places of all boundaries, found in one pass."""
+    places = [m.end() for m in _BOUNDARY.finditer(body)] if len(body) > config.max_chars else []
+    start, least = 0, max(1, config.max_chars // 2)
+    while start + config.max_chars < len(body):
+        last = start + config.max_chars
+        near = places[k - 1] if (k := bisect_right(places, last)) else 0
+        stop = near if near > start + least else last
+        yield start, stop
+        start = max(start + 1, stop - config.overlap_chars)
+    if body:
+        yield start, len(body)
+
+
 def split_text(text: str, config: ChunkConfig = ChunkConfig()) -> list[tuple[str, int, int]]:
     """(piece, start, end): each at most ``max_chars``, cut behind the last
     boundary of its second half, overlapping the one before."""
     body = text.strip()
-    lead = len(text) - len(text.lstrip())
-    out: list[tuple[str, int, int]] = []
-    at, n = 0, len(body)
-    while at < n:
-        end = min(at + config.max_chars, n)
-        if end < n:
-            low = at + max(1, config.max_chars // 2)
-            cut = max(body.rfind(c, low, end) for c in BOUNDARIES)
-            end = cut + 1 if cut >= 0 else end
-        piece = body[at:end]
-        inner = piece.strip()
-        if inner:
-            first = at + len(piece) - len(piece.lstrip())
-            out.append((inner, lead + first, lead + first + len(inner)))
-        if end >= n:
-            break
-        at = max(end - config.overlap_chars, at + 1)
-    return out
+    skipped = text.find(body)
+    spans = ((start, body[start:stop]) for start, stop in _cuts(body, config))
+    trimmed = ((skipped + start + len(x) - len(x.lstrip()), x.strip()) for start, x in spans)
+    return [(x, at, at + len(x)) for at, x in trimmed if x]
 
 
 def pieces(text: Column, config: ChunkConfig = ChunkConfig()) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,7 +126,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, min_score: float =
         index = index.filter(where)
     own = F.coalesce("min_score", F.lit(min_score)) if "min_score" in queries.columns else F.lit(min_score)
     asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v"), own.cast("double").alias("least"))
-    asked = asked.filter(F.coalesce(vector.norm(F.col("v")) > 0, F.lit(False)))
+    # Kept while blocks are sent, so that queries are embedded once; what an executor loses is made again.
+    asked = asked.filter(F.coalesce(vector.norm(F.col("v")) > 0, F.lit(False))).persist(StorageLevel.DISK_ONLY)
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     blocks = max(1, -(-(size.n * (size.d or 1) * 8) // QUERY_BYTES))
     rows = index.select(F.col(id_col).alias("id"), F.col("vector").cast("array<double>").alias("vector"))
@@ -160,6 +162,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, min_score: float =
                 yield pa.RecordBatch.from_arrays([t["query_id"].take(pa.array([o[0] for o in out])).combine_chunks(), pa.array([o[1] for o in out], batch.schema.field(0).type), pa.array([o[2] for o in out], pa.float64())], ["query_id", id_col, "score"])
 
         parts.append(rows.mapInArrow(score, f"query_id {qkind}, {id_col} {kind}, score double"))
+    asked.unpersist()
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)

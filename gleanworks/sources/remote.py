@@ -143,7 +143,9 @@ class ChatClient:
     def __call__(self, messages: list[dict], tools: list[dict]) -> Turn:
         """For ``Agent``: an answer, or calls of tools."""
         schema = [{"type": "function", "function": t} for t in tools]
-        reply = self._reply(messages, tools=schema)
+        call = lambda c: {"id": c[0], "type": "function", "function": {"name": c[1], "arguments": c[2]}}
+        sent = [m | {"tool_calls": [call(c) for c in m["tool_calls"]]} if m.get("tool_calls") else {k: v for k, v in m.items() if k != "tool_calls"} for m in messages]
+        reply = self._reply(sent, tools=schema)
         calls = []
         for c in reply.get("tool_calls") or ():
             f = c.get("function") or {}

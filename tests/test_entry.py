@@ -61,10 +61,19 @@ def test_commands(spark, tmp_path, capsys):
     run = lambda *a: (cli.main([*a, "--workspace", ws]), capsys.readouterr().out)
     assert run("init")[0] == 0
     code, out = run("ingest", str(docs))
-    assert code == 0 and json.loads(out)["embedded"] == 2
+    assert code == 0 and json.loads(out)["embedded"] == 2 and json.loads(out)["documents_added"] == 2
     (docs / "b.txt").write_text("Something else about routers.")
+    (docs / "c.txt").write_bytes(b"\xff\x00\x01" * 99)
     code, out = run("ingest", str(docs), "--incremental")
-    assert (json.loads(out)["embedded"], json.loads(out)["reused"]) == (1, 1)
+    got = json.loads(out)
+    assert code == 2 and (got["embedded"], got["reused"], got["chunks_generated"], got["chunks_reused"]) == (1, 1, 1, 1)
+    assert [got[f"documents_{s}"] for s in ("added", "updated", "unchanged", "deleted", "failed")] == [0, 1, 1, 0, 1]
+    (docs / "c.txt").write_text("A third text.")
+    assert json.loads(run("ingest", str(docs), "--incremental")[1])["documents_added"] == 1
+    (docs / "c.txt").unlink()
+    got = json.loads(run("ingest", str(docs), "--incremental")[1])
+    assert [got[f"documents_{s}"] for s in ("added", "updated", "unchanged", "deleted", "failed")] == [0, 0, 2, 1, 0]
+    assert (got["documents"], got["embedded"], got["chunks_generated"]) == (2, 0, 0)
     code, out = run("search", "query key value")
     assert code == 0 and json.loads(out.splitlines()[0])["source_path"].endswith("a.md")
     assert "a.md" in run("ask", "query key value", "--dry-run")[1]
