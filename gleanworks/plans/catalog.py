@@ -320,19 +320,6 @@ def block_offsets(spark: SparkSession, d: str) -> DataFrame:
     return web.block_offsets(lines).select("doc_id", F.col("block_pos").cast("long").alias("line"), F.col("normalized_char_start").cast("long").alias("char_start"))
 
 
-@query()
-def page_links(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", F.posexplode(html.links_udf(F.col("html"), F.col("url"))).alias("pos", "link"))
-
-
-@query()
-def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
-    """From the first page's URL, over the stored pages."""
-    pages = read(spark, d, "pages").select("page_id", "url", "html")
-    start = pages.orderBy("page_id").select("url").first()
-    return web.crawl(pages, start.url if start else "http://example.org/")
-
-
 # ---- text functions
 
 @query(r"SELECT doc_id, sha256(replace(replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS normalised FROM documents")

@@ -33,7 +33,7 @@ def test_query(spark, name):
 @needs_data
 def test_others_run(spark):
     for name in sorted(catalog.QUERIES.keys() - catalog.SQL.keys()):
-        assert catalog.QUERIES[name](spark, D).columns
+        assert catalog.QUERIES[name](spark, D).count() > 0
     assert entry.entry(spark).count() > 0
     assert entry.oracle_sql().keys() <= entry.queries().keys()
 
