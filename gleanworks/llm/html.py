@@ -363,9 +363,11 @@ def main_blocks(html: str, threshold: float = THRESHOLD, scored: bool = True) ->
         return []
     _weigh(found)
     scores = path_scores(found) if scored else {b.node.path: 1.0 for b in found}
-    most = max(scores[b.node.path] for b in found)
+    # What has a name of its own can't score higher than the best of what has none.
+    heaviest = max(b.node.weight for b in found)
+    most = max(scores[b.node.path] for b in found if b.node.weight == heaviest)
     for b in found:
-        b.score = b.node.weight * (scores[b.node.path] / most if most else 1.0)
+        b.score = b.node.weight * (min(1.0, scores[b.node.path] / most) if most else 1.0)
     best = max(b.score for b in found)
     for b in found:
         node, inner = b.node, True
