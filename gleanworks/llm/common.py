@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,7 +12,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once (a longer single text is one block).
@@ -114,6 +115,32 @@ def join_spread(rows: DataFrame, info: DataFrame, key: str, *by: str, weight: st
     return dealt.join(copied, [key, "salt"]).drop("salt")
 
 
+#: Bits of a filter that is broadcast as a table of words: at most FILTER_BITS / 64 rows.
+FILTER_BITS = 1 << 25
+
+
+def filter_words(hashes: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """A filter of fixed size over ``hashes`` (h, 64 bits): its words, a written table."""
+    bit = hashes.select(F.pmod("h", F.lit(FILTER_BITS)).alias("b"))
+    words = bit.groupBy(F.expr("b div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 AS INT))")).alias("held"))
+    return materialise(words, made)
+
+
+def in_filter(rows: DataFrame, words: DataFrame, h: Column, name: str) -> DataFrame:
+    """``rows`` with a column ``name``: whether the filter may hold ``h``."""
+    b = F.pmod(h, F.lit(FILTER_BITS))
+    met = rows.withColumns({"word": F.floor(b / 64).cast("long"), "bit": F.pmod(b, F.lit(64)).cast("int")}).join(F.broadcast(words), "word", "left")
+    hit = F.expr("coalesce(shiftrightunsigned(held, bit) & 1L, 0L) = 1L")
+    return met.withColumn(name, hit).drop("word", "bit", "held")
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files of what has been written are removed when the driver's JVM finds
+    that nothing refers to them; in a loop of many jobs it is asked to look."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about ``most`` bytes of text."""
     for batch in batches:

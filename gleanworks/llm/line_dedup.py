@@ -41,7 +41,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, join_spread, materialise
+from .common import discard, filter_words, in_filter, join_spread, materialise, release
 
 #: Lines of the shortest run that counts.
 LEAST = 2
@@ -103,24 +103,32 @@ def recurring(docs: DataFrame, least: int = LEAST, passage: int | None = None, m
         run = F.when(F.col("line") <= F.col("n") - least, F.struct("r.name", "r.some", F.lit(least).alias("length")))
         single = F.when(F.col("r.alone").isNotNull(), F.struct(F.col("r.alone").alias("name"), F.lit(True).alias("some"), F.lit(1).alias("length")))
         places = each.select("doc_id", *_DOC, "line", F.explode(F.array_compact(F.array(run, single))).alias("run")).select("doc_id", *_DOC, "line", "run.*")
+    # Most runs stand once: their names alone are counted, and a filter tells which places to keep.
+    h = F.xxhash64("name")
+    again = places.select(h.alias("h")).groupBy("h").count().filter("count > 1")
+    places = materialise(in_filter(places, filter_words(again, made), h, "near").filter("near").drop("near"), made)
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("line"), F.col("text_hash"))
     runs = places.groupBy("name").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
     found = join_spread(places, materialise(runs, made), "name", "doc", "line", weight="n")
     return found.select("doc_id", *_DOC, "line", "length", "some", (place > F.col("first")).alias("later"))
 
 
-def suffixes(docs: DataFrame, found: DataFrame, least: int, made: list[str]) -> DataFrame:
+def suffixes(docs: DataFrame, found: DataFrame, words: DataFrame, least: int, made: list[str]) -> DataFrame:
     """doc, text_hash, line, label of all lines of documents that have a place in
-    ``found``. Those of recurring runs have a label with an entry for each round."""
+    ``found``. Those of recurring runs have a label with an entry for each round.
+    ``words``: a filter over such documents."""
     places = found.filter(F.col("length") == least).select(*_DOC, "line").distinct()
-    lines = _line_ids(docs).select(*_DOC, "ids").join(places.select(_DOC).distinct(), _DOC, "left_semi").dropDuplicates(_DOC)
+    lines = in_filter(_line_ids(docs).select(*_DOC, "ids"), words, F.xxhash64(*_DOC), "near").filter("near").drop("near")
+    lines = lines.join(places.select(_DOC).distinct(), _DOC, "left_semi").dropDuplicates(_DOC)
     each = lines.select(*_DOC, F.posexplode("ids").alias("line", "id"))
     along = Window.partitionBy(*_DOC).orderBy("line")
     first = F.flatten(F.collect_list(F.array("id.a", "id.b")).over(along.rowsBetween(0, least - 1)))
     at = each.select(*_DOC, "line", first.alias("label")).join(places.withColumn("open", F.lit(True)), [*_DOC, "line"], "left")
     at = at.withColumn("open", F.coalesce("open", F.lit(False)))
     done, k = [], least
+    past: list[str] = []
     while True:
+        now: list[str] = []
         ahead = along.rangeBetween(k, k)
         seen = at.select(
             *_DOC,
@@ -131,14 +139,20 @@ def suffixes(docs: DataFrame, found: DataFrame, least: int, made: list[str]) ->
             F.coalesce(F.first("open").over(ahead), F.lit(False)).alias("goes_on"),
             F.max("open").over(Window.partitionBy(*_DOC)).alias("alive"),
         )
-        seen = materialise(seen, made)
-        done.append(seen.filter(~F.col("alive")).select(*_DOC, "line", "label"))
+        seen = materialise(seen, now)
+        # Documents with no open suffix are done; the tables of the round before aren't needed any more.
+        done.append(materialise(seen.filter(~F.col("alive")).select(*_DOC, "line", "label").coalesce(64), made))
+        discard(docs.sparkSession, *past)
+        past = now
+        release(docs.sparkSession)
         pairs = seen.filter("open").select(*_DOC, "line", "label", F.struct("label", "ahead").alias("pair"), "goes_on")
         ranks = pairs.groupBy("pair").agg(F.count("*").alias("n"), F.first("goes_on").alias("goes_on"))
         # Sorted by ranges: the numbers rise from partition to partition.
-        ranks = materialise(ranks.orderBy("pair").select("pair", "n", ((F.col("n") > 1) & F.col("goes_on")).alias("again"), F.monotonically_increasing_id().alias("rank")), made)
+        ranks = materialise(ranks.orderBy("pair").select("pair", "n", ((F.col("n") > 1) & F.col("goes_on")).alias("again"), F.monotonically_increasing_id().alias("rank")), now)
         if ranks.isEmpty():
-            return reduce(DataFrame.union, done)
+            out = materialise(reduce(DataFrame.union, done), made)
+            discard(docs.sparkSession, *past)
+            return out
         fresh = join_spread(pairs, ranks, "pair", "doc", "line", weight="n")
         fresh = fresh.select(*_DOC, "line", F.concat("label", F.array("rank")).alias("label"), F.col("again").alias("open"))
         at = seen.filter("alive AND NOT open").select(*_DOC, "line", "label", "open").union(fresh)
@@ -147,8 +161,8 @@ def suffixes(docs: DataFrame, found: DataFrame, least: int, made: list[str]) ->
 
 def longest_matches(labelled: DataFrame, least: int, made: list[str]) -> DataFrame:
     """doc, text_hash, line, match: of each suffix of a recurring run, how many lines
-    from there on stand elsewhere too; from neighbours in the suffix array."""
-    labelled = materialise(labelled, made)
+    from there on stand elsewhere too; from neighbours in the suffix array. ``labelled``
+    is a written table."""
     some = labelled.filter(F.size("label") > 2 * least)
     ordered = materialise(some.orderBy("label").withColumn("at", F.monotonically_increasing_id()), made)
     # Places without gaps; rows of `parts`: one for each partition of the sort.
@@ -174,6 +188,7 @@ def longest_matches(labelled: DataFrame, least: int, made: list[str]) -> DataFra
         left = moved.filter("more").drop("more", "step")
         if left.isEmpty():
             break
+        release(labelled.sparkSession)
         for s in "pq":
             names = {c: f"{c}_{s}" for c in (*_DOC, "line", "label")}
             left = left.join(labelled.select(*(F.col(a).alias(b) for a, b in names.items())), [f"{c}_{s}" for c in (*_DOC, "line")], "left")
@@ -184,16 +199,17 @@ def longest_matches(labelled: DataFrame, least: int, made: list[str]) -> DataFra
     return each.groupBy(*_DOC, "line").agg(F.max("lcp").alias("match")).filter(F.col("match") >= least)
 
 
-def find_copies(docs: DataFrame, least: int = LEAST, passage: int | None = None) -> DataFrame:
+def find_copies(docs: DataFrame, least: int = LEAST, passage: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Of each text with repeated runs: doc, text_hash, gone (sorted numbers of the lines
     to delete, from 0; null if none), n_maximal (maximal repeated runs that begin in it),
-    longest (lines of the longest). A written table."""
+    longest (lines of the longest); and a filter over such texts. Written tables."""
     made: list[str] = []
     found = materialise(recurring(docs, least, passage, made), made)
+    words = filter_words(found.select(F.xxhash64(*_DOC).alias("h")))
     stops = lambda s: F.sequence(s["line"], s["line"] + s["length"] - 1)
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("line", "length")), stops))))
     gone = found.filter("later AND some").groupBy(_DOC).agg(covered.alias("gone"))
-    matches = longest_matches(suffixes(docs, found, least, made), least, made)
+    matches = longest_matches(suffixes(docs, found, words, least, made), least, made)
     begins = found.filter((F.col("length") == least) & F.col("some")).select(*_DOC, "line").distinct()
     before = F.lag(F.struct("line", "match")).over(Window.partitionBy(*_DOC).orderBy("line"))
     runs = matches.join(begins, [*_DOC, "line"], "left_semi").withColumn("before", before)
@@ -201,7 +217,8 @@ def find_copies(docs: DataFrame, least: int = LEAST, passage: int | None = None)
     runs = runs.groupBy(_DOC).agg(F.count(F.when(~F.coalesce(inside, F.lit(False)), 1)).alias("n_maximal"), F.max("match").alias("longest"))
     out = materialise(runs.join(gone, _DOC, "full"))
     discard(docs.sparkSession, *made)
-    return out
+    release(docs.sparkSession)
+    return out, words
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, passage: int | None = None) -> DataFrame:
@@ -209,9 +226,15 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, passage: int | None = None)
     copies), n_lines, n_deleted, n_runs (stretches of deleted lines), n_maximal (maximal
     repeated runs that begin in it), longest (lines of the longest of them, or 0)."""
     names = {c: f"found_{c}" for c in _DOC}
-    found = find_copies(docs, least, passage).withColumnsRenamed(names)
+    found, words = find_copies(docs, least, passage)
+    found = found.withColumnsRenamed(names)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record"), F.xxhash64("text").alias("text_hash"), F.xxhash64("doc_id", F.xxhash64("text")).alias("doc"))
-    met = rows.join(found, reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in names.items()]) & F.col("record.text").isNotNull(), "left")
+    # Texts without repeated runs aren't shuffled.
+    rows = in_filter(rows, words, F.xxhash64(*_DOC), "near")
+    same = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in names.items()]) & F.col("record.text").isNotNull()
+    columns = ["record", "gone", "n_maximal", "longest"]
+    none = {c: F.lit(None).cast(found.schema[c].dataType) for c in columns[1:]}
+    met = rows.filter("near").join(found, same, "left").select(columns).union(rows.filter("NOT near").withColumns(none).select(columns))
     met = met.select("record", "gone", "n_maximal", "longest", F.split("record.text", "\n", -1).alias("lines"))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i)), "\n")
     runs = F.size(F.array_except(F.col("gone"), F.transform("gone", lambda i: i + 1)))
