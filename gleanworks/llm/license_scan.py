@@ -27,11 +27,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import filter_words, in_filter, materialise
 
 GRAM = 3
 #: Diagonals this close belong to one span.
@@ -41,8 +40,6 @@ NEAR = 3
 SHARE, VOTES, SHORT = 0.75, 0.4, 16
 #: A span may be this many times as long as its template.
 STRETCH = 1.5
-#: Bits of the filter that says which texts to verify.
-FILTER_BITS = 1 << 20
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -148,17 +145,6 @@ def candidates(docs: DataFrame) -> DataFrame:
     return found.filter(F.size("parts") > 0)
 
 
-def _marked(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Those of ``docs`` (doc_id, text_hash) that may be in ``found``, by a filter of
-    FILTER_BITS bits, at most FILTER_BITS / 64 rows of which reach the driver."""
-    bit = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(FILTER_BITS))
-    made = found.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 AS INT))")).alias("x")).toArrow()
-    words = np.zeros(FILTER_BITS // 64, "<i8")
-    words[made["w"].to_numpy()] = made["x"].to_numpy()
-    byte = F.conv(F.hex(F.substring(F.lit(words.tobytes()), (F.expr("bit div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return docs.withColumn("bit", bit).filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 AS INT))")) != 0).drop("bit")
-
-
 def spans(docs: DataFrame) -> DataFrame:
     """Verified spans: doc_id, text_hash, label, first_word, last_word, score
     (the share of the template's words that the span holds). Those of copies
@@ -166,7 +152,9 @@ def spans(docs: DataFrame) -> DataFrame:
     # One row for each text, so that its words are there once.
     part = F.transform("parts", lambda x: F.struct("template", x["lo"].alias("lo"), x["hi"].alias("hi"), x["diagonals"].alias("diagonals")))
     found = materialise(candidates(docs).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list(part)).alias("parts")))
-    texts = _marked(docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), found)
+    h = F.xxhash64("doc_id", "text_hash")
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    texts = in_filter(texts, filter_words(found.select(h.alias("h"))), h, "near").filter("near")
     texts = texts.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), words_of(F.col("text")).alias("words"))
     met = found.join(texts, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
     wanted = F.array(*(F.array(*map(F.lit, text.split())) for _, text in TEMPLATES))
