@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, discard, materialise
+from .common import HOT_SHARE, discard, materialise, release
 
 
 def _shape(edges: DataFrame) -> tuple:
@@ -51,6 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
         fresh: list[str] = []
         edges = materialise(small, fresh)
         discard(edges.sparkSession, *old, *made)
+        release(edges.sparkSession)
         old = fresh
         now = _shape(edges)
         if now == shape:

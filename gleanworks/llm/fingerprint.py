@@ -12,7 +12,10 @@ subtracting their vectors.
 Defined cases: null text is empty; the empty text is one empty paragraph;
 equal texts (and texts with the same paragraphs in another order) have equal
 fingerprints; a table of one row is its own next document; rows with equal
-doc_id follow one another by text; null doc_ids come last.
+doc_id follow one another by text; null doc_ids come last; an empty table gives no
+rows; columns but doc_id and text aren't looked at, whatever their names. doc_id is an
+integer of up to 64 bits (their ranges cut the order); another type is an error.
+Texts are worked on whole, one block at a time, up to the 2 GB of a Spark value.
 """
 
 from __future__ import annotations

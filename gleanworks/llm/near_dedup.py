@@ -24,7 +24,9 @@ Defined cases: null or empty text, or text without words, has an empty set and
 is linked with nothing; a text of fewer than five words is one shingle; rows
 with equal sets are linked; rows with null doc_id take part but give no id (a
 component of such rows alone has a null id, and all of them are kept); rows that
-share a doc_id with different texts are linked only if their sets are.
+share a doc_id with different texts are linked only if their sets are; an empty table
+gives no rows; columns but doc_id and text aren't looked at, whatever their names.
+A text is hashed whole by one task, so it may have 2 GB at most.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, blocks, claim, column, discard, join_hot, join_spread, map_blocks, materialise, strings, tidy
+from .common import batch_rows, blocks, claim, column, discard, join_hot, join_spread, map_blocks, materialise, release, strings, tidy
 from .components import components
 
 SHINGLE = 5
@@ -385,6 +387,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Sizes alone rule out a pair whose smaller set can't cover enough of the larger.
     met = met.filter(100 * F.least("n_shingles", "pivot.n_shingles") >= PERCENT * F.greatest("n_shingles", "pivot.n_shingles"))
     pairs = materialise(met.select(F.col("node").alias("u"), F.col("pivot.node").alias("v")).distinct(), kept)
+    release(spark)
     labels = None
     if not buckets.isEmpty():
         widest = nodes.agg(F.max("n_shingles")).first()[0]
@@ -410,6 +413,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     none = signed.filter(F.col("node").isNull()).select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     out = some.union(none)
     discard(spark, *(p for p in kept[1:]))
+    release(spark)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -14,7 +14,8 @@ ever meets in one task.
 Defined cases: null text is empty; an empty document is one piece with the end
 id alone; repeated rows and null doc_ids are packed like any other rows; an
 empty table gives an empty result; columns other than doc_id and text are not
-read.
+read, whatever their names. A text is tokenized whole by one task, so it may have 2 GB
+at most.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ cuts of that order, so their row counts differ by at most one (law ``rows``).
 A lost executor's buckets are made again with the same result.
 
 Defined cases: null text has size 8 and CRC 0; null doc_ids and repeated rows
-are records like any others; an empty table gives no rows. Records travel as
-one struct, so the names of their columns can't clash with the operator's.
+are records like any others (equal doc_id and text have one draw, so such rows share
+a bucket); an empty table gives no rows. Records travel as one struct, so the names
+of their columns can't clash with the operator's. A bucket is held by one task, so a
+text may have 2 GB at most.
 """
 
 from __future__ import annotations
