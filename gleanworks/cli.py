@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import schemas
+from . import schemas, workspace
 from .functions import identity
 from .functions.embedders import create_embedder
 from .operators import agent, answering, chunking, evaluation, harness, incremental, index, web
@@ -88,7 +88,16 @@ def ingest(args, spark: SparkSession) -> int:
 
 def ingest_url(args, spark: SparkSession) -> int:
     ws = Workspace(args.workspace)
-    pages = web.offline_pages(spark, lambda u: remote.fetch_url(u).text, args.urls)
+    counts = {}
+    if args.crawl:
+        config = web.CrawlConfig(args.max_pages, args.max_depth, args.delay, not args.cross_domain, not args.no_robots)
+        found = [remote.crawl_live(u, config, remote.fetch_url) for u in args.urls]
+        listed = {r["url"]: (r["url"], r["html"], r["error"] or r["status"]) for rows, _ in found for r in rows}
+        pages = spark.createDataFrame(list(listed.values()), "url string, html string, error string")
+        visited = sum(len(rows) for rows, _ in found)
+        counts = {"links_found": max(0, sum(n for _, n in found) - visited)}
+    else:
+        pages = web.offline_pages(spark, lambda u: remote.fetch_url(u).text, args.urls)
     rows = pages.filter("html IS NOT NULL").select(web.normalize_url(F.col("url")).alias("source_path"), "html")
     rows = rows.withColumns({"source_id": identity.source_id(F.col("source_path")), "content_hash": F.sha2("html", 256)})
     docs = html.page_documents(rows.withColumn("doc_id", identity.document_id(F.col("source_id"), F.col("content_hash"))))
@@ -96,7 +105,10 @@ def ingest_url(args, spark: SparkSession) -> int:
     blocks = web.block_offsets(blocks).withColumns({"file_type": F.lit("html"), "ingestion_fingerprint": F.lit(identity.ingestion_fingerprint("html")), "extraction_method": F.lit("html"), "page_number": F.lit(None).cast("int"), "encoding": F.lit("utf-8"), "warnings": F.array().cast("array<string>")})
     failed = pages.filter("html IS NULL").select(F.col("url").alias("source_path"), F.lit("FetchError").alias("error_type"), F.col("error").alias("message"))
     classes = rows.select("source_path", F.lit("updated").alias("status"), F.lit(0).alias("old_chunks"))
-    out = _store(ws, spark, blocks, failed, args, classes)
+    if ws.exists():
+        past = ws.read(spark, "documents").select("source_path", "content_hash", "ingestion_fingerprint", F.lit(0).alias("ordinal"))
+        counts |= web.merge_counts(blocks.select("source_path", "content_hash", "ingestion_fingerprint").distinct(), past).first().asDict()
+    out = _store(ws, spark, blocks, failed, args, classes) | counts
     print(json.dumps(out, ensure_ascii=False))
     return 2 if out["failed"] else 0
 
@@ -255,7 +267,7 @@ def doctor(args, spark: SparkSession) -> int:
 
 
 def init(args, spark: SparkSession | None) -> int:
-    Path(args.workspace).mkdir(parents=True, exist_ok=True)
+    workspace.create(Path(args.workspace), __version__)
     return 0
 
 
@@ -272,7 +284,7 @@ def parser() -> argparse.ArgumentParser:
     def command(name, run, *positional, least=None):
         c = sub.add_parser(name)
         c.set_defaults(run=run, least=least)
-        c.add_argument("--workspace", default=".gleanworks")
+        c.add_argument("--workspace", default=None)
         for x in positional:
             c.add_argument(x, nargs="+" if x == "urls" else None)
         c.add_argument("--top-k", type=int, default=5)
@@ -283,6 +295,11 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(flag, default=None)
         for flag in ("--source", "--file-type", "--history"):
             c.add_argument(flag, default=None)
+        c.add_argument("--max-pages", type=int, default=10)
+        c.add_argument("--max-depth", type=int, default=1)
+        c.add_argument("--delay", type=float, default=1.0)
+        for flag in ("--crawl", "--cross-domain", "--no-robots"):
+            c.add_argument(flag, action="store_true")
         c.add_argument("--limit", type=int, default=0)
         c.add_argument("--repeat", type=int, default=1)
         for flag in ("--real", "--judge", "--calibrate"):
@@ -310,6 +327,8 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     """0: done; 1: an unsound workspace; 2: failures; 130: interrupted."""
     args = parser().parse_args(argv)
+    args.workspace = args.workspace or str(workspace.find())
+    workspace.load_settings(Path(args.workspace))
     try:
         return args.run(args, None if args.run in (init, version) else spark_session())
     except KeyboardInterrupt:

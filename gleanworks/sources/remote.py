@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import urllib.request
 import urllib.robotparser
 from collections.abc import Callable
@@ -12,7 +13,7 @@ from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
 from ..operators.agent import Turn
-from .html import normalize_url
+from .html import extract_links, normalize_url
 
 # Content types that are read.
 CONTENT_TYPES = frozenset(("text/html", "application/xhtml+xml", "text/plain"))
@@ -95,6 +96,46 @@ class Robots:
         return parser.can_fetch(self.user_agent, url), float(delay)
 
 
+def crawl_live(start_url: str, config, fetch: Callable[[str], Page], sleep: Callable[[float], None] = time.sleep) -> tuple[list[dict], int]:
+    """Reads pages breadth first from a live site: rows of url, depth, status, html,
+    final_url, error, in the order of visit, and how many links were put on the queue.
+
+    ``config``: a ``CrawlConfig``. Between requests the larger of its delay and the site's
+    own is waited for, so this is a loop over at most ``max_pages`` pages and the
+    failures among their links. Failures use no page budget."""
+    home = normalize_url(start_url)
+    robots = Robots(lambda u: fetch(u).text) if config.respect_robots else None
+    level, seen, rows, queued = [home], {home}, [], 1
+    read = 0
+    for depth in range(config.max_depth + 1):
+        below: list[str] = []
+        for url in level:
+            if read == config.max_pages:
+                return rows, queued
+            allowed, own_delay = robots.allows(url) if robots else (True, 0.0)
+            row = {"url": url, "depth": depth, "status": "robots-disallowed", "html": None, "final_url": None, "error": None}
+            rows.append(row)
+            if not allowed:
+                continue
+            if len(rows) > 1:
+                sleep(max(config.delay_seconds, own_delay))
+            try:
+                page = fetch(url)
+            except Exception as e:  # noqa: BLE001  an injected fetcher may raise anything
+                row |= {"status": "failed", "error": f"{type(e).__name__}: {e}"}
+                continue
+            read += 1
+            row |= {"status": "fetched", "html": page.text, "final_url": page.final_url}
+            if depth == config.max_depth:
+                continue
+            links = [x for x in extract_links(page.text, page.final_url) if not config.same_domain or urlsplit(x).netloc == urlsplit(home).netloc]
+            queued += sum(x not in seen for x in links)
+            below += [x for x in links if x not in seen]
+            seen.update(links)
+        level = below
+    return rows, queued
+
+
 class ChatError(RuntimeError):
     pass
 

@@ -135,3 +135,52 @@ def test_remote():
     assert client.complete([]) == "ok" and client([], []).calls == (("1", "f", "{}"),)
     with pytest.raises(remote.ChatError):
         remote.ChatClient(lambda path, body: 1 / 0, "m").complete([])
+
+
+def test_live_crawl():
+    """Breadth first, politely: budgets, robots, failures, other hosts, no page twice."""
+    from gleanworks.operators.web import CrawlConfig
+    from gleanworks.sources import remote
+
+    link = lambda *names: "<body><article>" + "".join(f"<p><a href='{n}'>x</a></p>" for n in names) + "</article></body>"
+    site = {"/": link("/a", "/b", "/a#x", "https://else.example/"), "/a": link("/", "/c", "/no"), "/b": link("/bad", "/d"), "/c": link("/e"), "/d": link(), "/e": link(), "/robots.txt": "User-agent: *\nDisallow: /no\nCrawl-delay: 3"}
+    waits, asked = [], []
+
+    def fetch(url):
+        asked.append(url)
+        path = url.removeprefix("https://site.example")
+        if path not in site:
+            raise OSError("gone")
+        return remote.Page(url, url, "text/html", b"", site[path], "utf-8")
+
+    rows, queued = remote.crawl_live("https://Site.example/", CrawlConfig(max_depth=2), fetch, waits.append)
+    got = [(r["url"].removeprefix("https://site.example"), r["depth"], r["status"]) for r in rows]
+    assert got == [("/", 0, "fetched"), ("/a", 1, "fetched"), ("/b", 1, "fetched"), ("/c", 2, "fetched"), ("/no", 2, "robots-disallowed"), ("/bad", 2, "failed"), ("/d", 2, "fetched")]
+    assert queued == 7 and waits == [3] * 5 and len(asked) == len(set(asked))
+    few, _ = remote.crawl_live("https://site.example/", CrawlConfig(max_pages=2, max_depth=2, delay_seconds=9, respect_robots=False), fetch, waits.append)
+    assert [r["url"][-1] for r in few] == ["/", "a"] and waits[-1] == 9
+    far, _ = remote.crawl_live("https://site.example/", CrawlConfig(same_domain=False, respect_robots=False), fetch, waits.append)
+    assert [r["status"] for r in far] == ["fetched"] * 3 + ["failed"] and far[-1]["error"] == "OSError: gone"
+
+
+def test_workspace(tmp_path, monkeypatch):
+    import os
+
+    from gleanworks import workspace
+
+    monkeypatch.delenv(workspace.ROOT, raising=False)
+    inner = tmp_path / "a" / "b"
+    inner.mkdir(parents=True)
+    assert workspace.find(inner) == inner.resolve() / workspace.MARKER
+    home = tmp_path / "a" / workspace.MARKER
+    workspace.create(home, "1")
+    first = (home / "workspace.json").read_text()
+    workspace.create(home, "2")
+    assert workspace.find(inner) == home.resolve() and (home / "workspace.json").read_text() == first
+    (tmp_path / "a" / ".env").write_text("# c\nexport GW_ONE='x y'\nGW_TWO=2\nGW_THREE\n=4\n")
+    monkeypatch.setenv("GW_TWO", "kept")
+    monkeypatch.setenv("GW_ONE", "")
+    monkeypatch.delenv("GW_ONE")
+    assert workspace.load_settings(home) == ["GW_ONE"] and os.environ["GW_ONE"] == "x y" and os.environ["GW_TWO"] == "kept"
+    monkeypatch.setenv(workspace.ROOT, str(tmp_path))
+    assert workspace.find(inner) == tmp_path.resolve() / workspace.MARKER
