@@ -156,7 +156,7 @@ def failure_type_counts(verdicts: DataFrame) -> DataFrame:
     return types.join(seen, "failure_type", "left").select("failure_type", F.coalesce("count", F.lit(0)).alias("n"))
 
 
-def attributed(metrics: DataFrame, verdicts: DataFrame) -> DataFrame:
+def cross_attribution(metrics: DataFrame, verdicts: DataFrame) -> DataFrame:
     """task_id, bucket: whether retrieval or generation failed, a row for each task."""
     low = F.col("overall") < LOW_SCORE
     hit = F.col("retrieval_hit")
@@ -164,12 +164,6 @@ def attributed(metrics: DataFrame, verdicts: DataFrame) -> DataFrame:
     return metrics.join(verdicts.filter("error IS NULL AND overall IS NOT NULL"), "task_id").select("task_id", bucket.alias("bucket"))
 
 
-def cross_attribution(metrics: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """bucket, task_ids, n, as a report lists them; for many tasks, use ``attributed``."""
-    met = attributed(metrics, verdicts)
-    return met.groupBy("bucket").agg(F.array_sort(F.collect_list("task_id")).alias("task_ids"), F.count("*").alias("n"))
-
-
 def calibration(human: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Judge against human scores (task_id, overall, failure_type): one row."""
     h = human.select("task_id", F.col("overall").alias("human_overall"), F.col("failure_type").alias("human_type"))
@@ -315,7 +309,7 @@ def report(metrics: DataFrame, mode: str, model: str, tasks_fingerprint: str, ve
         out["jitter"] = jitter(metrics).first().asDict() | {"refusal_flips": {r.task_id: r.states for r in refusal_flips(metrics).toLocalIterator()}}
     if verdicts is not None:
         out["judge_summary"] = judge_summary(verdicts).first().asDict() | {"failure_type_counts": {r.failure_type: r.n for r in failure_type_counts(verdicts).collect()}}
-        out["cross_attribution"] = {r.bucket: r["count"] for r in attributed(final, verdicts).groupBy("bucket").count().collect()}
+        out["cross_attribution"] = {r.bucket: r["count"] for r in cross_attribution(final, verdicts).groupBy("bucket").count().collect()}
     return out
 
 

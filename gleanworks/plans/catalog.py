@@ -300,15 +300,15 @@ def html_blocks(spark: SparkSession, d: str) -> DataFrame:
     return web.block_offsets(blocks.withColumnRenamed("page_id", "doc_id")).select(F.col("doc_id").alias("page_id"), "block_pos", F.sha2("text", 256).alias("text_hash"), F.array_join("heading_path", " / ").alias("path"), "normalized_char_start", "normalized_char_end")
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages WHERE NOT regexp_matches(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '[&<]')")
-def html_title(spark: SparkSession, d: str) -> DataFrame:
-    """Titles; those with markup or references are left to the unit tests on both sides."""
-    rows = read(spark, d, "pages").filter(~F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).rlike("[&<]"))
-    return html.page_documents(rows.select("page_id", "html")).select("page_id", "title")
+#: The references that SQL decodes, the ampersand's last, and what they stand for; as in HTML, the semicolon may be missing.
+_REFERENCES = {"quot": "chr(34)", "lt": "'<'", "gt": "'>'", "amp": "'&'"}
+_TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+for _name, _char in _REFERENCES.items():
+    _TITLE = f"regexp_replace({_TITLE}, '&{_name};?', {_char}, 'g')"
 
 
-@query()
-def html_title_all(spark: SparkSession, d: str) -> DataFrame:
+@query(rf"SELECT page_id, trim(regexp_replace({_TITLE}, '\s+', ' ', 'g')) AS title FROM pages")
+def html_title(spark: SparkSession, d: str) -> DataFrame:
     """The titles of all pages, references decoded."""
     return html.page_documents(read(spark, d, "pages").select("page_id", "html")).select("page_id", "title")
 
@@ -329,17 +329,8 @@ def newline_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(1 + doc_id % 3 AS BIGINT) AS level, trim(regexp_replace(l, '\s+', ' ', 'g')) AS title FROM (
-  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE line % 5 = 0 AND regexp_matches(l, '\S') AND NOT regexp_matches(l, '#')""")
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, '\S')""")
 def markdown_headings(spark: SparkSession, d: str) -> DataFrame:
-    """Every fifth line, written as a heading and read back."""
-    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "l")).filter("line % 5 = 0 AND l RLIKE '\\\\S' AND NOT l RLIKE '#'")
-    marks = F.repeat(F.lit("#"), (F.col("doc_id") % 3 + 1).cast("int"))
-    found = lines.withColumn("h", text.heading(F.concat(marks, F.lit(" "), F.col("l"), F.lit(" ##"))))
-    return found.select("doc_id", F.col("line").cast("long").alias("line"), F.col("h.level").cast("long").alias("level"), text.collapse(F.col("h.title")).alias("title"))
-
-
-@query()
-def markdown_headings_all(spark: SparkSession, d: str) -> DataFrame:
     """Every line that isn't blank, written as a heading and read back."""
     lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "l")).filter("l RLIKE '\\\\S'")
     marks = F.repeat(F.lit("#"), (F.col("doc_id") % 3 + 1).cast("int"))
@@ -492,7 +483,7 @@ def judge_calibration(spark: SparkSession, d: str) -> DataFrame:
     WHEN overall < 3 THEN 'miss_and_low' ELSE 'miss_and_high' END AS bucket FROM ({_VERDICTS}) WHERE error IS NULL) GROUP BY bucket""")
 def cross_attribution(spark: SparkSession, d: str) -> DataFrame:
     found = harness.cross_attribution(_metrics(spark, d).filter("run_id = 2"), _verdicts(spark, d))
-    return found.select("bucket", "n", F.array_min("task_ids").alias("first"), F.array_max("task_ids").alias("last"))
+    return found.groupBy("bucket").agg(F.count("*").alias("n"), F.min("task_id").alias("first"), F.max("task_id").alias("last"))
 
 
 @query(f"""SELECT query_id AS task_id, round(max(s), 6) AS max_score, count(*) AS evidence_count, CASE WHEN max(s) >= 0.15 THEN '{harness.IDEAL_ANSWER}' ELSE '{answering.NO_EVIDENCE}' END AS answer

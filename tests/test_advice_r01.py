@@ -17,7 +17,7 @@ def test_titles_of_all_pages(spark):
     pages = {r.page_id: r.html for r in catalog.read(spark, D, "pages").collect()}
     raw = {i: re.search("<title>(.*?)</title>", h, re.S)[1] for i, h in pages.items()}
     assert any("&" in t for t in raw.values())
-    got = {r.page_id: r.title for r in catalog.QUERIES["html_title_all"](spark, D).collect()}
+    got = {r.page_id: r.title for r in catalog.QUERIES["html_title"](spark, D).collect()}
     assert got == {i: " ".join(unescape(t).split()) for i, t in raw.items()}
 
 
@@ -32,5 +32,5 @@ def test_headings_of_all_lines(spark, tmp_path, path):
         for k, line in enumerate((r.text or "").split("\n")):
             if re.search(r"\S", line, re.A):
                 want.append((r.doc_id, k, 1 + r.doc_id % 3, re.sub(r"[ \t\r\f\v]+", " ", line).strip()))
-    got = sorted(map(tuple, catalog.QUERIES["markdown_headings_all"](spark, path).collect()))
+    got = sorted(map(tuple, catalog.QUERIES["markdown_headings"](spark, path).collect()))
     assert got == sorted(want) and any("#" in x[3] for x in want)
