@@ -141,23 +141,34 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _cut(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
+    col = batch.column(batch.schema.get_field_index(text))
+    if col.nbytes <= most:
+        yield batch
+        return
+    sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    yield batch.slice(at)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each piece holds about ``most`` bytes of text."""
+    """Cut Arrow batches so that each piece holds about ``most`` bytes of text. After
+    every BLOCK_BYTES or so, memory that is free by then goes back to the system."""
+    done = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = batch.column(batch.schema.get_field_index(text))
-        if col.nbytes <= most:
-            yield batch
-            continue
-        sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
-        at = held = 0
-        for i, n in enumerate(sizes):
-            if held and held + n > most:
-                yield batch.slice(at, i - at)
-                at, held = i, 0
-            held += n
-        yield batch.slice(at)
+        for block in _cut(batch, text, most):
+            yield block
+            done += block.column(block.schema.get_field_index(text)).nbytes
+            if done >= BLOCK_BYTES:
+                done = 0
+                tidy()
 
 
 _claimed: list = ["", lambda: None]

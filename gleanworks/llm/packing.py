@@ -45,6 +45,8 @@ NODES, RENEW = 4000, 20
 FILLINGS, STEPS = 24, 4000
 #: Chunks whose ids a worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 1_000_000
+#: Bytes of text that a worker cuts into chunks at once; a chunk takes many times its bytes.
+TEXT_BYTES = 1 << 20
 
 # Bytes of UTF-8 that send a text to the tokenizer whole: control characters on
 # which str.split() and the tokenizer's pattern may differ, and what begins code
@@ -182,7 +184,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
         tokenizer = worker_tokenizer(tokenizer_path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for block in blocks(batches):
+        for block in blocks(batches, most=TEXT_BYTES):
             flat, bounds = tokenizer.ids(strings(block), end_id)
             total = np.diff(bounds)
             n = -(-total // capacity)
