@@ -46,16 +46,16 @@ _GAP = re.compile(rb"[ \xff]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _tokens(raw: bytes) -> Iterator[list[bytes]]:
-    """The words of a text and a break for each end of a piece, some at once."""
+def _slices(raw: bytes) -> Iterator[bytes]:
+    """A text, some at once: words with gaps of spaces, and a break for each end of a piece."""
     raw = raw.translate(_TABLE)
     at = 0
     while at < len(raw):
         end = _GAP.search(raw, at + SLICE_BYTES)
         to = end.end() if end else len(raw)
-        yield raw[at:to].replace(_BREAK, b" \xff ").split()
+        yield raw[at:to].replace(_BREAK, b" \xff ")
         at = to
-    yield [_BREAK]
+    yield _BREAK
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +70,7 @@ def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             after[: max(0, n - known)] = rank[known:]
             known *= 2
         key = rank * (int(rank.max(initial=0)) + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         fresh = np.ones(n, bool)
         fresh[1:] = key[1:] != key[:-1]
@@ -87,35 +87,47 @@ def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Shard:
-    """The words of some texts, as ids by language."""
+    """The words of some texts by language; ``before``: what the first text's words follow."""
 
-    def __init__(self, before: list[bytes], lang: str | None):
-        self.ids: list[np.ndarray] = []
-        self.size = 0
-        self._next = itertools.count(1)
-        self._known: dict[str, dict[bytes, int]] = {}
+    def __init__(self, lang: str | None = None, before: list[bytes] = ()):
         self.carried = len(before)
+        self.size = 0
+        self._slices: dict[str, list[bytes]] = {}
+        self._flat: dict[str, list[pa.Array]] = {}
+        self._held = 0
         if before:
-            self.add(lang, before)
-
-    def add(self, lang: str, tokens: list[bytes]) -> None:
-        known = self._known.get(lang)
-        if known is None:
-            known = self._known[lang] = defaultdict(self._next.__next__)
-            known[_BREAK] = 0
-        self.ids.append(np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens)))
-        self.size += len(tokens)
-
-    def words(self) -> tuple[pa.Array, np.ndarray, list[str]]:
-        """The words by id, the place of each one's language, the languages."""
-        n = sum(len(x) - 1 for x in self._known.values()) + 1
-        words, place = [b""] * n, np.zeros(n, np.int32)
-        for k, known in enumerate(self._known.values()):
-            for w, i in known.items():
-                if i:
-                    words[i] = w
-                    place[i] = k
-        return pa.array(words, pa.binary()).cast(pa.string()), place, list(self._known)
+            self.add(lang, b" ".join(before))
+
+    def add(self, lang: str, words: bytes) -> None:
+        self._slices.setdefault(lang, []).append(words)
+        self._held += len(words)
+        self.size += words.count(b" ") + 1
+        if self._held >= SLICE_BYTES:
+            self._split()
+
+    def _split(self) -> None:
+        for lang, some in self._slices.items():
+            self._flat.setdefault(lang, []).append(pc.split_pattern(pa.array([b" ".join(some)], pa.binary()), b" ").flatten())
+        self._slices, self._held = {}, 0
+
+    def words(self) -> tuple[np.ndarray, pa.Array, np.ndarray, list[str]]:
+        """Ids of the words in order, language by language; the words by id, each one's
+        place among the languages, the languages. Breaks are 0."""
+        self._split()
+        ids, words, place, at = [np.zeros(0, np.int32)], [pa.array([b""], pa.binary())], [np.zeros(1, np.int32)], 1
+        for k, flat in enumerate(self._flat.values()):
+            known = pa.concat_arrays(flat).dictionary_encode()
+            own = known.indices.to_numpy()
+            empty, ends = (known.dictionary.index(pa.scalar(x, pa.binary())).as_py() for x in (b"", _BREAK))
+            own = own[own != empty]
+            ids.append(np.where(own == ends, 0, own + at).astype(np.int32))
+            word = known.dictionary
+            if ends >= 0:  # breaks have an id of their own, which isn't used, and are no UTF-8
+                word = pa.concat_arrays([word[:ends], pa.array([b""], pa.binary()), word[ends + 1 :]])
+            words.append(word)
+            place.append(np.full(len(word), k, np.int32))
+            at += len(word)
+        return np.concatenate(ids), pa.concat_arrays(words).cast(pa.string()), np.concatenate(place), list(self._flat)
 
 
 def _hashes(words: list[bytes], langs: list[str]) -> np.ndarray:
@@ -149,10 +161,9 @@ def _frequent_stretches(ids: np.ndarray, words: pa.Array, place: np.ndarray, lan
 
 def _phrases(shard: _Shard, least: int, most: int, held: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Counts of the shard's phrases of ``least`` to ``most`` words, and (of no word) of all words."""
-    if not shard.ids:
+    if not shard.size:
         return
-    ids = np.concatenate(shard.ids)
-    words, place, langs = shard.words()
+    ids, words, place, langs = shard.words()
     at = np.arange(len(ids))
     if held is not None:
         ids, at = _frequent_stretches(ids, words, place, langs, held)
@@ -190,15 +201,16 @@ def count_phrases(docs: DataFrame, least: int, most: int, held=None) -> DataFram
 
     def run(batches):
         bits = np.frombuffer(held.value, np.uint8) if held is not None else None
-        shard, tail, over = _Shard([], None), [], most - 1
+        shard, over = _Shard(), most - 1
         for batch in batches:
             for lang, raw in zip(column(batch, "lang").to_pylist(), column(batch, "raw"), strict=True):
-                for tokens in _tokens(raw.as_py()):
-                    shard.add(lang, tokens)
-                    tail = [*tail, *tokens[-over:]][-over:] if over else []
+                tail = []
+                for some in _slices(raw.as_py()):
+                    shard.add(lang, some)
+                    tail = [*tail, *some.rsplit(None, over)[-over:]][-over:] if over else []
                     if shard.size >= SHARD_WORDS + shard.carried:
                         yield from _phrases(shard, least, most, bits)
-                        shard = _Shard(tail, lang)
+                        shard = _Shard(lang, tail)
         yield from _phrases(shard, least, most, bits)
         shard = None
         tidy()

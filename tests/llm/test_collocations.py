@@ -73,7 +73,7 @@ def test_shards_overlap(corpus, monkeypatch, shard, slice_bytes, most):
     monkeypatch.setattr(c, "SHARD_WORDS", shard)
     monkeypatch.setattr(c, "SLICE_BYTES", slice_bytes)
     got, want = Counter(), Counter()
-    s, tail, over = c._Shard([], None), [], most - 1
+    s, over = c._Shard(), most - 1
 
     def flush():
         for b in c._phrases(s, 1, most, None):
@@ -81,13 +81,13 @@ def test_shards_overlap(corpus, monkeypatch, shard, slice_bytes, most):
                 got[r["lang"], r["phrase"]] += r["f"]
 
     for lang, text in corpus:
-        lang = lang or "und"
-        for tokens in c._tokens((text or "").encode()):
-            s.add(lang, tokens)
-            tail = [*tail, *tokens[-over:]][-over:] if over else []
+        lang, tail = lang or "und", []
+        for some in c._slices((text or "").encode()):
+            s.add(lang, some)
+            tail = [*tail, *some.rsplit(None, over)[-over:]][-over:] if over else []
             if s.size >= shard + s.carried:
                 flush()
-                s = c._Shard(tail, lang)
+                s = c._Shard(lang, tail)
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
             w = re.findall(r"[^\x20\x09]+", piece)
             want[lang, ""] += len(w)
