@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, fingerprint, html, langid, license_scan, line_dedup, near_dedup, oracles, packing, sharding, suffix_dedup
+from . import collocations, decontaminate, fingerprint, html, langid, license_scan, line_dedup, near_dedup, oracles, packing, sharding, suffix_dedup, warc
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 #: Lines of a later copy go; a copy is later if the same run stands at a smaller (doc_id, line).
 #: Matches grow line by line while what they begin with stands twice; a run is maximal if it isn't
 #: the rest of that of the line before.
@@ -115,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_fm_index_decontamination": oracles.OP5, "op6_setsketch_near_dedup": oracles.OP6, "op7_run_length_dedup": oracles.OP7, "op9_diagonal_voting": license_scan.oracle(), "op10_line_dedup": OP10_SQL, "op11_collocations": collocations.OP11_SQL}
+    return {"op5_fm_index_decontamination": oracles.OP5, "op6_setsketch_near_dedup": oracles.OP6, "op7_run_length_dedup": oracles.OP7, "op9_diagonal_voting": license_scan.oracle(), "op10_line_dedup": OP10_SQL, "op11_collocations": collocations.OP11_SQL, "op12_warc": warc.OP12_SQL}
