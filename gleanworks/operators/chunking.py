@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +14,8 @@ from ..functions import identity
 
 #: Characters behind which a piece may end.
 BOUNDARIES = "\n。！？；.!?; "
-_BOUNDARY = re.compile(f"[{re.escape(BOUNDARIES)}]")
+#: Matches up to the last of them: the engine steps back from the end of what it may look at.
+_BOUNDARY = re.compile(f".*[{re.escape(BOUNDARIES)}]", re.S)
 
 
 @dataclass(frozen=True)
@@ -33,13 +33,12 @@ class ChunkConfig:
 
 
 def _cuts(body: str, config: ChunkConfig) -> Iterator[tuple[int, int]]:
-    """Where pieces start and end, from the places of all boundaries, found in one pass."""
-    places = [m.end() for m in _BOUNDARY.finditer(body)] if len(body) > config.max_chars else []
+    """Where pieces start and end; only the second half of a piece is searched for a boundary."""
     start, least = 0, max(1, config.max_chars // 2)
     while start + config.max_chars < len(body):
         last = start + config.max_chars
-        near = places[k - 1] if (k := bisect_right(places, last)) else 0
-        stop = near if near > start + least else last
+        found = _BOUNDARY.match(body, start + least, last)
+        stop = found.end() if found else last
         yield start, stop
         start = max(start + 1, stop - config.overlap_chars)
     if body:
