@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +12,11 @@ from ..functions import vector
 from ..functions.text import strip
 
 SCHEMA_VERSION = 1
-#: Bytes of query vectors sent to the executors at once.
+#: Bytes of query vectors sent to the executors at once; of a block of rows that meets one of queries.
 QUERY_BYTES = 16 << 20
+ROW_BYTES = 64 << 20
+#: Scores held at once.
+TILE = 4 << 20
 #: Digits by which scores are ranked, so that equal vectors tie exactly.
 DIGITS = 12
 
@@ -103,69 +105,114 @@ def update_stats(index: DataFrame) -> DataFrame:
     return index.agg(F.count_if("reused").alias("reused"), F.count_if(~F.col("reused")).alias("embedded"))
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best by (-score, id)."""
-    if len(scores) > k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= cut)
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))[:k]]
-
-
-def search(index: DataFrame, queries: DataFrame, k: int = 5, min_score: float = -1.0, where: Column | None = None, id_col: str = "chunk_id") -> DataFrame:
+class _Best:
+    """The best ids of each query, by (-score, id), from tiles of scores. At most TILE
+    scores and a few times as many candidates as are asked for are held at once."""
+
+    def __init__(self, least: np.ndarray, k: int):
+        self.kth, self.k = least.copy(), k
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        floor = self.kth
+        if scores.shape[1] > 4 * self.k:
+            floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        i, j = np.nonzero(scores >= floor[:, None])
+        self.parts.append((i, ids[j], scores[i, j]))
+        self.held += len(i)
+        if self.held > 1024 + 8 * self.k * len(self.kth):
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, ids, scores = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -scores, i))
+        i, ids, scores = i[order], ids[order], scores[order]
+        first = np.searchsorted(i, np.arange(len(self.kth)))
+        place = np.arange(len(i)) - first[i]
+        last = place == self.k - 1
+        self.kth[i[last]] = scores[last]
+        keep = place < self.k
+        self.parts = [(i[keep], ids[keep], scores[keep])]
+        self.held = int(keep.sum())
+        return self.parts[0]
+
+
+def _matrix(column) -> np.ndarray:
+    """Unit vectors of a column of equally long lists."""
+    v = pc.list_flatten(column)
+    v = (v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v).to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n > 0, n, 1)
+
+
+def _score(best: _Best, q: np.ndarray, ids: np.ndarray, vectors) -> None:
+    wide = max(1, TILE // max(1, len(q)))
+    for at in range(0, len(ids), wide):
+        some = _matrix(vectors.slice(at, wide))
+        best.add(np.round(q @ some.T, DIGITS), ids[at : at + wide])
+
+
+def _found(asked, best: _Best, kind: pa.DataType, id_col: str) -> pa.RecordBatch | None:
+    """``asked``: the ids of queries."""
+    if not best.held:
+        return None
+    i, ids, scores = best.cut()
+    return pa.RecordBatch.from_arrays([pa.array(asked.to_pylist(), asked.type).take(pa.array(i)), pa.array(ids.tolist(), kind), pa.array(scores, pa.float64())], ["query_id", id_col, "score"])
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 5, min_score: float = -1.0, where: Column | None = None, id_col: str = "chunk_id", query_bytes: int = QUERY_BYTES, row_bytes: int = ROW_BYTES) -> DataFrame:
     """The k nearest rows of each query by cosine, exactly.
 
     ``index``: id_col, vector. ``queries``: query_id, query_vector, and optionally
-    min_score of its own. Filters reach the scan before scoring. Query vectors
-    are sent in blocks of bounded size; each task keeps its own k best for each
-    query, so what is shuffled doesn't grow with the index's rows but with its
-    tasks. Ties go to the smaller id. Queries without length find nothing.
+    min_score of its own. Filters reach the scan before scoring. Queries of up to
+    ``query_bytes`` altogether are sent to the rows, which then don't move. More are cut
+    into blocks of that size, rows into blocks of ``row_bytes``, and each pair of
+    blocks is one task, whose size doesn't grow with either table. Either way only k rows a
+    query and task are shuffled for the ranks. Ties go to the smaller id. Queries
+    without length, and rows without a vector, find nothing and aren't found.
     """
     if where is not None:
         index = index.filter(where)
     own = F.coalesce("min_score", F.lit(min_score)) if "min_score" in queries.columns else F.lit(min_score)
-    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v"), own.cast("double").alias("least"))
-    # Kept while blocks are sent, so that queries are embedded once; what an executor loses is made again.
-    asked = asked.filter(F.coalesce(vector.norm(F.col("v")) > 0, F.lit(False))).persist(StorageLevel.DISK_ONLY)
-    size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    blocks = max(1, -(-(size.n * (size.d or 1) * 8) // QUERY_BYTES))
-    rows = index.select(F.col(id_col).alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    asked = queries.select("query_id", F.col("query_vector").alias("v"), own.cast("double").alias("least"))
+    # Counted before they are embedded: a count reads no vectors, and one row tells how long they are.
+    first = asked.select(F.size("v").alias("d")).filter("d > 0").first()
+    width = 8 * (first.d if first else 1)
+    blocks = -(-asked.count() * width // query_bytes)
+    asked = asked.filter(F.coalesce(vector.norm(F.col("v").cast("array<double>")) > 0, F.lit(False)))
+    rows = index.select(F.col(id_col).alias("id"), "vector").filter("vector IS NOT NULL")
     kind, qkind = rows.schema["id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
-    sc = index.sparkSession.sparkContext
-    parts = []
-    for b in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
-        sent = sc.broadcast(block)
+    schema = f"query_id {qkind}, {id_col} {kind}, score double"
+    if blocks < 2:
+        sent = index.sparkSession.sparkContext.broadcast(asked.toArrow())  # query_bytes at most
 
-        def score(batches, sent=sent):
+        def score(batches):
             t = sent.value
             if not t.num_rows:
                 return
-            q = pc.list_flatten(t["v"]).to_numpy().reshape(t.num_rows, -1)
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
-            least = t["least"].to_numpy()
-            held: list[list[tuple]] = [[] for _ in range(t.num_rows)]
+            best, q, id_type = _Best(t["least"].to_numpy(), k), _matrix(t["v"]), pa.null()
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = pc.list_flatten(batch.column(1)).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                scores = np.round(q @ (v / np.where(n > 0, n, 1)).T, DIGITS)
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for i, s in enumerate(scores):
-                    ok = np.flatnonzero(s >= least[i])
-                    best = ok[_best(ids[ok], s[ok], k)]
-                    held[i] = sorted([*held[i], *zip((-s[best]).tolist(), ids[best].tolist(), strict=True)])[:k]
-            out = [(i, x, -s) for i, rows in enumerate(held) for s, x in rows]
-            if out:
-                yield pa.RecordBatch.from_arrays([t["query_id"].take(pa.array([o[0] for o in out])).combine_chunks(), pa.array([o[1] for o in out], batch.schema.field(0).type), pa.array([o[2] for o in out], pa.float64())], ["query_id", id_col, "score"])
-
-        parts.append(rows.mapInArrow(score, f"query_id {qkind}, {id_col} {kind}, score double"))
-    asked.unpersist()
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+                id_type = batch.schema.field(0).type
+                _score(best, q, batch.column(0).to_numpy(zero_copy_only=False), batch.column(1))
+            if (out := _found(t["query_id"].combine_chunks(), best, id_type, id_col)) is not None:
+                yield out
+
+        found = rows.mapInArrow(score, schema)
+    else:
+        against = max(1, -(-rows.count() * width // row_bytes))
+
+        def meet(t: pa.Table, some: pa.Table) -> pa.Table:
+            best = _Best(t["least"].to_numpy(), k)
+            if t.num_rows and some.num_rows:
+                _score(best, _matrix(t["v"]), some["id"].to_numpy(), some["vector"])
+            out = _found(t["query_id"].combine_chunks(), best, some.schema.field("id").type, id_col)
+            return pa.Table.from_batches([out]) if out is not None else pa.table([t["query_id"].slice(0, 0), some["id"].slice(0, 0), pa.array([], pa.float64())], ["query_id", id_col, "score"])
+
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = asked.withColumns({"qb": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")}).withColumn("rb", every(against))
+        met = rows.withColumns({"rb": F.pmod(F.xxhash64("id"), F.lit(against)).cast("int")}).withColumn("qb", every(blocks))
+        found = dealt.groupBy("qb", "rb").cogroup(met.groupBy("qb", "rb")).applyInArrow(meet, schema)
     along = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return found.withColumn("rank", F.row_number().over(along)).filter(F.col("rank") <= k)
 

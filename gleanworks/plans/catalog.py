@@ -72,6 +72,15 @@ def vector_topk_min_score(spark: SparkSession, d: str) -> DataFrame:
     return _hits(index.search(rows, asked, 20, 0.3, id_col="vec_id"))
 
 
+@query(f"SELECT query_id, rank, vec_id, round(s, 6) AS score FROM ({_ranked('query_id <> vec_id', 3).replace(' WHERE q.vec_id % 50 = 0', '')})")
+def vector_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """All rows as queries, in blocks of both sides (small ones, so that small tables have several)."""
+    rows, _ = _vectors(spark, d)
+    found = index.search(rows, rows.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector")), 4, id_col="vec_id", query_bytes=64 << 10, row_bytes=128 << 10).filter("vec_id <> query_id")
+    again = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return _hits(found.withColumn("rank", F.row_number().over(again)).filter("rank <= 3"))
+
+
 @query(f"""SELECT count(*) AS queries, avg(hit) AS recall_at_k, avg(share) AS citation_accuracy FROM (
   SELECT query_id, max(CASE WHEN label = asked THEN 1.0 ELSE 0.0 END) AS hit, avg(CASE WHEN label = asked THEN 1.0 ELSE 0.0 END) AS share
   FROM ({_ranked("vec_id <> query_id")}) GROUP BY query_id)""")
