@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import column, join_hot, materialise, tidy
 
 #: Words of a shard, for which one suffix array is built.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 #: Bytes of a text that are split into words at once.
 SLICE_BYTES = 1 << 20
 #: Bits of the filter of frequent pairs, and of each part that it is gathered in.
