@@ -17,69 +17,78 @@ from .functions import identity
 from .functions.embedders import create_embedder
 from .operators import agent, answering, chunking, evaluation, harness, incremental, index, web
 from .sources import files, html, remote
+from .sources.store import Store, bucket
 
 __version__ = "0.1.0"
 
 
 class Workspace:
-    """Tables documents, chunks, index and failures, replaced together."""
+    """Tables documents, chunks, index, meta and failures, of one version."""
 
     def __init__(self, root: str):
-        self.root = Path(root)
+        self.root = root
 
-    def exists(self) -> bool:
-        return (self.root / "CURRENT").exists()
+    def store(self, spark: SparkSession) -> Store:
+        return Store(spark, self.root)
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
-        return files.read_snapshot(spark, self.root, name)
-
-    def write(self, tables: dict[str, DataFrame]) -> str:
-        return files.write_snapshot(tables, self.root)
+        return self.store(spark).read(name)
 
 
 def spark_session() -> SparkSession:
     return SparkSession.builder.appName("gleanworks").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _documents(blocks: DataFrame) -> DataFrame:
-    return blocks.select("doc_id", "source_id", "source_path", "file_type", "content_hash", "ingestion_fingerprint").distinct().withColumn("warnings", F.array().cast("array<string>"))
-
-
-def _store(ws: Workspace, spark: SparkSession, blocks: DataFrame, failures: DataFrame, args, classes: DataFrame | None) -> dict:
-    """Chunk, embed and write. ``classes`` (source_path, status): which sources' rows are
-    replaced, deleted or kept; None starts afresh."""
+def _store(store: Store, spark: SparkSession, sources: DataFrame, blocks: DataFrame, failures: DataFrame, args, classes: DataFrame, began: int, afresh: bool = False) -> dict:
+    """Chunk, embed and write the version after ``began``. ``sources``: files or pages that were
+    read, with or without blocks. ``classes`` (source_path, status): whose rows are replaced or
+    deleted; only their buckets are read and written, unless vectors are of another provider.
+    ``afresh``: nothing of the old version stays."""
     config = chunking.ChunkConfig(args.max_chars, args.overlap)
     embedder = create_embedder(args.embedding, args.dimension)
     fresh = chunking.chunk_blocks(blocks, config)
-    chunks, documents = fresh, chunking.manifest(_documents(blocks), blocks, fresh)
-    if classes is not None and ws.exists():
-        chunks = incremental.merge(ws.read(spark, "chunks"), chunks, classes)
-        documents = incremental.merge(ws.read(spark, "documents"), documents, classes)
-        made = index.update(chunks, ws.read(spark, "index"), embedder)
-    else:
+    named = sources.select("doc_id", "source_id", "source_path", "file_type", "content_hash", "ingestion_fingerprint").withColumn("warnings", F.array().cast("array<string>"))
+    documents = chunking.manifest(named, blocks, fresh).withColumn("chunking_fingerprint", F.lit(config.fingerprint))
+    chunks, only, again = fresh, None, 0
+    if afresh or not began:
         made = index.build(chunks, embedder).withColumn("reused", F.lit(False))
-    counted = incremental.counters(classes, fresh).first().asDict() if classes is not None else {}
-    version = ws.write({"chunks": chunks, "documents": documents, "failures": failures, "index": made, "meta": index.meta(made, embedder)})
-    s = index.update_stats(ws.read(spark, "index")).first()
-    return {"version": version, "documents": documents.count(), "failed": failures.count(), "embedded": s.embedded, "reused": s.reused, **counted}
+    else:
+        meta = store.read("meta").first()
+        moved = classes.filter(F.col("status").isin("added", "updated", "deleted"))
+        touched = [r.b for r in moved.select(bucket(F.col("source_path"), store.buckets).alias("b")).distinct().collect()]  # at most all buckets
+        only = {"chunks": touched, "documents": touched}
+        documents = incremental.merge(store.read("documents", touched), documents, classes)
+        chunks = incremental.merge(store.read("chunks", touched), fresh, classes)
+        if meta.provider_fingerprint == embedder.fingerprint:
+            only["index"] = touched
+            made = index.update(chunks, store.read("index", touched), embedder)
+            again = store.read("index").count() - store.read("index", touched).count()
+        else:
+            made = index.build(incremental.merge(store.read("chunks"), fresh, classes), embedder).withColumn("reused", F.lit(False))
+    tables = {"chunks": chunks, "documents": documents, "failures": failures, "index": made, "meta": lambda read: index.meta(read("index"), embedder)}
+    counted = incremental.counters(classes, fresh).first().asDict()
+    version = store.write(tables, began, only)
+    s = index.update_stats(store.read("index", (only or {}).get("index"))).first()
+    return {"version": f"v{version}", "documents": store.read("documents").count(), "failed": failures.count(), "embedded": s.embedded, "reused": s.reused + again, **counted}
 
 
 def ingest(args, spark: SparkSession) -> int:
     """Files below a path. With --incremental, files are hashed first; only those that are
     new or have changed are decoded, chunked and embedded."""
     files.discover(args.path)
-    ws = Workspace(args.workspace)
-    again = args.incremental and ws.exists()
+    store = Workspace(args.workspace).store(spark)
+    began = store.version()
+    again = args.incremental and began > 0
     root = Path(args.path).expanduser().resolve()
     fingerprint = chunking.ChunkConfig(args.max_chars, args.overlap).fingerprint
     none = "source_path string, content_hash string, ingestion_fingerprint string, chunking_fingerprint string, chunk_count long"
-    past = ws.read(spark, "documents").select("source_path", "content_hash", "ingestion_fingerprint", "chunking_fingerprint", "chunk_count") if again else spark.createDataFrame([], none)
-    stored = ws.read(spark, "chunks").groupBy("source_path").agg(F.count("*").alias("chunks")) if again else spark.createDataFrame([], "source_path string, chunks long")
+    past = store.read("documents").select("source_path", "content_hash", "ingestion_fingerprint", "chunking_fingerprint", "chunk_count") if again else spark.createDataFrame([], none)
+    stored = store.read("chunks").groupBy("source_path").agg(F.count("*").alias("chunks")) if again else spark.createDataFrame([], "source_path string, chunks long")
     whole = past.filter(F.col("chunking_fingerprint") == fingerprint).join(stored, "source_path", "left").filter(F.coalesce("chunks", F.lit(0)) == F.col("chunk_count"))
     found = files.read_files(spark, args.path, known=whole if again else None, max_bytes=int(args.max_file_mb * (1 << 20))).cache()
     classes = incremental.classify(found.select("source_path", "content_hash", "ingestion_fingerprint", F.col("loaded.error_type").alias("error")), past, stored, str(root), fingerprint, root.is_dir()).cache()
     fresh = found.filter("loaded IS NOT NULL").join(classes.filter(F.col("status").isin("added", "updated")), "source_path", "left_semi")
-    out = _store(ws, spark, files.file_blocks(fresh), files.failures(found), args, classes)
+    out = _store(store, spark, fresh, files.file_blocks(fresh), files.failures(found), args, classes, began, not again)
     for df in (found, classes):
         df.unpersist()  # the same path may hold other bytes next time
     print(json.dumps(out, ensure_ascii=False))
@@ -87,7 +96,8 @@ def ingest(args, spark: SparkSession) -> int:
 
 
 def ingest_url(args, spark: SparkSession) -> int:
-    ws = Workspace(args.workspace)
+    store = Workspace(args.workspace).store(spark)
+    began = store.version()
     counts = {}
     if args.crawl:
         config = web.CrawlConfig(args.max_pages, args.max_depth, args.delay, not args.cross_domain, not args.no_robots)
@@ -100,15 +110,16 @@ def ingest_url(args, spark: SparkSession) -> int:
         pages = web.offline_pages(spark, lambda u: remote.fetch_url(u).text, args.urls)
     rows = pages.filter("html IS NOT NULL").select(web.normalize_url(F.col("url")).alias("source_path"), "html")
     rows = rows.withColumns({"source_id": identity.source_id(F.col("source_path")), "content_hash": F.sha2("html", 256)})
-    docs = html.page_documents(rows.withColumn("doc_id", identity.document_id(F.col("source_id"), F.col("content_hash"))))
+    rows = rows.withColumns({"doc_id": identity.document_id(F.col("source_id"), F.col("content_hash")), "file_type": F.lit("html"), "ingestion_fingerprint": F.lit(identity.ingestion_fingerprint("html"))}).dropDuplicates(["doc_id"])
+    docs = html.page_documents(rows)
     blocks = docs.select("doc_id", "source_id", "source_path", "content_hash", F.posexplode("blocks").alias("block_pos", "b")).select("*", "b.text", "b.heading_path").drop("b")
     blocks = web.block_offsets(blocks).withColumns({"file_type": F.lit("html"), "ingestion_fingerprint": F.lit(identity.ingestion_fingerprint("html")), "extraction_method": F.lit("html"), "page_number": F.lit(None).cast("int"), "encoding": F.lit("utf-8"), "warnings": F.array().cast("array<string>")})
     failed = pages.filter("html IS NULL").select(F.col("url").alias("source_path"), F.lit("FetchError").alias("error_type"), F.col("error").alias("message"))
     classes = rows.select("source_path", F.lit("updated").alias("status"), F.lit(0).alias("old_chunks"))
-    if ws.exists():
-        past = ws.read(spark, "documents").select("source_path", "content_hash", "ingestion_fingerprint", F.lit(0).alias("ordinal"))
+    if began:
+        past = store.read("documents").select("source_path", "content_hash", "ingestion_fingerprint", F.lit(0).alias("ordinal"))
         counts |= web.merge_counts(blocks.select("source_path", "content_hash", "ingestion_fingerprint").distinct(), past).first().asDict()
-    out = _store(ws, spark, blocks, failed, args, classes) | counts
+    out = _store(store, spark, rows, blocks, failed, args, classes, began) | counts
     print(json.dumps(out, ensure_ascii=False))
     return 2 if out["failed"] else 0
 
@@ -240,28 +251,36 @@ def chat(args, spark: SparkSession) -> int:
 
 
 def list_documents(args, spark: SparkSession) -> int:
-    for r in Workspace(args.workspace).read(spark, "documents").select("source_path", "file_type", "block_count", "chunk_count").orderBy(F.lower("source_path")).toJSON().toLocalIterator():
+    for r in Workspace(args.workspace).read(spark, "documents").select("source_path", "file_type", "block_count", "chunk_count").orderBy(F.lower("source_path"), "source_path").toJSON().toLocalIterator():
         print(r)
     return 0
 
 
 def rebuild_index(args, spark: SparkSession) -> int:
-    ws = Workspace(args.workspace)
+    store = Workspace(args.workspace).store(spark)
+    began = store.version()
     embedder = create_embedder(args.embedding, args.dimension)
-    chunks = ws.read(spark, "chunks").filter(F.trim("text") != "")
-    made = index.build(chunks, embedder).withColumn("reused", F.lit(False))
-    keep = {n: ws.read(spark, n) for n in ("documents", "failures", "chunks")}
-    print(ws.write(keep | {"index": made, "meta": index.meta(made, embedder)}))
+    made = index.build(store.read("chunks").filter(F.trim("text") != ""), embedder).withColumn("reused", F.lit(False))
+    print(f"v{store.write({'index': made, 'meta': lambda read: index.meta(read('index'), embedder)}, began)}")
     return 0
 
 
 def doctor(args, spark: SparkSession) -> int:
-    ws = Workspace(args.workspace)
-    if not ws.exists():
+    """0 if the index is one that its description's provider makes."""
+    store = Workspace(args.workspace).store(spark)
+    if not store.version():
         print("no workspace")
         return 1
-    meta = ws.read(spark, "meta").first()
-    index.validate(ws.read(spark, "index").select("chunk_id", "vector"), meta.dimension or None)
+    meta = store.read("meta").first()
+    try:
+        rows = store.read("index").select("chunk_id", "vector")
+        index.validate(rows, meta.dimension or None)
+        if rows.count() != meta.chunk_count:
+            raise index.IndexProblem(f"the index has {rows.count()} rows, its description says {meta.chunk_count}")
+        index.check_provider(meta.provider_fingerprint, meta.dimension, create_embedder(meta.provider_name, meta.dimension or None))
+    except index.IndexProblem as e:
+        print(f"error: {e}", file=sys.stderr)
+        return 1
     print(json.dumps(meta.asDict(), ensure_ascii=False))
     return 0
 

@@ -71,8 +71,10 @@ def build(chunks: DataFrame, embedder) -> DataFrame:
 
 
 def meta(index: DataFrame, embedder) -> DataFrame:
-    """One row about the index."""
-    return index.agg(F.count("*").alias("chunk_count"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dimension")).select(
+    """One row about the index. Vectors are read only if the provider doesn't tell their size."""
+    known = getattr(embedder, "dimension", None)
+    size = F.coalesce(F.max(F.size("vector")), F.lit(0)) if known is None else F.when(F.count("*") > 0, F.lit(known)).otherwise(F.lit(0))
+    return index.agg(F.count("*").alias("chunk_count"), size.alias("dimension")).select(
         F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(embedder.name).alias("provider_name"), F.lit(embedder.model).alias("provider_model"), F.lit(embedder.fingerprint).alias("provider_fingerprint"), "dimension", "chunk_count"
     )
 

@@ -1,4 +1,5 @@
-"""The jobs as queries: each runs twice into a new shared folder, and what then stands there is the result."""
+"""Queries that write: the jobs, each run twice into a new shared folder, and a stored snapshot that
+is brought up to date. What then stands there is the result."""
 
 from __future__ import annotations
 
@@ -8,9 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanworks.operators import incremental
+from gleanworks.sources.store import Store, bucket
 from jobs import evaluate_search, index_documents
 
-from .catalog import _CHUNK_ID, _PIECES, _ranked, query
+from .catalog import _CHUNK_ID, _CHUNKING, _DOCS, _PIECES, _ranked, query, text_documents
 
 
 def _new_folder(spark: SparkSession, name: str) -> str:
@@ -42,3 +45,23 @@ def job2_evaluate_search(spark: SparkSession, d: str) -> DataFrame:
     for _ in range(2):
         found = evaluate_search.run(spark, f"{d}/embeddings.parquet", folder)
     return found
+
+
+#: Of each 1009 documents one has changed since the stored snapshot, one is gone and one is new.
+@query(f"""WITH d AS (SELECT source_path, content_hash, id % 1009 AS r, CAST(CAST('0x' || substr(sha256(source_path), 1, 8) AS BIGINT) % 64 AS INTEGER) AS bucket FROM ({_DOCS}))
+SELECT source_path, bucket, content_hash, bucket IN (SELECT bucket FROM d WHERE r IN (5, 6, 7)) AS rewritten FROM d WHERE r <> 6""")
+def incremental_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """A stored snapshot brought up to date: only the buckets of sources that differ are written anew."""
+    store = Store(spark, _new_folder(spark, "store"), 64)
+    docs, r = text_documents(spark, d).select("id", "source_path", "content_hash", "ingestion_fingerprint"), F.col("id") % 1009
+    stated = docs.withColumns({"chunking_fingerprint": F.lit(_CHUNKING), "chunk_count": F.lit(1)})
+    store.write({"documents": stated.filter(r != 7).withColumn("content_hash", F.when(r == 5, F.lit("0")).otherwise(F.col("content_hash"))).drop("id")}, 0)
+    past = store.read("documents")
+    counts = past.select("source_path", F.lit(1).cast("long").alias("chunks"))
+    found = docs.filter(r != 6).drop("id").withColumn("error", F.lit(None).cast("string"))
+    classes = incremental.classify(found, past, counts, "/docs", _CHUNKING)
+    touched = [x.b for x in classes.filter("status <> 'unchanged'").select(bucket(F.col("source_path"), 64).alias("b")).distinct().collect()]
+    store.write({"documents": incremental.merge(store.read("documents", touched), stated.filter(r != 6).drop("id"), classes)}, 1, {"documents": touched})
+    fresh = [int(b) for b, p in store.current()["tables"]["documents"]["at"].items() if p.startswith("data/00000002-")]
+    where = bucket(F.col("source_path"), 64)
+    return store.read("documents").select("source_path", where.alias("bucket"), "content_hash", where.isin(fresh).alias("rewritten"))
