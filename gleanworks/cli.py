@@ -170,9 +170,10 @@ def evaluate(args, spark: SparkSession) -> int:
 def run_harness(args, spark: SparkSession) -> int:
     """A task file, answered and scored, --repeat times: by the mechanical answerer, or by
     the agent with --real; judged by a model with --judge. --limit takes the first tasks."""
-    rows = files.read_jsonl(spark, args.tasks, schemas.TASK)
-    if bad := harness.check_tasks(rows).filter("problem IS NOT NULL").first():
-        raise ValueError(f"task {bad.id}: {bad.problem}")
+    rows, problems = harness.scan_tasks(spark, args.tasks)
+    if bad := problems.orderBy("file", "line").first():
+        raise ValueError(f"{args.tasks}, line {bad.line}: {bad.problem}: {bad.value[:80]}")
+    rows = rows.orderBy("file", "line").drop("file", "line")
     listed = rows.take(args.limit) if args.limit else rows.collect()
     rows = spark.createDataFrame(listed, rows.schema)
     ws = Workspace(args.workspace)

@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.text import strip
+from ..sources.lines import kind, numbered, scan_jsonl, split_lines
 from .answering import NO_EVIDENCE
 
 # What a refusal says; the wider list is for questions without an answer.
@@ -199,6 +201,48 @@ def ideal_answers(tasks: DataFrame, results: DataFrame, threshold: float = IDEAL
     return met.select("task_id", top.alias("max_score"), F.coalesce("n", F.lit(0)).alias("evidence_count"), F.when((F.coalesce("n", F.lit(0)) > 0) & (top >= threshold), IDEAL_ANSWER).otherwise(NO_EVIDENCE).alias("answer"))
 
 
+#: What a task may be, and how many points it may expect.
+TASK_TYPES = ("answerable", "refusal")
+MAX_POINTS = 8
+
+
+def _task_problem(v: Column) -> Column:
+    """Why an object is no task, field by field; null if it is one."""
+    text = lambda f: kind(v, f"$.{f}").eqNullSafe("STRING") & (strip(F.coalesce(F.try_variant_get(v, f"$.{f}", "string"), F.lit(""))) != "")
+    array = lambda f: F.try_variant_get(v, f"$.{f}", "array<string>")
+    size = lambda f: F.coalesce(F.size(array(f)), F.lit(0))
+    # Of mixed elements the type is VARIANT; of none, or of nulls, VOID.
+    strings = lambda f: kind(v, f"$.{f}").isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(F.coalesce(array(f), F.array().cast("array<string>")), lambda x: F.coalesce(strip(x) == "", F.lit(True)))
+    absent = lambda f: kind(v, f"$.{f}").isNull()
+    labels = lambda f: absent(f) | (kind(v, f"$.{f}") == "VOID") | strings(f)
+    answerable = absent("task_type") | F.coalesce(F.try_variant_get(v, "$.task_type", "string") == TASK_TYPES[0], F.lit(False))
+    return (
+        F.when(~text("id"), "id").when(~text("query"), "query")
+        .when(~(absent("task_type") | (kind(v, "$.task_type").eqNullSafe("STRING") & F.coalesce(F.try_variant_get(v, "$.task_type", "string").isin(*TASK_TYPES), F.lit(False)))), "task_type")
+        .when(~(labels("relevant_chunk_ids") & labels("relevant_source_paths")), "labels")
+        .when(answerable & (size("relevant_chunk_ids") + size("relevant_source_paths") == 0), "no label")
+        .when(~(absent("expected_points") | strings("expected_points")) | (size("expected_points") > MAX_POINTS), "expected_points")
+        .when(answerable & (size("expected_points") == 0), "no expected_points")
+        .when(~(absent("category") | (kind(v, "$.category") == "STRING")), "category")
+        .when(~(absent("auto") | (kind(v, "$.auto") == "BOOLEAN")), "auto")
+    )
+
+
+def scan_tasks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(tasks, problems) of task files, JSON lines: tasks of the lines that keep the contract, and file, line,
+    problem and value of those that don't. An id that stands again, in whatever file, is a problem of its later lines."""
+    good, bad = scan_jsonl(spark, path, _task_problem)
+    lines = split_lines(spark, path)
+    placed = numbered(good.withColumn("id", strip(F.try_variant_get("v", "$.id", "string"))).drop("v"), lines)
+    met = placed.join(placed.groupBy("id").agg(F.min(F.struct("file", "line")).alias("first")), "id")
+    later = met.filter(F.struct("file", "line") > F.col("first"))
+    problems = bad.unionByName(later.select("file", "line", F.lit("repeated id").alias("problem"), "value"))
+    tidy = lambda f: F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), strip)
+    once = met.filter(F.struct("file", "line") == F.col("first"))
+    rows = once.select("file", "line", F.from_json("value", schemas.TASK).alias("t")).select("file", "line", "t.*")
+    return rows.withColumns({"id": strip(F.col("id")), "query": strip(F.col("query")), "task_type": F.coalesce("task_type", F.lit(TASK_TYPES[0])), "category": strip(F.coalesce("category", F.lit(""))), "auto": F.coalesce("auto", F.lit(False)), **{f: tidy(f) for f in ("relevant_chunk_ids", "relevant_source_paths", "expected_points")}}), problems
+
+
 def check_tasks(rows: DataFrame) -> DataFrame:
     """Task rows with ``problem``: null if a row keeps the contract."""
     again = F.count("*").over(Window.partitionBy("id"))
@@ -210,10 +254,10 @@ def check_tasks(rows: DataFrame) -> DataFrame:
     has_blank = lambda c: F.exists(F.coalesce(c, none), lambda x: F.coalesce(strip(x) == "", F.lit(True)))
     problem = (
         F.when(blank("id"), "id").when(blank("query"), "query")
-        .when(~F.coalesce("task_type", F.lit("answerable")).isin("answerable", "refusal"), "task_type")
+        .when(~F.coalesce("task_type", F.lit("answerable")).isin(*TASK_TYPES), "task_type")
         .when(has_blank("relevant_chunk_ids") | has_blank("relevant_source_paths"), "labels")
         .when(answerable & (labels == 0), "no label")
-        .when(has_blank("expected_points") | (points > 5), "expected_points")
+        .when(has_blank("expected_points") | (points > MAX_POINTS), "expected_points")
         .when(answerable & (points == 0), "no expected_points")
         .when(again > 1, "repeated id")
     )

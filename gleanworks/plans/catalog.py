@@ -303,12 +303,6 @@ def web_merge_rows(spark: SparkSession, d: str) -> DataFrame:
     return web.merge_rows(rows.select("source_path", F.lit("old").alias("version")), rows.filter("page_id % 3 = 0").select("source_path", F.lit("new").alias("version")))
 
 
-@query()
-def html_blocks(spark: SparkSession, d: str) -> DataFrame:
-    blocks = html.page_blocks(read(spark, d, "pages").select("page_id", "html"), "page_id")
-    return web.block_offsets(blocks.withColumnRenamed("page_id", "doc_id")).select(F.col("doc_id").alias("page_id"), "block_pos", F.sha2("text", 256).alias("text_hash"), F.array_join("heading_path", " / ").alias("path"), "normalized_char_start", "normalized_char_end")
-
-
 #: The references that SQL decodes, the ampersand's last, and what they stand for; as in HTML, the semicolon may be missing.
 _REFERENCES = {"quot": "chr(34)", "lt": "'<'", "gt": "'>'", "amp": "'&'"}
 _TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
@@ -316,6 +310,40 @@ for _name, _char in _REFERENCES.items():
     _TITLE = f"regexp_replace({_TITLE}, '&{_name};?', {_char}, 'g')"
 
 
+def _decoded(expr: str) -> str:
+    for name, char in _REFERENCES.items():
+        expr = f"regexp_replace({expr}, '&{name};?', {char}, 'g')"
+    return expr
+
+
+_FLAT = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+#: Tags and texts of each article in order. A paragraph's end closes the nearest one that is open, or does nothing;
+#: the outermost paragraphs are the blocks, below the title and the heading before them.
+_BLOCKS_SQL = rf"""WITH t AS (
+  SELECT page_id, {_FLAT.format(_TITLE)} AS title, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i
+  FROM (SELECT page_id, html, regexp_extract_all(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), '(?s)<[^>]*>|[^<]+') AS tokens FROM pages)),
+s AS (SELECT *, sum(CASE token WHEN '<p>' THEN 1 WHEN '</p>' THEN -1 ELSE 0 END) OVER w AS s FROM t WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+c AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS depth FROM s),
+b AS (SELECT *, coalesce(lag(depth) OVER w, 0) = 0 AND depth = 1 AS opens, lag(token) OVER w = '<h1>' AND depth = 0 AS heads FROM c WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+u AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY page_id ORDER BY i) AS unit FROM b),
+heads AS (SELECT page_id, {_FLAT.format(_decoded("any_value(token)"))} AS head FROM u WHERE heads GROUP BY page_id),
+blocks AS (
+  SELECT page_id, title, unit, {_FLAT.format(_decoded("string_agg(token, ' ' ORDER BY i)"))} AS block
+  FROM u WHERE depth > 0 AND token NOT LIKE '<%' GROUP BY page_id, title, unit),
+kept AS (
+  SELECT *, length(block) AS n, row_number() OVER (PARTITION BY page_id ORDER BY unit) - 1 AS pos,
+    coalesce(sum(length(block) + 2) OVER (PARTITION BY page_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM blocks WHERE block <> '')
+SELECT page_id, CAST(pos AS INTEGER) AS block_pos, sha256(block) AS text_hash, concat_ws(' / ', coalesce(nullif(title, ''), head), head) AS path,
+  CAST(start AS BIGINT) AS normalized_char_start, CAST(start + n AS BIGINT) AS normalized_char_end FROM kept LEFT JOIN heads USING (page_id)"""
+
+
+@query(_BLOCKS_SQL)
+def html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    blocks = html.page_blocks(read(spark, d, "pages").select("page_id", "html"), "page_id")
+    return web.block_offsets(blocks.withColumnRenamed("page_id", "doc_id")).select(F.col("doc_id").alias("page_id"), "block_pos", F.sha2("text", 256).alias("text_hash"), F.array_join("heading_path", " / ").alias("path"), "normalized_char_start", "normalized_char_end")
+
+
 @query(rf"SELECT page_id, trim(regexp_replace({_TITLE}, '\s+', ' ', 'g')) AS title FROM pages")
 def html_title(spark: SparkSession, d: str) -> DataFrame:
     """The titles of all pages, references decoded."""

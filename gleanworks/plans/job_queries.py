@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanworks.operators import incremental
+from gleanworks.operators import harness, incremental
 from gleanworks.sources.store import Store, bucket
 from jobs import evaluate_search, index_documents
 
@@ -65,3 +65,27 @@ def incremental_buckets(spark: SparkSession, d: str) -> DataFrame:
     fresh = [int(b) for b, p in store.current()["tables"]["documents"]["at"].items() if p.startswith("data/00000002-")]
     where = bucket(F.col("source_path"), 64)
     return store.read("documents").select("source_path", where.alias("bucket"), "content_hash", where.isin(fresh).alias("rewritten"))
+
+
+#: A task a document: as many points as its length says, labels unless its text asks, and some lines that are cut or no objects.
+_TASK_LINE = """CASE WHEN n_chars % 17 = 0 THEN '{{"id": "cut' WHEN n_chars % 19 = 0 THEN '[' || n_chars || ']' ELSE
+  '{{"id": "' || CASE WHEN n_chars % 23 = 0 THEN doc_id % 10 ELSE doc_id END || CASE WHEN n_chars % 23 = 0 THEN '' ELSE 'd' END || '", "query": ' || CASE WHEN n_chars % 29 = 0 THEN '7' ELSE '"q"' END ||
+  CASE WHEN n_chars % 31 = 0 THEN ', "auto": null' ELSE ', "auto": true' END || CASE WHEN n_chars % 5 = 0 THEN ', "task_type": "refusal"' ELSE '' END ||
+  CASE WHEN {ends} THEN '' ELSE ', "relevant_source_paths": ["/docs/x"]' END || ', "expected_points": [' || {points} || ']}}' END"""
+_SPARK_TASK = _TASK_LINE.format(ends="text LIKE '%.'", points="array_join(transform(sequence(0, int(n_chars % 12)), i -> CASE WHEN i = 0 THEN '\"p\"' ELSE ', \"p\"' END), '')")
+_SQL_TASK = """CASE WHEN n_chars % 17 = 0 THEN 'not JSON' WHEN n_chars % 19 = 0 THEN 'not an object' WHEN n_chars % 29 = 0 THEN 'query'
+  WHEN n_chars % 5 <> 0 AND text LIKE '%.' THEN 'no label' WHEN n_chars % 12 + 1 > 8 THEN 'expected_points' WHEN n_chars % 31 = 0 THEN 'auto' END"""
+
+
+@query(f"""WITH t AS (
+  SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS line, {_SQL_TASK} AS problem, CASE WHEN n_chars % 23 = 0 THEN doc_id % 10 ELSE doc_id + 100 END AS id
+  FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, problem IS NULL ORDER BY lang, line) AS k FROM t)
+SELECT lang, line, coalesce(problem, 'repeated id') AS problem FROM r WHERE problem IS NOT NULL OR k > 1""")
+def task_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Task files, one of each language, scanned: every line that breaks the contract, with its place."""
+    folder = _new_folder(spark, "tasks")
+    lines = spark.read.parquet(f"{d}/documents.parquet").selectExpr("lang", "doc_id", f"{_SPARK_TASK} AS value")
+    lines.repartition("lang").sortWithinPartitions("lang", "doc_id").select("value", "lang").write.partitionBy("lang").text(folder)
+    _, problems = harness.scan_tasks(spark, f"{folder}/*")
+    return problems.select(F.regexp_extract("file", "lang=([^/]*)", 1).alias("lang"), "line", "problem")
