@@ -49,9 +49,9 @@ def _store(store: Store, spark: SparkSession, sources: DataFrame, blocks: DataFr
     fresh = chunking.chunk_blocks(blocks, config)
     named = sources.select("doc_id", "source_id", "source_path", "file_type", "content_hash", "ingestion_fingerprint").withColumn("warnings", F.array().cast("array<string>"))
     documents = chunking.manifest(named, blocks, fresh).withColumn("chunking_fingerprint", F.lit(config.fingerprint))
-    chunks, only, again = fresh, None, 0
+    chunks, only, again, memory = fresh, None, 0, f"{store.root}/memory"
     if afresh or not began:
-        made = index.build(chunks, embedder).withColumn("reused", F.lit(False))
+        made = index.build(chunks, embedder, memory).withColumn("reused", F.lit(False))
     else:
         meta = store.read("meta").first()
         moved = classes.filter(F.col("status").isin("added", "updated", "deleted"))
@@ -61,10 +61,10 @@ def _store(store: Store, spark: SparkSession, sources: DataFrame, blocks: DataFr
         chunks = incremental.merge(store.read("chunks", touched), fresh, classes)
         if meta.provider_fingerprint == embedder.fingerprint:
             only["index"] = touched
-            made = index.update(chunks, store.read("index", touched), embedder)
+            made = index.update(chunks, store.read("index", touched), embedder, memory=memory)
             again = store.read("index").count() - store.read("index", touched).count()
         else:
-            made = index.build(incremental.merge(store.read("chunks"), fresh, classes), embedder).withColumn("reused", F.lit(False))
+            made = index.build(incremental.merge(store.read("chunks"), fresh, classes), embedder, memory).withColumn("reused", F.lit(False))
     tables = {"chunks": chunks, "documents": documents, "failures": failures, "index": made, "meta": lambda read: index.meta(read("index"), embedder)}
     counted = incremental.counters(classes, fresh).first().asDict()
     version = store.write(tables, began, only)
@@ -196,7 +196,7 @@ def run_harness(args, spark: SparkSession) -> int:
     if args.judge:
         client = remote.ChatClient.from_environment()
         last = audits.filter(F.col("run_id") == args.repeat - 1)
-        verdicts = harness.judge(harness.judge_prompts(tasks, last), client.complete).cache()  # each answer is judged once
+        verdicts = harness.judge(harness.judge_prompts(tasks, last), client.complete, f"{ws.store(spark).root}/memory", client.model)  # each answer is judged once
     done = harness.report(metrics, "real" if args.real else "fake", "agent" if args.real else "ideal-script", identity.sha256_text(Path(args.tasks).read_text(encoding="utf-8")), verdicts)
     if args.calibrate:
         done["calibration"] = harness.calibrate(harness.calibration_samples(spark), remote.ChatClient.from_environment().complete).first().asDict()
@@ -261,7 +261,7 @@ def rebuild_index(args, spark: SparkSession) -> int:
     store = Workspace(args.workspace).store(spark)
     began = store.version()
     embedder = create_embedder(args.embedding, args.dimension)
-    made = index.build(store.read("chunks").filter(F.trim("text") != ""), embedder).withColumn("reused", F.lit(False))
+    made = index.build(store.read("chunks").filter(F.trim("text") != ""), embedder, f"{store.root}/memory").withColumn("reused", F.lit(False))
     print(f"v{store.write({'index': made, 'meta': lambda read: index.meta(read('index'), embedder)}, began)}")
     return 0
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.text import strip
 from ..sources.lines import kind, numbered, scan_jsonl, split_lines
+from . import remembered
 from .answering import NO_EVIDENCE
 
 # What a refusal says; the wider list is for questions without an answer.
@@ -290,8 +291,15 @@ def judge_prompts(tasks: DataFrame, audits: DataFrame) -> DataFrame:
     return met.select("task_id", "run_id", F.concat(F.concat_ws("\n\n", *parts), trap).alias("prompt"))
 
 
-def judge(prompts: DataFrame, complete: Callable[[list[dict]], str]) -> DataFrame:
-    """Verdicts (task_id, ...) on prompts, by an injected model; a call that fails is an error of its task."""
+def judge(prompts: DataFrame, complete: Callable[[list[dict]], str], memory: str | None = None, model: str = "") -> DataFrame:
+    """Verdicts (task_id, ...) on prompts, by an injected model; a call that fails is an error of its task.
+    With ``memory``, a folder that all machines see, what ``model`` said of a prompt is kept there and used again."""
+    if memory is not None:
+        each = lambda texts: [complete([{"role": "system", "content": JUDGE_PROMPT}, {"role": "user", "content": p}]) for p in texts]
+        found = remembered.answers(prompts.select(F.col("prompt").alias("text")), each, f"judge:{model}:{JUDGE_PROMPT}", memory, rows=1)
+        met = prompts.select("task_id", F.sha2(F.coalesce("prompt", F.lit("")), 256).alias("text_hash")).join(found, "text_hash")
+        verdicts = parse_verdicts(met.select("task_id", F.col("value").alias("raw")))
+        return verdicts.join(met.select("task_id", "failure"), "task_id").withColumn("error", F.coalesce("failure", "error")).drop("failure")
 
     @F.pandas_udf("struct<raw:string,failure:string>")
     def ask(prompt: pd.Series) -> pd.DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector
 from ..functions.text import strip
+from . import remembered
 
 SCHEMA_VERSION = 1
 #: Bytes of query vectors sent to the executors at once; of a block of rows that meets one of queries.
@@ -65,9 +66,20 @@ def normalise_chunks(chunks: DataFrame) -> DataFrame:
     return chunks
 
 
-def build(chunks: DataFrame, embedder) -> DataFrame:
+def embed(chunks: DataFrame, embedder, memory: str | None = None) -> DataFrame:
+    """``chunks`` with their vectors. A service that is paid for is asked once for each text: with ``memory``, a folder
+    that all machines see, its answers are kept there and used again. Raises if it gave none for some texts."""
+    if memory is None or not hasattr(embedder, "embed_batch"):
+        return chunks.withColumn("vector", embedder.column(F.col("text")))
+    found = remembered.answers(chunks.select("text"), embedder.embed_batch, embedder.fingerprint, memory, "array<double>")
+    if bad := found.filter("failure IS NOT NULL").first():
+        raise IndexProblem(f"texts without a vector, others are kept in {memory}: {bad.failure}")
+    return chunks.withColumn("text_hash", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found.select("text_hash", F.col("value").alias("vector")), "text_hash").drop("text_hash")
+
+
+def build(chunks: DataFrame, embedder, memory: str | None = None) -> DataFrame:
     """Chunks with their vector and its norm."""
-    return chunks.withColumn("vector", embedder.column(F.col("text"))).withColumn("norm", vector.norm(F.col("vector")))
+    return embed(chunks, embedder, memory).withColumn("norm", vector.norm(F.col("vector")))
 
 
 def meta(index: DataFrame, embedder) -> DataFrame:
@@ -90,14 +102,14 @@ def reusable(chunks: DataFrame, old: DataFrame) -> DataFrame:
     return joined.withColumn("old_vector", F.when(same, F.col("old_vector"))).drop(*(f"old_{k}" for k in keys))
 
 
-def update(chunks: DataFrame, old: DataFrame, embedder, old_fingerprint: str | None = None) -> DataFrame:
+def update(chunks: DataFrame, old: DataFrame, embedder, old_fingerprint: str | None = None, memory: str | None = None) -> DataFrame:
     """The index of ``chunks``; vectors of unchanged chunks are taken over. If the
     old index was made by another provider, all are made anew. ``reused`` says which."""
     if old_fingerprint is not None and old_fingerprint != embedder.fingerprint:
-        return build(chunks, embedder).withColumn("reused", F.lit(False))
+        return build(chunks, embedder, memory).withColumn("reused", F.lit(False))
     met = reusable(chunks, old)
     kept = met.filter(F.col("old_vector").isNotNull()).withColumnRenamed("old_vector", "vector")
-    made = met.filter(F.col("old_vector").isNull()).drop("old_vector").withColumn("vector", embedder.column(F.col("text")))
+    made = embed(met.filter(F.col("old_vector").isNull()).drop("old_vector"), embedder, memory)
     kept = kept.withColumn("reused", F.lit(True))
     both = kept.unionByName(made.withColumn("reused", F.lit(False)))
     return both.withColumn("norm", vector.norm(F.col("vector")))
