@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import schemas, workspace
 from .functions import identity
 from .functions.embedders import create_embedder
-from .operators import agent, answering, chunking, evaluation, harness, incremental, index, web
+from .operators import agent, answering, chunking, crawling, evaluation, harness, incremental, index, web
 from .sources import files, html, remote
 from .sources.store import Store, bucket
 
@@ -101,11 +101,10 @@ def ingest_url(args, spark: SparkSession) -> int:
     counts = {}
     if args.crawl:
         config = web.CrawlConfig(args.max_pages, args.max_depth, args.delay, not args.cross_domain, not args.no_robots)
-        found = [remote.crawl_live(u, config, remote.fetch_url) for u in args.urls]
-        listed = {r["url"]: (r["url"], r["html"], r["error"] or r["status"]) for rows, _ in found for r in rows}
-        pages = spark.createDataFrame(list(listed.values()), "url string, html string, error string")
-        visited = sum(len(rows) for rows, _ in found)
-        counts = {"links_found": max(0, sum(n for _, n in found) - visited)}
+        robots = crawling.live_robots(remote.fetch_url) if config.respect_robots else None
+        found = crawling.crawl_sites(spark, args.urls, crawling.live(remote.fetch_url), f"{store.root}/crawls", config, robots, remote.USER_AGENT)
+        pages = found.select("url", "html", F.coalesce("error", F.when(F.col("html").isNull(), F.col("status"))).alias("error")).dropDuplicates(["url"])
+        counts = {"links_found": found.select("site", "links_found").distinct().agg(F.coalesce(F.sum("links_found"), F.lit(0)).alias("n")).first().n}
     else:
         pages = web.offline_pages(spark, lambda u: remote.fetch_url(u).text, args.urls)
     rows = pages.filter("html IS NOT NULL").select(web.normalize_url(F.col("url")).alias("source_path"), "html")

@@ -57,6 +57,15 @@ _SITE = """'<html><body><article><h1>' || i || '</h1><p><a href="/s/' || i || '"
 _DEPTH, _MOST = 4, 20
 
 
+def _numbered(ids: DataFrame) -> DataFrame:
+    """Places (i, from 0) of pages by id: counts of ids below, from ranges of them."""
+    ranked = ids.orderBy("page_id").withColumn("at", F.monotonically_increasing_id())
+    part = F.shiftright("at", 33)
+    sizes = ranked.groupBy(part.alias("part")).count()
+    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.expr("b.part < a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("before"))
+    return ranked.withColumn("part", part).join(F.broadcast(before), "part").select((F.col("before") + F.expr("at - shiftleft(part, 33)")).alias("i"))
+
+
 @query(f"""WITH RECURSIVE site AS (SELECT row_number() OVER (ORDER BY page_id) - 1 AS i FROM pages),
 walk(url, i, depth, path) AS (
   SELECT 'https://site.example/s/0', 0, 0, [0] WHERE EXISTS (SELECT 1 FROM site)
@@ -70,13 +79,7 @@ counted AS (
 SELECT url, depth, pos, status FROM counted WHERE before < {_MOST}""".replace("k / 2", "k // 2"))
 def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
     """Breadth first from page 0, four links deep, until 20 pages are read."""
-    ids = read(spark, d, "pages").select("page_id")
-    # Places of the rows by id: counts of ids below, from ranges of them.
-    ranked = ids.orderBy("page_id").withColumn("at", F.monotonically_increasing_id())
-    part = F.shiftright("at", 33)
-    sizes = ranked.groupBy(part.alias("part")).count()
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.expr("b.part < a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("before"))
-    numbered = ranked.withColumn("part", part).join(F.broadcast(before), "part").select((F.col("before") + F.expr("at - shiftleft(part, 33)")).alias("i"))
+    numbered = _numbered(read(spark, d, "pages").select("page_id"))
     site = numbered.selectExpr("'https://site.example/s/' || i AS url", f"{_SITE} AS html")
     found = web.crawl(site, "https://site.example/s/0", web.CrawlConfig(max_pages=_MOST, max_depth=_DEPTH))
     return found.select("url", "depth", F.col("pos").cast("long").alias("pos"), "status")

@@ -9,11 +9,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanworks.operators import harness, incremental
+from gleanworks.operators import crawling, harness, incremental
+from gleanworks.operators.web import CrawlConfig
 from gleanworks.sources.store import Store, bucket
 from jobs import evaluate_search, index_documents
 
-from .catalog import _CHUNK_ID, _CHUNKING, _DOCS, _PIECES, _ranked, query, text_documents
+from .built import _DEPTH, _MOST, _SITE, _numbered
+from .catalog import _CHUNK_ID, _CHUNKING, _DOCS, _PIECES, _ranked, query, read, text_documents
 
 
 def _new_folder(spark: SparkSession, name: str) -> str:
@@ -89,3 +91,27 @@ def task_lines(spark: SparkSession, d: str) -> DataFrame:
     lines.repartition("lang").sortWithinPartitions("lang", "doc_id").select("value", "lang").write.partitionBy("lang").text(folder)
     _, problems = harness.scan_tasks(spark, f"{folder}/*")
     return problems.select(F.regexp_extract("file", "lang=([^/]*)", 1).alias("lang"), "line", "problem")
+
+
+@query(f"""WITH RECURSIVE site AS (SELECT (row_number() OVER (ORDER BY page_id) - 1) % 3 AS h, (row_number() OVER (ORDER BY page_id) - 1) // 3 AS i FROM pages),
+walk(h, url, i, depth, path) AS (
+  SELECT h, 'https://s' || h || '.example/s/0', 0, 0, [0] FROM (VALUES (0), (1), (2)) t(h)
+  UNION ALL
+  SELECT w.h, 'https://s' || w.h || CASE WHEN k = 1 THEN '.example/gone/' || w.i ELSE '.example/s/' || (2 * w.i + 1 + k // 2) END, CASE WHEN k = 1 THEN -1 ELSE 2 * w.i + 1 + k // 2 END, depth + 1, list_append(path, k)
+  FROM walk w JOIN site s ON s.h = w.h AND s.i = w.i, (VALUES (0), (1), (2)) v(k) WHERE depth < {_DEPTH}),
+ordered AS (
+  SELECT w.*, row_number() OVER (PARTITION BY w.h ORDER BY depth, path) AS pos,
+    CASE WHEN w.h = 2 AND w.i < 0 THEN 'robots-disallowed' WHEN s.i IS NULL THEN 'failed' ELSE 'fetched' END AS status
+  FROM walk w LEFT JOIN site s ON s.h = w.h AND s.i = w.i),
+counted AS (
+  SELECT *, coalesce(count(*) FILTER (status = 'fetched') OVER (PARTITION BY h ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    count(*) FILTER (status <> 'robots-disallowed') OVER (PARTITION BY h ORDER BY pos) - 1 AS waits FROM ordered)
+SELECT url, depth, pos, status, CAST(waits * CASE h WHEN 1 THEN 3.0 ELSE 1.5 END AS DOUBLE) AS start FROM counted WHERE before < {_MOST}""")
+def crawl_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """Three sites at once, by host, with robots rules and the times at which their pages are due."""
+    n, h = F.expr("i div 3"), F.expr("i % 3")
+    pages = _numbered(read(spark, d, "pages").select("page_id")).select(h.alias("h"), n.alias("i")).selectExpr("'https://s' || h || '.example/s/' || i AS url", f"{_SITE} AS html")
+    rules = spark.createDataFrame([("s1.example", "User-agent: *\nCrawl-delay: 3"), ("s2.example", "User-agent: *\nDisallow: /gone")], "host string, robots string")
+    starts = [f"https://s{k}.example/s/0" for k in range(3)]
+    found = crawling.crawl_sites(spark, starts, crawling.stored(pages), _new_folder(spark, "crawl"), CrawlConfig(_MOST, _DEPTH, 1.5), lambda hosts: hosts.join(rules, "host", "left").select("host", "robots"))
+    return found.select("url", "depth", "pos", "status", "start")
