@@ -145,13 +145,15 @@ def search(args, spark: SparkSession) -> int:
 
 
 def ask(args, spark: SparkSession) -> int:
+    """An answer with its evidence as context; the context alone with --dry-run or --retrieval-only."""
     results = _search(Workspace(args.workspace), spark, [args.query], args.top_k, args.min_score, _where(args))
     chat = None
-    if not args.dry_run:
+    if not (args.dry_run or args.retrieval_only):
         client = remote.ChatClient.from_environment()
         chat = lambda q, c: client.complete([{"role": "system", "content": agent.LOCAL_PROMPT}, {"role": "user", "content": f"{c}\n\n{q}"}])
     asked = spark.createDataFrame([(0, args.query)], "query_id long, question string")
-    print(answering.answer(asked, results, chat).first().answer)
+    got = answering.answer(asked, results, chat, args.max_context_chars).first()
+    print(json.dumps({k: got[k] for k in ("question", "answer", "context")}, ensure_ascii=False) if args.json else got.answer)
     return 0
 
 
@@ -179,7 +181,7 @@ def run_harness(args, spark: SparkSession) -> int:
     none = F.array().cast("array<string>")
     tasks = rows.select(F.col("id").alias("task_id"), "query", F.coalesce("expected_points", none).alias("expected_points"), F.coalesce("task_type", F.lit("answerable")).alias("task_type"), F.coalesce("auto", F.lit(False)).alias("auto"), F.coalesce("category", F.lit("")).alias("category"), F.coalesce("relevant_chunk_ids", none).alias("relevant_chunk_ids"), F.coalesce("relevant_source_paths", none).alias("relevant_source_paths"))
     if args.real:
-        audits = _agent_audits(ws, spark, listed, args.repeat)
+        audits = _agent_audits(ws, spark, listed, args.repeat, args.max_steps)
     else:
         results = _search(ws, spark, [r.query for r in listed], 5, 0.08).cache()
         ids = spark.createDataFrame([(i, r.id) for i, r in enumerate(listed)], "query_id long, task_id string")
@@ -211,42 +213,56 @@ def run_harness(args, spark: SparkSession) -> int:
     return 0
 
 
-def _agent_audits(ws: Workspace, spark: SparkSession, listed: list, repeat: int) -> DataFrame:
+def _agent_audits(ws: Workspace, spark: SparkSession, listed: list, repeat: int, steps: int | None = None) -> DataFrame:
     """What the agent says and does, task by task: a person reads these few."""
     tool = agent.SearchTool(lambda q, k, least: [r.asDict(True) for r in _search(ws, spark, [q], k, least).orderBy("rank").collect()])
     out = []
     for run in range(repeat):
         for r in listed:
-            got = agent.Agent(tool, remote.ChatClient.from_environment()).run(r.query)
+            got = agent.Agent(tool, remote.ChatClient.from_environment(), max_steps=steps).run(r.query)
             seen = [{"source_type": e.get("source_type") or "local", "source_path": e.get("source_path"), "chunk_id": e.get("chunk_id"), "text": e.get("text")} for e in got.evidence]
             out.append((r.id, run, got.answer, seen, [{"name": c["name"], "results": seen if c["name"] == agent.SEARCH else []} for c in got.tool_calls]))
     each = "struct<source_type:string,source_path:string,chunk_id:string,text:string>"
     return spark.createDataFrame(out, f"task_id string, run_id int, answer string, evidence array<{each}>, tool_calls array<struct<name:string,results:array<{each}>>>")
 
 
-def run_agent(args, spark: SparkSession) -> int:
+def _agent(args, spark: SparkSession) -> agent.Agent:
     ws = Workspace(args.workspace)
     tool = agent.SearchTool(lambda q, k, least: [r.asDict(True) for r in _search(ws, spark, [q], k, least).orderBy("rank").collect()])
     pages = agent.WebTool(lambda u: (lambda p: (p.final_url, p.content_type, p.text))(remote.fetch_url(u))) if args.web else None
-    got = agent.Agent(tool, remote.ChatClient.from_environment(), pages).run(args.query)
+    return agent.Agent(tool, remote.ChatClient.from_environment(), pages, max_steps=args.max_steps)
+
+
+def _history(args) -> tuple[agent.History, Path | None]:
+    kept = Path(args.history) if args.history else None
+    past = agent.History.load(kept, args.history_max_turns) if kept and kept.exists() else agent.History(max_turns=args.history_max_turns)
+    return past, kept
+
+
+def run_agent(args, spark: SparkSession) -> int:
+    past, kept = _history(args)
+    got = _agent(args, spark).run(args.query, past)
     print(got.answer)
+    if kept:
+        got.history.save(kept)
     return 0 if got.stopped_reason == "completed" else 2
 
 
 def chat(args, spark: SparkSession) -> int:
-    """Reads questions from standard input until it ends."""
-    kept = Path(args.history) if args.history else None
-    past = agent.History.load(kept) if kept and kept.exists() else agent.History()
-    ws = Workspace(args.workspace)
-    tool = agent.SearchTool(lambda q, k, least: [r.asDict(True) for r in _search(ws, spark, [q], k, least).orderBy("rank").collect()])
-    speaker = agent.Agent(tool, remote.ChatClient.from_environment())
-    for line in sys.stdin:
-        if line.strip():
-            got = speaker.run(line, past)
-            past = got.history
-            print(got.answer, flush=True)
-            if kept:
-                past.save(kept)
+    """Reads questions from standard input until it ends; with --retrieval-only it shows what was found for each."""
+    past, kept = _history(args)
+    speaker = None if args.retrieval_only else _agent(args, spark)
+    for line in filter(str.strip, sys.stdin):
+        if speaker is None:
+            found = _search(Workspace(args.workspace), spark, [line.strip()], args.top_k, args.min_score)
+            asked = spark.createDataFrame([(0, line.strip())], "query_id long, question string")
+            print(answering.answer(asked, found, None, args.max_context_chars).first().answer, flush=True)
+            continue
+        got = speaker.run(line, past)
+        past = got.history
+        print(got.answer, flush=True)
+        if kept:
+            past.save(kept)
     return 0
 
 
@@ -300,46 +316,44 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--version", action="version", version=__version__)
     sub = p.add_subparsers(required=True)
 
-    def command(name, run, *positional, least=None):
+    def option(*flags, **more):
+        return lambda c: c.add_argument(*flags, **more)
+
+    def group(*options):
+        return lambda c: [o(c) for o in options]
+
+    number = lambda flag, n: option(flag, type=int, default=n)
+    flag = lambda *names: group(*(option(n, action="store_true") for n in names))
+    named = lambda *names: group(*(option(n, default=None) for n in names))
+    retrieval = lambda least: group(number("--top-k", 5), option("--min-score", type=float, default=least))
+    filters = named("--source", "--file-type")
+    embedding = group(option("--embedding", "--embedding-provider", default=None), option("--dimension", "--embedding-dimensions", type=int, default=None))
+    chunks = group(number("--max-chars", 1200), number("--overlap", 120), embedding)
+    context = number("--max-context-chars", answering.MAX_CHARS)
+    steps = number("--max-steps", agent.Agent.max_steps)
+    history = group(named("--history"), number("--history-max-turns", agent.History.max_turns))
+
+    def command(name, run, *parts):
         c = sub.add_parser(name)
-        c.set_defaults(run=run, least=least)
+        c.set_defaults(run=run)
         c.add_argument("--workspace", default=None)
-        for x in positional:
-            c.add_argument(x, nargs="+" if x == "urls" else None)
-        c.add_argument("--top-k", type=int, default=5)
-        c.add_argument("--min-score", type=float, default=0.0 if least is None else least)
-        for flag in ("--max-chars", "--overlap", "--dimension"):
-            c.add_argument(flag, type=int, default={"--max-chars": 1200, "--overlap": 120}.get(flag))
-        for flag in ("--embedding", "--report", "--compare"):
-            c.add_argument(flag, default=None)
-        for flag in ("--source", "--file-type", "--history"):
-            c.add_argument(flag, default=None)
-        c.add_argument("--max-pages", type=int, default=10)
-        c.add_argument("--max-depth", type=int, default=1)
-        c.add_argument("--delay", type=float, default=1.0)
-        for flag in ("--crawl", "--cross-domain", "--no-robots"):
-            c.add_argument(flag, action="store_true")
-        c.add_argument("--limit", type=int, default=0)
-        c.add_argument("--repeat", type=int, default=1)
-        for flag in ("--real", "--judge", "--calibrate"):
-            c.add_argument(flag, action="store_true")
-        c.add_argument("--max-file-mb", type=float, default=files.MAX_BYTES / (1 << 20))
-        for flag in ("--incremental", "--dry-run", "--web"):
-            c.add_argument(flag, action="store_true")
+        for x in parts:
+            x(c)
 
     command("init", init)
     command("version", version)
     command("doctor", doctor)
-    command("ingest", ingest, "path")
-    command("ingest-url", ingest_url, "urls")
-    command("search", search, "query")
-    command("ask", ask, "query", least=0.08)
-    command("chat", chat, least=0.08)
-    command("agent", run_agent, "query")
-    command("evaluate", evaluate, "samples")
-    command("harness", run_harness, "tasks")
+    command("ingest", ingest, option("path"), chunks, option("--max-file-mb", type=float, default=files.MAX_BYTES / (1 << 20)), flag("--incremental"))
+    crawl = group(number("--max-pages", 10), number("--max-depth", 1), option("--delay", type=float, default=1.0), flag("--crawl", "--cross-domain", "--no-robots"))
+    command("ingest-url", ingest_url, option("urls", nargs="+"), chunks, crawl)
+    command("search", search, option("query"), retrieval(0.0), filters)
+    command("ask", ask, option("query"), retrieval(0.08), filters, context, flag("--dry-run", "--retrieval-only", "--json"))
+    command("chat", chat, retrieval(0.08), context, steps, history, flag("--web", "--retrieval-only"))
+    command("agent", run_agent, option("query"), steps, history, flag("--web"))
+    command("evaluate", evaluate, option("samples"), retrieval(0.0))
+    command("harness", run_harness, option("tasks"), number("--limit", 0), number("--repeat", 1), steps, named("--report", "--compare"), flag("--real", "--judge", "--calibrate"))
     command("list-documents", list_documents)
-    command("rebuild-index", rebuild_index)
+    command("rebuild-index", rebuild_index, embedding)
     return p
 
 

@@ -116,6 +116,8 @@ def test_commands_over_a_changing_folder(spark, tmp_path, run):
     code, meta = run("doctor")
     assert code == 0 and (meta["provider_fingerprint"], meta["dimension"], meta["chunk_count"]) == ("chinese:chinese-ngram-v1:d512", 512, 5)
     assert run("search", "protocols")[0] == 0
+    code, said = run("ask", "protocols", "--retrieval-only", "--json", "--max-context-chars", "120")
+    assert code == 0 and said["question"] == "protocols" and said["answer"] == said["context"] and len(said["context"]) <= 120
     # Without --incremental nothing of the old version stays.
     (docs / "0.txt").unlink()
     _, plain = run("ingest", str(docs))
@@ -131,3 +133,15 @@ def test_doctor_finds_vectors_of_another_provider(spark, tmp_path, run):
     assert run("doctor")[0] == 1
     store.write({"meta": store.read("meta").withColumns({"provider_fingerprint": F.lit("hash:hash-v1:d384"), "chunk_count": F.lit(7).cast("long")})}, store.version())
     assert run("doctor")[0] == 1
+
+
+def test_each_command_has_its_own_options(capsys):
+    p = cli.parser()
+    args = p.parse_args(["chat", "--max-steps", "3", "--history-max-turns", "5", "--retrieval-only"])
+    assert (args.max_steps, args.history_max_turns, args.retrieval_only, args.min_score) == (3, 5, True, 0.08)
+    assert p.parse_args(["search", "q"]).min_score == 0.0
+    assert p.parse_args(["ingest", "x", "--embedding-provider", "chinese", "--embedding-dimensions", "64"]).dimension == 64
+    for wrong in (["search", "q", "--crawl"], ["doctor", "--top-k", "3"], ["ask", "q", "--delay", "1"], ["ingest"]):
+        with pytest.raises(SystemExit):
+            p.parse_args(wrong)
+    capsys.readouterr()
