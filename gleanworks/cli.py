@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import schemas, workspace
 from .functions import identity
 from .functions.embedders import create_embedder
-from .operators import agent, answering, chunking, crawling, evaluation, harness, incremental, index, web
+from .operators import agent, agent_runs, answering, chunking, crawling, evaluation, harness, incremental, index, web
 from .sources import files, html, remote
 from .sources.store import Store, bucket
 
@@ -181,7 +181,7 @@ def run_harness(args, spark: SparkSession) -> int:
     none = F.array().cast("array<string>")
     tasks = rows.select(F.col("id").alias("task_id"), "query", F.coalesce("expected_points", none).alias("expected_points"), F.coalesce("task_type", F.lit("answerable")).alias("task_type"), F.coalesce("auto", F.lit(False)).alias("auto"), F.coalesce("category", F.lit("")).alias("category"), F.coalesce("relevant_chunk_ids", none).alias("relevant_chunk_ids"), F.coalesce("relevant_source_paths", none).alias("relevant_source_paths"))
     if args.real:
-        audits = _agent_audits(ws, spark, listed, args.repeat, args.max_steps)
+        audits = _agent_audits(ws, spark, tasks.select("task_id", "query"), args.repeat, args.max_steps)
     else:
         results = _search(ws, spark, [r.query for r in listed], 5, 0.08).cache()
         ids = spark.createDataFrame([(i, r.id) for i, r in enumerate(listed)], "query_id long, task_id string")
@@ -213,17 +213,23 @@ def run_harness(args, spark: SparkSession) -> int:
     return 0
 
 
-def _agent_audits(ws: Workspace, spark: SparkSession, listed: list, repeat: int, steps: int | None = None) -> DataFrame:
-    """What the agent says and does, task by task: a person reads these few."""
-    tool = agent.SearchTool(lambda q, k, least: [r.asDict(True) for r in _search(ws, spark, [q], k, least).orderBy("rank").collect()])
-    out = []
-    for run in range(repeat):
-        for r in listed:
-            got = agent.Agent(tool, remote.ChatClient.from_environment(), max_steps=steps).run(r.query)
-            seen = [{"source_type": e.get("source_type") or "local", "source_path": e.get("source_path"), "chunk_id": e.get("chunk_id"), "text": e.get("text")} for e in got.evidence]
-            out.append((r.id, run, got.answer, seen, [{"name": c["name"], "results": seen if c["name"] == agent.SEARCH else []} for c in got.tool_calls]))
-    each = "struct<source_type:string,source_path:string,chunk_id:string,text:string>"
-    return spark.createDataFrame(out, f"task_id string, run_id int, answer string, evidence array<{each}>, tool_calls array<struct<name:string,results:array<{each}>>>")
+def _agent_audits(ws: Workspace, spark: SparkSession, tasks: DataFrame, repeat: int, steps: int | None = None) -> DataFrame:
+    """What the agent says and does, all tasks and runs at once: a batch of searches for each step."""
+    meta = ws.read(spark, "meta").first()
+    embedder = create_embedder(meta.provider_name, meta.dimension or None)
+    index.check_provider(meta.provider_fingerprint, meta.dimension, embedder)
+
+    def batch(wanted: DataFrame) -> DataFrame:
+        found = index.search(ws.read(spark, "index"), wanted.select("query_id", "min_score", embedder.column(F.col("query")).alias("query_vector")), agent.MOST_RESULTS)
+        near = index.search_results(found.join(wanted.select("query_id", "top_k"), "query_id").filter(F.col("rank") <= F.col("top_k")).drop("top_k"), ws.read(spark, "chunks"))
+        return near.select("query_id", "rank", F.to_json(F.struct(*(c for c in near.columns if c != "query_id")), {"ignoreNullFields": "false"}).alias("result"))
+
+    runs = agent_runs.run_agents(tasks, remote.ChatClient.from_environment(), batch, f"{ws.store(spark).root}/runs", repeat, steps)
+    each = "array<struct<source_type:string,source_path:string,chunk_id:string,text:string>>"
+    local = lambda r: F.struct(F.coalesce(r["source_type"], F.lit("local")).alias("source_type"), r["source_path"].alias("source_path"), r["chunk_id"].alias("chunk_id"), r["text"].alias("text"))
+    seen = lambda c: F.transform(F.coalesce(c["result"]["results"], F.array().cast(each)), local)
+    calls = F.from_json("tool_calls", f"array<struct<name:string,result:struct<results:{each}>>>")
+    return runs.select("task_id", "run_id", "answer", F.from_json("evidence", each).alias("evidence"), F.transform(calls, lambda c: F.struct(c["name"].alias("name"), seen(c).alias("results"))).alias("tool_calls"))
 
 
 def _agent(args, spark: SparkSession) -> agent.Agent:

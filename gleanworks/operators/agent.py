@@ -83,6 +83,10 @@ class History:
         return cls(tuple((t["user"], t["assistant"]) for t in value.get("turns", [])), value.get("max_turns", default))
 
 
+#: Fixed value: results that a search may ask for.
+MOST_RESULTS = 20
+
+
 def _arguments(text: Any, allowed: set[str]) -> dict:
     try:
         got = json.loads(text)
@@ -110,7 +114,7 @@ class SearchTool:
     min_score: float = 0.08
 
     def __post_init__(self) -> None:
-        _number(self.top_k, (int,), 1, 20, "top_k")
+        _number(self.top_k, (int,), 1, MOST_RESULTS, "top_k")
         _number(self.min_score, (int, float), -1, 1, "min_score")
 
     def invoke(self, arguments: str) -> dict:
@@ -118,7 +122,7 @@ class SearchTool:
         query = a.get("query")
         if not isinstance(query, str) or not query.strip() or len(query.strip()) > 4000:
             raise ToolError("query must be a text of 1 to 4000 characters")
-        k = self.top_k if a.get("top_k") is None else _number(a["top_k"], (int,), 1, 20, "top_k")
+        k = self.top_k if a.get("top_k") is None else _number(a["top_k"], (int,), 1, MOST_RESULTS, "top_k")
         least = self.min_score if a.get("min_score") is None else float(_number(a["min_score"], (int, float), -1, 1, "min_score"))
         results = self.search(query.strip(), k, least)
         return {"query": query.strip(), "top_k": k, "min_score": least, "count": len(results), "results": results}
