@@ -77,10 +77,11 @@ class Store:
         schema = StructType.fromJson(table["schema"])
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def write(self, tables: dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]], expected: int, only: dict[str, Iterable[int]] | None = None) -> int:
+    def write(self, tables: dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]], expected: int, only: dict[str, Iterable[int]] | None = None, notes: dict[str, int] | None = None) -> int:
         """The version after ``expected``. ``only``: of these tables just these buckets are replaced, and
         the rows given are theirs; other tables given are replaced whole, those not given stay. A
-        table may be a function: it is given one that reads the tables before it as they were just written."""
+        table may be a function: it is given one that reads the tables before it as they were just written.
+        ``notes`` are kept with the version, and those of earlier ones with it: how far a stream was, say."""
         before = self.current() or {"tables": {}, "version": 0}
         if before["version"] != expected:
             raise LostRace(f"version {before['version']} is there; this began from {expected}")
@@ -92,7 +93,7 @@ class Store:
                 some = (only or {}).get(name)
                 kept = {} if some is None or name not in after else {b: p for b, p in after[name]["at"].items() if int(b) not in set(some)}
                 after[name] = {"schema": df.schema.jsonValue(), "at": kept | self._store(df, f"{folder}/{name}")}
-            self._publish({"version": n, "buckets": self.buckets, "tables": after}, n)
+            self._publish({"version": n, "buckets": self.buckets, "tables": after, "notes": before.get("notes", {}) | (notes or {})}, n)
         except BaseException:
             self._fs.delete(self._path(f"{self.root}/{folder}"), True)
             raise

@@ -90,6 +90,37 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main(["doctor", "--workspace", str(tmp_path / "no")]) == 1
 
 
+def test_a_stream_into_the_store(spark, tmp_path):
+    """A batch that is taken again after its version was made changes nothing; one that was lost before is made."""
+    from gleanworks.sources.store import Store
+
+    source, root, mark = tmp_path / "in", str(tmp_path / "ws"), tmp_path / "c"
+    source.mkdir()
+    run = lambda: adapters.store_files(spark, str(source), root, "files", str(mark)).awaitTermination()
+    held = lambda name: {r.source_path.rsplit("/", 1)[1]: r.content_hash for r in Store(spark, root).read(name).collect()}
+    (source / "a.txt").write_text("Text a.")
+    (source / "b.md").write_text("# B\nText b.")
+    run()
+    store = Store(spark, root)
+    assert store.version() == 1 and store.current()["notes"] == {"files": 0} and set(held("documents")) == {"a.txt", "b.md"}
+    (source / "c.txt").write_text("Text c.")
+    (source / "d.txt").write_bytes(b"\xff\x00\x01" * 99)
+    run()
+    assert store.version() == 2 and set(held("chunks")) == {"a.txt", "b.md", "c.txt"}
+    assert [r.source_path[-5:] for r in store.read("failures").collect()] == ["d.txt"]
+    before = store.current()
+    for p in (mark / "commits").glob("*1*"):
+        p.unlink()
+    run()
+    assert store.current() == before
+    for p in (mark / "commits").glob("*1*"):
+        p.unlink()
+    for p in [p for p in (tmp_path / "ws" / "versions").iterdir() if "2.json" in p.name]:  # and its checksum
+        p.unlink()
+    run()
+    assert store.version() == 2 and set(held("chunks")) == {"a.txt", "b.md", "c.txt"}
+
+
 def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
