@@ -118,8 +118,10 @@ def crawl_sites(spark: SparkSession, starts: list[str], visit: Callable[[DataFra
             place = F.row_number().over(Window.partitionBy("site").orderBy("key"))
             todo = pending.join(good, "site").withColumn("place", place).filter(F.col("place") <= config.max_pages - F.coalesce("read", F.lit(0))).drop("place", "read")
             todo = written(todo.withColumn("host", F.coalesce(host(F.col("url")), F.lit(""))))
-            if todo.isEmpty():
+            n = todo.count()
+            if not n:
                 break
+            last = n == pending.count()  # nothing of the frontier is left for another round
             if robots and config.respect_robots:
                 hosts = todo.select(F.regexp_extract("url", "^[^/]*//[^/?#]+", 0).alias("origin"), "host").groupBy("host").agg(F.min("origin").alias("origin"))
                 fresh = written(robots(hosts if rules is None else hosts.join(rules.select("host"), "host", "left_anti")))
@@ -138,6 +140,8 @@ def crawl_sites(spark: SparkSession, starts: list[str], visit: Callable[[DataFra
             hosts_seen = touched if hosts_seen is None else hosts_seen.union(touched)
             here.append(done)
             tables.append(done)
+            if last:
+                break
         if not here:
             break
         rows = together(here).withColumn("depth", F.lit(depth))
