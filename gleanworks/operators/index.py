@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,8 +18,10 @@ SCHEMA_VERSION = 1
 #: Bytes of query vectors sent to the executors at once; of a block of rows that meets one of queries.
 QUERY_BYTES = 16 << 20
 ROW_BYTES = 64 << 20
-#: Scores held at once.
-TILE = 4 << 20
+#: Scores held at once, of how many queries at most, and pairs that are scored exactly at once.
+TILE, TALL, PAIRS = 4 << 20, 512, 16 << 10
+#: Pairs of blocks for each core at least, where queries are cut into blocks.
+PAIRS_PER_CORE = 4
 #: Digits by which scores are ranked, so that equal vectors tie exactly.
 DIGITS = 12
 
@@ -124,19 +128,30 @@ class _Best:
     scores and a few times as many candidates as are asked for are held at once."""
 
     def __init__(self, least: np.ndarray, k: int):
-        self.kth, self.k = least.copy(), k
+        self.kth, self.k = least.astype(np.float64), k
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        floor = self.kth
-        if scores.shape[1] > 4 * self.k:
-            floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
-        i, j = np.nonzero(scores >= floor[:, None])
-        self.parts.append((i, ids[j], scores[i, j]))
-        self.held += len(i)
-        if self.held > 1024 + 8 * self.k * len(self.kth):
-            self.cut()
+    def add(self, scores: np.ndarray, ids: np.ndarray, first: int = 0, slack: float = 0.0, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
+        """``scores``: of queries from ``first`` on. If they may be off by ``slack``, those that
+        may be among the best are scored anew by ``exact`` (places of queries and of ids)."""
+        rows, wide = scores.shape
+        kth = self.kth[first : first + rows]
+        floor = lambda: np.clip(kth - slack, -2, 2).astype(scores.dtype)[:, None]
+        above = scores >= floor()
+        if wide > 4 * self.k and np.count_nonzero(above) > 4 * self.k * rows:
+            # as many of this tile are as good as its k-th, so the k-th of all is no worse
+            np.fmax(kth, np.partition(scores, -self.k, axis=1)[:, -self.k].astype(np.float64) - slack, out=kth)
+            above = scores >= floor()
+        at = np.flatnonzero(above)
+        for some in np.split(at, range(PAIRS, len(at), PAIRS)):
+            i, j = np.divmod(some, wide)
+            found = scores[i, j] if exact is None else exact(i + first, j)
+            keep = found >= kth[i]
+            self.parts.append((i[keep] + first, ids[j[keep]], found[keep]))
+            self.held += int(keep.sum())
+            if self.held > 1024 + 8 * self.k * len(self.kth):
+                self.cut()
 
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i, ids, scores = (np.concatenate(x) for x in zip(*self.parts, strict=True))
@@ -152,19 +167,28 @@ class _Best:
         return self.parts[0]
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n > 0, n, 1)
+
+
 def _matrix(column) -> np.ndarray:
     """Unit vectors of a column of equally long lists."""
     v = pc.list_flatten(column)
     v = (v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v).to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
-    n = np.linalg.norm(v, axis=1, keepdims=True)
-    return v / np.where(n > 0, n, 1)
+    return _unit(v)
 
 
-def _score(best: _Best, q: np.ndarray, ids: np.ndarray, vectors) -> None:
-    wide = max(1, TILE // max(1, len(q)))
+def _score(best: _Best, q: np.ndarray, ids: np.ndarray, column, matrix: Callable = _matrix) -> None:
+    """All pairs are scored in single precision, whose error has a bound; only those that the bound can't rule out in double."""
+    single, slack = q.astype(np.float32), (q.shape[1] + 8) * float(np.finfo(np.float32).eps)
+    wide = max(1, min(TILE // min(max(1, len(q)), TALL), TILE // q.shape[1]))
     for at in range(0, len(ids), wide):
-        some = _matrix(vectors.slice(at, wide))
-        best.add(np.round(q @ some.T, DIGITS), ids[at : at + wide])
+        some = matrix(column.slice(at, wide))
+        turned, named = some.astype(np.float32).T, ids[at : at + wide]
+        exact = lambda i, j: np.round(np.einsum("ij,ij->i", q[i], some[j]), DIGITS)  # noqa: B023, E731
+        for first in range(0, len(q), TALL):
+            best.add(single[first : first + TALL] @ turned, named, first, slack, exact)
 
 
 def _found(asked, best: _Best, kind: pa.DataType, id_col: str) -> pa.RecordBatch | None:
@@ -214,7 +238,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, min_score: float =
 
         found = rows.mapInArrow(score, schema)
     else:
-        against = max(1, -(-rows.count() * width // row_bytes))
+        n = rows.count()
+        against = max(1, -(-n * width // row_bytes), min(n, -(-PAIRS_PER_CORE * index.sparkSession.sparkContext.defaultParallelism // blocks)))
 
         def meet(t: pa.Table, some: pa.Table) -> pa.Table:
             best = _Best(t["least"].to_numpy(), k)

@@ -74,9 +74,9 @@ def vector_topk_min_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT query_id, rank, vec_id, round(s, 6) AS score FROM ({_ranked('query_id <> vec_id', 3).replace(' WHERE q.vec_id % 50 = 0', '')})")
 def vector_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """All rows as queries, in blocks of both sides (small ones, so that small tables have several)."""
+    """All rows as queries, in blocks of both sides where they are too many to be sent."""
     rows, _ = _vectors(spark, d)
-    found = index.search(rows, rows.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector")), 4, id_col="vec_id", query_bytes=64 << 10, row_bytes=128 << 10).filter("vec_id <> query_id")
+    found = index.search(rows, rows.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector")), 4, id_col="vec_id").filter("vec_id <> query_id")
     again = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return _hits(found.withColumn("rank", F.row_number().over(again)).filter("rank <= 3"))
 
