@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +70,22 @@ def collapse_text(text: str) -> str:
 def ordered_distinct(labels: Column) -> Column:
     """Trimmed labels without blanks or repeats, in their first order."""
     return F.array_distinct(F.filter(F.transform(labels, strip), lambda x: x != ""))
+
+
+#: Bytes of text that Python objects are made of at once.
+SLICE_BYTES = 1 << 20
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, length) of stretches of about ``most`` bytes; Spark's batches have ten thousand rows of any size."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    first, before = 0, 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield first, last - first
+        first, before = last, int(ends[last - 1])
+
+
+def by_slices(make, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``make`` of each slice's columns as lists, put together; slices are cut by the first column."""
+    return pa.concat_arrays([pa.array([], kind), *(make(*(c.slice(*at).to_pylist() for c in columns)) for at in slices(columns[0]))])
