@@ -6,11 +6,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity
+from ..functions.text import by_slices
 
 #: Characters behind which a piece may end.
 BOUNDARIES = "\n。！？；.!?; "
@@ -55,12 +57,20 @@ def split_text(text: str, config: ChunkConfig = ChunkConfig()) -> list[tuple[str
     return [(x, at, at + len(x)) for at, x in trimmed if x]
 
 
+_PIECE = pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+
+
 def pieces(text: Column, config: ChunkConfig = ChunkConfig()) -> Column:
     """array<struct<text, start, end>> of a text column."""
 
-    @F.pandas_udf("array<struct<text:string,start:int,end:int>>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"text": p, "start": a, "end": b} for p, a, b in split_text(t or "", config)])
+    def cut(texts: list[str | None]) -> pa.Array:
+        found = [split_text(t or "", config) for t in texts]
+        flat = [pa.array([x[n] for f in found for x in f], _PIECE[n].type) for n in range(3)]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.StructArray.from_arrays(flat, fields=list(_PIECE)))
+
+    @F.arrow_udf("array<struct<text:string,start:int,end:int>>")
+    def run(texts: pa.Array) -> pa.Array:
+        return by_slices(cut, pa.list_(_PIECE), texts)
 
     return run(text)
 

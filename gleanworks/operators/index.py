@@ -199,7 +199,7 @@ def _found(asked, best: _Best, kind: pa.DataType, id_col: str) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(asked.to_pylist(), asked.type).take(pa.array(i)), pa.array(ids.tolist(), kind), pa.array(scores, pa.float64())], ["query_id", id_col, "score"])
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, min_score: float = -1.0, where: Column | None = None, id_col: str = "chunk_id", query_bytes: int = QUERY_BYTES, row_bytes: int = ROW_BYTES) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, min_score: float = -1.0, where: Column | None = None, id_col: str = "chunk_id", query_bytes: int = QUERY_BYTES, row_bytes: int = ROW_BYTES, embedder=None) -> DataFrame:
     """The k nearest rows of each query by cosine, exactly.
 
     ``index``: id_col, vector. ``queries``: query_id, query_vector, and optionally
@@ -209,6 +209,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, min_score: float =
     blocks is one task, whose size doesn't grow with either table. Either way only k rows a
     query and task are shuffled for the ranks. Ties go to the smaller id. Queries
     without length, and rows without a vector, find nothing and aren't found.
+    With an ``embedder``, rows have a text in place of a vector; if queries are sent to
+    them, vectors are made where they are scored and go nowhere else.
     """
     if where is not None:
         index = index.filter(where)
@@ -219,7 +221,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, min_score: float =
     width = 8 * (first.d if first else 1)
     blocks = -(-asked.count() * width // query_bytes)
     asked = asked.filter(F.coalesce(vector.norm(F.col("v").cast("array<double>")) > 0, F.lit(False)))
-    rows = index.select(F.col(id_col).alias("id"), "vector").filter("vector IS NOT NULL")
+    made = embedder is not None and (blocks > 1 or not hasattr(embedder, "matrix"))
+    if made:
+        index = build(index, embedder)
+    source = "vector" if embedder is None or made else "text"
+    rows = index.select(F.col(id_col).alias("id"), source).filter(F.col(source).isNotNull())
     kind, qkind = rows.schema["id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
     schema = f"query_id {qkind}, {id_col} {kind}, score double"
     if blocks < 2:
@@ -230,9 +236,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, min_score: float =
             if not t.num_rows:
                 return
             best, q, id_type = _Best(t["least"].to_numpy(), k), _matrix(t["v"]), pa.null()
+            matrix = _matrix if source == "vector" else lambda texts: _unit(embedder.matrix(texts.to_pylist()))
             for batch in batches:
                 id_type = batch.schema.field(0).type
-                _score(best, q, batch.column(0).to_numpy(zero_copy_only=False), batch.column(1))
+                _score(best, q, batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), matrix)
             if (out := _found(t["query_id"].combine_chunks(), best, id_type, id_col)) is not None:
                 yield out
 
@@ -253,7 +260,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, min_score: float =
         met = rows.withColumns({"rb": F.pmod(F.xxhash64("id"), F.lit(against)).cast("int")}).withColumn("qb", every(blocks))
         found = dealt.groupBy("qb", "rb").cogroup(met.groupBy("qb", "rb")).applyInArrow(meet, schema)
     along = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return found.withColumn("rank", F.row_number().over(along)).filter(F.col("rank") <= k)
+    top = found.withColumn("rank", F.row_number().over(along)).filter(F.col("rank") <= k)
+    return F.broadcast(top) if blocks < 2 else top  # k rows for each of the queries that were sent
 
 
 def search_results(found: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -193,9 +193,9 @@ def chunk_features_stats(spark: SparkSession, d: str) -> DataFrame:
 def _text_search(spark: SparkSession, d: str, k: int = 5, least: float = 0.08) -> tuple[DataFrame, DataFrame]:
     embedder = hash_embedder()
     chunks = text_chunks(spark, d)
-    made = index.build(chunks.filter(text.strip(F.col("text")) != ""), embedder)
+    rows = chunks.filter(text.strip(F.col("text")) != "")
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), embedder.column(F.col("text")).alias("query_vector"))
-    return index.search_results(index.search(made, asked, k, least), chunks), asked
+    return index.search_results(index.search(rows, asked, k, least, embedder=embedder), chunks), asked
 
 
 @query()
