@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, text, vector
-from ..functions.embedders import hash_embedder, word_features
+from ..functions.embedders import hash_embedder, word_feature_counts
 from ..operators import agent, answering, chunking, evaluation, harness, incremental, index, web
 from ..sources import html
 
@@ -172,12 +172,12 @@ def doc_manifest(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "source_path", "block_count", "chunk_count", F.array_join("extraction_methods", ",").alias("methods"), F.array_join("encodings", ",").alias("encodings"), F.size("pages").alias("pages"))
 
 
-def _feature_stats(s: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in s:
-        f = word_features((t or "").lower())
-        rows.append((sum(x.startswith("w:") for x, _ in f), sum(x.startswith("c2:") for x, _ in f), sum(x.startswith("c3:") for x, _ in f), sum(w for _, w in f)))
-    return pd.DataFrame(rows, columns=["words", "pairs", "triples", "weight"])
+_STATS = "words long, pairs long, triples long, weight double"
+
+
+def _feature_stats(texts: list[str | None]) -> pa.Array:
+    counted = [word_feature_counts((t or "").lower()) for t in texts]
+    return pa.array([{"words": w, "pairs": p, "triples": t, "weight": x} for w, p, t, x in counted], pa.struct([*((k, pa.int64()) for k in ("words", "pairs", "triples")), ("weight", pa.float64())]))
 
 
 @query(r"""SELECT doc_id, CAST(count(w) AS BIGINT) AS words, CAST(coalesce(sum(CASE WHEN length(w) > 1 THEN length(w) - 1 END), 0) AS BIGINT) AS pairs,
@@ -186,7 +186,12 @@ def _feature_stats(s: pd.Series) -> pd.DataFrame:
   FROM documents LEFT JOIN LATERAL (SELECT unnest(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS w) ON TRUE GROUP BY doc_id""")
 def chunk_features_stats(spark: SparkSession, d: str) -> DataFrame:
     """Features of whole documents: how many of each kind, and their weight."""
-    got = read(spark, d, "documents").select("doc_id", F.pandas_udf(_feature_stats, "words long, pairs long, triples long, weight double")("text").alias("f"))
+
+    @F.arrow_udf(_STATS)
+    def stats(texts: pa.Array) -> pa.Array:
+        return text.by_slices(_feature_stats, _feature_stats([]).type, texts)
+
+    got = read(spark, d, "documents").select("doc_id", stats("text").alias("f"))
     return got.select("doc_id", "f.words", "f.pairs", "f.triples", F.round("f.weight", 4).alias("weight"))
 
 
