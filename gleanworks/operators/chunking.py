@@ -75,17 +75,18 @@ def pieces(text: Column, config: ChunkConfig = ChunkConfig()) -> Column:
     return run(text)
 
 
-def chunk_blocks(blocks: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+def chunk_blocks(blocks: DataFrame, config: ChunkConfig = ChunkConfig(), one_block: bool = False) -> DataFrame:
     """Chunks of blocks.
 
     ``blocks``: doc_id, source_id, source_path, file_type, content_hash,
     ingestion_fingerprint, block_pos, text, extraction_method, page_number,
     heading_path, normalized_char_start, warnings. Chunk numbers run on through
-    a document's blocks; the only shuffle is by document.
+    a document's blocks; the only shuffle is by document, and there is none where
+    each has ``one_block``, whose pieces are numbered already.
     """
     cut = blocks.select("*", F.posexplode(pieces(F.coalesce("text", F.lit("")), config)).alias("piece_pos", "piece"))
     along = Window.partitionBy("doc_id").orderBy("block_pos", "piece_pos")
-    numbered = cut.withColumn("chunk_index", F.row_number().over(along) - 1)
+    numbered = cut.withColumn("chunk_index", F.col("piece_pos") if one_block else F.row_number().over(along) - 1)
     chunk_hash = identity.sha256(F.col("piece.text"))
     fp = F.lit(config.fingerprint)
     start, end = (F.col("normalized_char_start") + F.col(f"piece.{k}") for k in ("start", "end"))

@@ -34,7 +34,7 @@ def job1_index_documents(spark: SparkSession, d: str) -> DataFrame:
     folder = _new_folder(spark, "job1")
     for _ in range(2):
         found = index_documents.run(spark, f"{d}/documents.parquet", f"{folder}/store", f"{folder}/checkpoint")
-    return found.select("chunk_id", "source_path", "chunk_index", "char_start", "char_end", "content_hash", "lang", F.size("vector").alias("dimension"))
+    return found.select("chunk_id", "source_path", "chunk_index", "char_start", "char_end", "content_hash", "lang", "dimension")
 
 
 @query(f"""WITH top AS (

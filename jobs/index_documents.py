@@ -40,18 +40,37 @@ from gleanworks.operators import chunking, index
 log = logging.getLogger("jobs.index_documents")
 
 CONFIG = Path(__file__).with_suffix(".json")
+#: Bytes of text that a task cuts, embeds and writes, about.
+TASK_BYTES = 16 << 20
 MANIFEST = "source_path string, source_id string, doc_id string, content_hash string, lang string, n_chars long, settings string, status string, batch long"
 CHUNKS = "chunk_id string, doc_id string, source_path string, text string, chunk_index int, content_hash string, char_start int, char_end int, vector array<double>, norm double, batch long, bucket int"
 
 
-def _files(rows: DataFrame, settings: str) -> DataFrame:
-    """Rows of documents as text files with their identities, one for each path."""
+def _named(rows: DataFrame) -> DataFrame:
+    """Rows of documents with their paths and the hashes of their texts."""
     path = F.when(F.col("doc_id").isNotNull(), F.concat(F.lit("/docs/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    named = rows.select(path.alias("source_path"), F.struct(identity.sha256(F.col("text")).alias("content_hash"), "text", "lang").alias("v"))
-    found = named.filter("source_path IS NOT NULL").groupBy("source_path").agg(F.max("v").alias("v"))
-    lost = named.filter("source_path IS NULL").select("source_path", "v")
-    both = found.unionByName(lost).select("source_path", "v.*").withColumn("source_id", identity.source_id(F.col("source_path")))
-    return both.withColumns({"doc_id": identity.document_id(F.col("source_id"), F.col("content_hash")), "n_chars": F.length("text").cast("long"), "settings": F.lit(settings)})
+    return rows.select(path.alias("source_path"), identity.sha256(F.col("text")).alias("content_hash"), "lang", F.length("text").cast("long").alias("n_chars"), "text")
+
+
+def _files(named: DataFrame, settings: str, value: str, *by: str) -> DataFrame:
+    """Text files with their identities and ``value``, one for each path. Equal hashes have equal texts, so that lang decides between them."""
+    found = named.groupBy("source_path", *by).agg(F.max(F.struct("content_hash", "lang", value)).alias("v")).select("source_path", "v.*")
+    found = found.withColumn("source_id", identity.source_id(F.col("source_path")))
+    return found.withColumns({"doc_id": identity.document_id(F.col("source_id"), F.col("content_hash")), "settings": F.lit(settings)})
+
+
+def _with_status(files: DataFrame, past: DataFrame) -> DataFrame:
+    """Files that are new or have changed since the manifest ``past``, or are gone."""
+    past = _latest(past).select("source_path", F.col("content_hash").alias("past_hash"), F.col("settings").alias("past_settings"), F.col("status").alias("past_status"))
+    known = F.col("past_status").isNotNull() & (F.col("past_status") != "removed")
+    status = (
+        F.when(F.col("source_path").isNull(), "rejected")
+        .when(F.col("content_hash").isNull(), F.when(known, "removed").otherwise("absent"))
+        .when(~F.coalesce(known, F.lit(False)), "added")
+        .when((F.col("content_hash") == F.col("past_hash")) & (F.col("settings") == F.col("past_settings")), "unchanged")
+        .otherwise("updated")
+    )
+    return files.join(past, "source_path", "left").withColumn("status", status).filter("status NOT IN ('unchanged', 'absent')")
 
 
 def _chunks(files: DataFrame, config: chunking.ChunkConfig) -> DataFrame:
@@ -60,7 +79,7 @@ def _chunks(files: DataFrame, config: chunking.ChunkConfig) -> DataFrame:
         "file_type": F.lit("txt"), "ingestion_fingerprint": F.lit(identity.ingestion_fingerprint("txt")), "block_pos": F.lit(0), "extraction_method": F.lit("text"), "page_number": F.lit(None).cast("int"),
         "heading_path": F.array().cast("array<string>"), "normalized_char_start": F.lit(0), "warnings": F.array().cast("array<string>"),
     }
-    made = chunking.chunk_blocks(files.withColumns(fixed), config)
+    made = chunking.chunk_blocks(files.withColumns(fixed), config, one_block=True)
     return made.withColumnsRenamed({"normalized_char_start": "char_start", "normalized_char_end": "char_end"})
 
 
@@ -76,32 +95,31 @@ def _latest(manifest: DataFrame) -> DataFrame:
 
 
 def take(batch: DataFrame, n: int, output: str, config: dict) -> None:
-    """Batch ``n``: what is new or has changed since the batches before."""
+    """Batch ``n``: what is new or has changed since the batches before.
+
+    Texts are shuffled once, by path, and a task cuts, embeds and writes what it got: vectors, which are
+    larger, aren't moved. A bucket is the same hash, so each task writes into one. The manifest needs no texts.
+    """
     spark = batch.sparkSession
     cut, embedder = chunking.ChunkConfig(config["max_chars"], config["overlap_chars"]), hash_embedder(config["dimension"])
     settings = f"{cut.fingerprint}|{embedder.fingerprint}"
-    files = _files(batch.select("doc_id", "text", "lang", "source"), settings)
-    past = _latest(_table(spark, f"{output}/manifest", MANIFEST, "batch").filter(F.col("batch") < n))
-    past = past.select("source_path", F.col("content_hash").alias("past_hash"), F.col("settings").alias("past_settings"), F.col("status").alias("past_status"))
-    known = F.col("past_status").isNotNull() & (F.col("past_status") != "removed")
-    status = (
-        F.when(F.col("source_path").isNull(), "rejected")
-        .when(F.col("text").isNull(), F.when(known, "removed").otherwise("absent"))
-        .when(~F.coalesce(known, F.lit(False)), "added")
-        .when((F.col("content_hash") == F.col("past_hash")) & (F.col("settings") == F.col("past_settings")), "unchanged")
-        .otherwise("updated")
-    )
-    changed = files.join(past, "source_path", "left").withColumn("status", status).filter("status NOT IN ('unchanged', 'absent')").withColumn("batch", F.lit(n).cast("long"))
-    chunks = index.build(_chunks(changed.filter("status IN ('added', 'updated')"), cut), embedder)
+    rows = batch.select("doc_id", "text", "lang", "source")
+    read = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    tasks = config["buckets"] * max(1, -(-read["bytes"] // (config["buckets"] * TASK_BYTES)))
+    named, past = _named(rows), _table(spark, f"{output}/manifest", MANIFEST, "batch").filter(F.col("batch") < n)
+    # Of a path's rows, those without a text count for the manifest only: they have the least hash.
+    texts = _files(named.filter("source_path IS NOT NULL AND text IS NOT NULL").repartition(tasks, "source_path"), settings, "text")
+    chunks = index.build(_chunks(_with_status(texts, past.repartition(tasks, "source_path")), cut), embedder)
     kept = [c.split()[0] for c in CHUNKS.split(", ") if not c.startswith(("batch", "bucket"))]
-    bucket = F.pmod(F.xxhash64("source_path"), F.lit(config["buckets"])).cast("int")
+    made = chunks.select(*kept, F.lit(n).cast("long").alias("batch"), F.pmod(F.hash("source_path"), F.lit(config["buckets"])).alias("bucket"))
+    # Rows without a path are kept one by one.
+    lost = F.when(F.col("source_path").isNull(), F.monotonically_increasing_id())
+    changed = _with_status(_files(named.withColumn("lost", lost), settings, "n_chars", "lost"), past).withColumn("batch", F.lit(n).cast("long"))
     _table(spark, f"{output}/chunks", CHUNKS, "batch", "bucket")
-    # A large bucket is written as several files: rebalanced partitions are split by size.
-    rows = chunks.select(*kept, F.lit(n).cast("long").alias("batch"), bucket.alias("bucket")).hint("rebalance", "bucket")
-    for df, name, parts in ((rows, "chunks", ("batch", "bucket")), (changed.select(*(c.split()[0] for c in MANIFEST.split(", "))), "manifest", ("batch",))):
+    for df, name, parts in ((made, "chunks", ("batch", "bucket")), (changed.select(*(c.split()[0] for c in MANIFEST.split(", "))), "manifest", ("batch",))):
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{output}/{name}")
     done = spark.read.schema(MANIFEST).parquet(f"{output}/manifest").filter(F.col("batch") == n).groupBy("status").count().orderBy("status").collect()  # five kinds at most
-    log.info("batch %d: read %d rows, wrote %d chunks of %s to %s", n, batch.count(), spark.read.schema(CHUNKS).parquet(f"{output}/chunks").filter(F.col("batch") == n).count(), {r["status"]: r["count"] for r in done}, output)
+    log.info("batch %d: read %d rows, wrote %d chunks of %s to %s", n, read["rows"], spark.read.schema(CHUNKS).parquet(f"{output}/chunks").filter(F.col("batch") == n).count(), {r["status"]: r["count"] for r in done}, output)
 
 
 def _streamable(spark: SparkSession, path: str) -> str:
@@ -127,9 +145,10 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, confi
 
 
 def current(spark: SparkSession, output: str) -> DataFrame:
-    """The chunks of the latest version of each document, with its lang."""
+    """The chunks of the latest version of each document, with its lang. Vectors are measured before the join, which moves them only for who asks for them."""
     last = _latest(_table(spark, f"{output}/manifest", MANIFEST, "batch")).filter("status <> 'removed'").select("source_path", "batch", "lang")
-    return _table(spark, f"{output}/chunks", CHUNKS, "batch", "bucket").join(last, ["source_path", "batch"])
+    chunks = _table(spark, f"{output}/chunks", CHUNKS, "batch", "bucket").withColumn("dimension", F.size("vector"))
+    return chunks.join(last, ["source_path", "batch"])
 
 
 def main(argv: list[str] | None = None) -> int:
